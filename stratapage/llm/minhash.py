@@ -25,6 +25,8 @@ REGISTERS = ROWS * BANDS
 MANTISSA = 10
 #: Standard errors by which an estimate may fall short of the threshold before a pair is given up.
 SIGMAS = 6.0
+#: Members of a band that all its others are tested against first.
+HUBS = 3
 
 _fill = np.argsort(np.random.default_rng(7).random((REGISTERS, REGISTERS)), axis=1)
 
@@ -139,18 +141,17 @@ def _confirm(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of (doc_id, text).
 
     Documents whose k-word shingle sets have ``100 * |A & B| >= percent * |A | B|``
     are linked; component_id is the smallest id reachable, kept marks it.
 
     Equal sets are one class and meet first, by digest. Classes that share a
-    band are tested against one hub of the band at a time, the hub's choice
-    changing by round; a band whose classes are in one component is done.
-    What the rounds leave undone is tested pair by pair between different
-    components, so no link between components is left untried and no group is
-    expanded into all its pairs. A pair at the threshold exactly escapes all
+    band are tested against a few hubs of the band; a band whose classes are
+    then in one component is done. What this leaves undone is tested pair by
+    pair between different components, so no link between components is left
+    untried and no group of copies is expanded into all its pairs. A pair at the threshold exactly escapes all
     bands with a probability below 1e-6, a closer one with far less.
 
     Nulls: a null text is empty, an empty text has no shingles and links to
@@ -179,40 +180,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int
         a, b = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"hashes_{c}")) for c in "ab")
         return likely.join(a, "a").join(b, "b").mapInArrow(_confirm(percent), "a long, b long")
 
-    links = tested = None
-    found = None
-    for turn in range(rounds + 1):
-        if found is not None:
-            placed = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-            open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-            placed = placed.join(open_keys, "key")
-        else:
-            placed = members.withColumn("component", F.col("node"))
-        if turn < rounds:
-            rank = F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), "node", "component")
-            hubs = placed.groupBy("key").agg(F.min(rank).alias("hub")).select("key", F.col("hub.node").alias("b"), F.col("hub.component").alias("of"))
-            pairs = placed.withColumnRenamed("node", "a").join(hubs, "key").where("component != of")
-        else:
-            other = placed.select("key", F.col("node").alias("b"), F.col("component").alias("of"))
-            pairs = placed.withColumnRenamed("node", "a").join(other, "key").where("component < of")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = pairs.checkpoint()
-        if pairs.isEmpty():
-            if turn < rounds:
-                continue
-            break
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        new = linked(pairs).checkpoint()
-        links = new if links is None else links.unionAll(new)
-        found = components(links).checkpoint()
+    def hub(turn: int):
+        return F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), "node"))["node"]
+
+    hubs = members.groupBy("key").agg(F.array(*(hub(i) for i in range(HUBS))).alias("hubs"))
+    pairs = members.join(hubs, "key").select(F.col("node").alias("x"), F.explode(F.array_distinct("hubs")).alias("y")).where("x != y")
+    links = linked(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()).checkpoint()
+    found = components(links).checkpoint()
+
+    placed = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    undone = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+    placed = placed.join(undone, "key").checkpoint()
+    other = placed.select("key", F.col("node").alias("y"), F.col("component").alias("of"))
+    rest = placed.join(other, "key").where("component < of").select(F.least("node", "y").alias("a"), F.greatest("node", "y").alias("b")).distinct()
+    late = linked(rest).checkpoint()
+    if not late.isEmpty():
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(late)).checkpoint()
 
     of_class = filled.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    if found is not None:
-        of_class = of_class.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    else:
-        of_class = of_class.withColumnRenamed("node", "component")
+    of_class = of_class.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = rows.drop("sketch").join(of_class, "digest", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id") != NULL_ID, component)
