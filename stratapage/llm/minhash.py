@@ -25,8 +25,8 @@ REGISTERS = ROWS * BANDS
 MANTISSA = 10
 #: Standard errors by which an estimate may fall short of the threshold before a pair is given up.
 SIGMAS = 6.0
-#: Members of a band that all its others are tested against first.
-HUBS = 3
+#: Hubs that each document is tested against first.
+HUBS = 2
 
 _fill = np.argsort(np.random.default_rng(7).random((REGISTERS, REGISTERS)), axis=1)
 
@@ -141,6 +141,37 @@ def _confirm(percent: int):
     return run
 
 
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = np.array([len(x.as_buffer()) // 8 for x in batch["hashes"]], np.int64)
+        flat = np.frombuffer(b"".join(batch["hashes"].to_pylist()), np.int64)
+        node, component = (np.repeat(batch[c].to_numpy(), sizes) for c in ("node", "component"))
+        yield pa.record_batch([pa.array(x) for x in (node, component, np.repeat(sizes, sizes), flat)], ["node", "component", "n", "shingle"])
+
+
+def _rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components among (node, component, hashes) that may reach the threshold.
+
+    A set can miss at most (100 - percent) in 100 of its shingles in the other,
+    so of its shingles from the rarest on, one more than that must hold a
+    common one. Shingles of one set alone stand first and join nothing: a set
+    with too many of them has no partner. Only documents outside a shingle's
+    commonest component are joined with the others.
+    """
+    rows = sets.mapInArrow(_explode, "node long, component long, n long, shingle long").checkpoint()
+    common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    listed = rows.join(common, "shingle").groupBy("node", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+    # n - ceil(n * percent / 100) + 1 shingles, less those that no other set has
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("s"))
+    first = listed.withColumn("length", length.cast("int")).where("length > 0").select("node", "component", "n", F.explode(F.slice("s", F.lit(1), F.col("length"))["shingle"]).alias("shingle")).checkpoint()
+    sizes = first.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts"))
+    first = first.join(sizes.where("parts > 1").select("shingle", "main"), "shingle")
+    x = first.where("component != main").select("shingle", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
+    y = first.select("shingle", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), "main")
+    met = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("cx") < F.col("cy"))) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    return x.join(y, (x["shingle"] == y["shingle"]) & met).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of (doc_id, text).
 
@@ -148,10 +179,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     are linked; component_id is the smallest id reachable, kept marks it.
 
     Equal sets are one class and meet first, by digest. Classes that share a
-    band are tested against a few hubs of the band; a band whose classes are
-    then in one component is done. What this leaves undone is tested pair by
-    pair between different components, so no link between components is left
-    untried and no group of copies is expanded into all its pairs. A pair at the threshold exactly escapes all
+    band are tested against a few hubs of theirs; a band whose classes are then
+    in one component is done. Documents of the bands that this leaves undone
+    meet by their rarest shingles, an exact filter, and only across components:
+    no link between components is left untried, and no group of copies is
+    expanded into all its pairs. A pair at the threshold exactly escapes all
     bands with a probability below 1e-6, a closer one with far less.
 
     Nulls: a null text is empty, an empty text has no shingles and links to
@@ -167,11 +199,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = classes.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")).checkpoint()
 
     bands = classes.select("node", "sketch").mapInArrow(_bands, "key long, node long")
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     members = bands.join(shared, "key").checkpoint()
-    wanted = members.select("node").distinct()
-    sets = docs.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi").dropDuplicates(["node"]).withColumnRenamed("node", "doc_id").mapInArrow(_sets(k), "node long, hashes binary").checkpoint()
-    sketches = classes.join(wanted, "node", "left_semi")
+    degrees = members.groupBy("node").agg(F.sum("members").alias("degree")).checkpoint()
+    sets = docs.withColumnRenamed("doc_id", "node").join(degrees, "node", "left_semi").dropDuplicates(["node"]).withColumnRenamed("node", "doc_id").mapInArrow(_sets(k), "node long, hashes binary").checkpoint()
+    sketches = classes.join(degrees, "node", "left_semi")
 
     def linked(pairs: DataFrame) -> DataFrame:
         a, b = (sketches.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
@@ -180,19 +212,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         a, b = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"hashes_{c}")) for c in "ab")
         return likely.join(a, "a").join(b, "b").mapInArrow(_confirm(percent), "a long, b long")
 
-    def hub(turn: int):
-        return F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), "node"))["node"]
-
-    hubs = members.groupBy("key").agg(F.array(*(hub(i) for i in range(HUBS))).alias("hubs"))
-    pairs = members.join(hubs, "key").select(F.col("node").alias("x"), F.explode(F.array_distinct("hubs")).alias("y")).where("x != y")
-    links = linked(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()).checkpoint()
+    # hubs: of each band's documents the one that meets most others; each document is tested against those it meets most often
+    ranked = members.select("key", "node").join(degrees, "node")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("hub"))
+    met = members.select("key", "node").join(hubs, "key").where("node != hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("times"))
+    met = met.groupBy("node").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("times", "hub")))), 1, HUBS).alias("hubs"))
+    pairs = met.select("node", F.explode("hubs").alias("h")).select(F.least("node", "h.hub").alias("a"), F.greatest("node", "h.hub").alias("b"))
+    links = linked(pairs.distinct()).checkpoint()
     found = components(links).checkpoint()
 
-    placed = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    # bands whose documents aren't in one component yet: their documents meet again, on their rarest shingles
+    placed = members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     undone = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    placed = placed.join(undone, "key").checkpoint()
-    other = placed.select("key", F.col("node").alias("y"), F.col("component").alias("of"))
-    rest = placed.join(other, "key").where("component < of").select(F.least("node", "y").alias("a"), F.greatest("node", "y").alias("b")).distinct()
+    left = placed.join(undone, "key").select("node", "component").distinct()
+    rest = _rare_pairs(left.join(sets, "node"), percent)
     late = linked(rest).checkpoint()
     if not late.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(late)).checkpoint()
