@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratapage.llm import minhash
+from stratapage.llm import bpe, decontaminate, language, minhash, suffixes
 from stratapage.llm.common import table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -36,9 +36,81 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)
 """
 
+
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removal_digest(table(spark, sf_dir, "documents"), length=100)
+
+
+OP4_SQL = """
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(h[2*i+1 : 2*i+200]) AS w FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM texts)
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1
+), islands AS (
+  SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM (
+    SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS fresh FROM later)
+), runs AS (SELECT doc_id, min(i) AS low, max(i) + 100 AS high FROM islands GROUP BY doc_id, island
+), pieces AS (
+  SELECT doc_id, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS low, low AS high FROM runs
+  UNION ALL SELECT doc_id, max(high), NULL FROM runs GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(CASE WHEN high IS NULL THEN h[2*low+1 :] WHEN high > low THEN h[2*low+1 : 2*high] ELSE '' END, '' ORDER BY low, high NULLS LAST) AS k
+  FROM pieces JOIN texts USING (doc_id) GROUP BY doc_id
+), totals AS (SELECT doc_id, sum(high - low)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans FROM runs GROUP BY doc_id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM texts LEFT JOIN totals USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+def _word_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digest(table(spark, sf_dir, "documents"), _word_vocabulary())
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predictions(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13)
+
+
+OP9_SQL = rf"""
+WITH lowered AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, 13 AS n, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i+12], ' '))) AS s FROM items WHERE len(w) >= 13
+  UNION SELECT item_id, len(w), array_to_string(w, ' ') FROM items WHERE len(w) BETWEEN 1 AND 12
+), sizes AS (SELECT DISTINCT n FROM windows
+), grams AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i+n-1], ' ') AS s FROM (
+    SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM lowered, sizes WHERE len(w) >= n)
+), hits AS (SELECT doc_id, i, g.n, item_id FROM grams g JOIN windows v ON g.s = v.s AND g.n = v.n
+), covered AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id
+), found AS (
+  SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM lowered LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op7_bpe_encode_decode": op7_bpe_encode_decode,
+    "op8_language_id": op8_language_id,
+    "op9_decontamination": op9_decontamination,
 }
 SQL: dict[str, str] = {
     "op1_minhash_near_dedup": OP1_SQL,
+    "op4_suffix_array_dedup": OP4_SQL,
+    "op9_decontamination": OP9_SQL,
 }
