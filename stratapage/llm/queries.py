@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratapage.llm import bpe, decontaminate, language, minhash, suffixes
+from stratapage.llm import bpe, decontaminate, fingerprints, language, minhash, suffixes
 from stratapage.llm.common import table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -102,12 +102,18 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM lowered LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
+    "op10_document_fingerprints": op10_document_fingerprints,
 }
 SQL: dict[str, str] = {
     "op1_minhash_near_dedup": OP1_SQL,
