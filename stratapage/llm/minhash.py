@@ -145,30 +145,33 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes = np.array([len(x.as_buffer()) // 8 for x in batch["hashes"]], np.int64)
         flat = np.frombuffer(b"".join(batch["hashes"].to_pylist()), np.int64)
-        node, component = (np.repeat(batch[c].to_numpy(), sizes) for c in ("node", "component"))
-        yield pa.record_batch([pa.array(x) for x in (node, component, np.repeat(sizes, sizes), flat)], ["node", "component", "n", "shingle"])
+        yield pa.record_batch([pa.array(np.repeat(batch["node"].to_numpy(), sizes)), pa.array(flat)], ["node", "shingle"])
 
 
-def _rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components among (node, component, hashes) that may reach the threshold.
+def _rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components among nodes (node, component, n) that may reach the threshold.
 
-    A set can miss at most (100 - percent) in 100 of its shingles in the other,
-    so of its shingles from the rarest on, one more than that must hold a
-    common one. Shingles of one set alone stand first and join nothing: a set
-    with too many of them has no partner. Only documents outside a shingle's
-    commonest component are joined with the others.
+    With the shingles of each set in order from the rarest on, a pair that
+    reaches it has a first common shingle, after which both sets have as many
+    left as the pair must share. Shingles of one set alone stand first and join
+    nothing: a set with too many of them has no partner. Only documents outside
+    a shingle's commonest component are joined with the others.
     """
-    rows = sets.mapInArrow(_explode, "node long, component long, n long, shingle long").checkpoint()
+    rows = sets.join(nodes, "node", "left_semi").mapInArrow(_explode, "node long, shingle long")
     common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    listed = rows.join(common, "shingle").groupBy("node", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
-    # n - ceil(n * percent / 100) + 1 shingles, less those that no other set has
+    listed = rows.join(common, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "shingle")))["shingle"].alias("s"))
+    listed = listed.join(nodes, "node")
+    # a partner may be smaller, down to percent of n: then the pair must share that many
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("s"))
-    first = listed.withColumn("length", length.cast("int")).where("length > 0").select("node", "component", "n", F.explode(F.slice("s", F.lit(1), F.col("length"))["shingle"]).alias("shingle")).checkpoint()
+    cut = listed.withColumn("length", length.cast("int")).where("length > 0")
+    first = cut.select("node", "component", "n", (F.col("n") - F.size("s")).alias("alone"), F.posexplode(F.slice("s", F.lit(1), F.col("length"))).alias("at", "shingle"))
+    first = first.select("shingle", "node", "component", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("left")).checkpoint()
     sizes = first.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts"))
     first = first.join(sizes.where("parts > 1").select("shingle", "main"), "shingle")
-    x = first.where("component != main").select("shingle", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
-    y = first.select("shingle", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), "main")
-    met = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("cx") < F.col("cy"))) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    x = first.where("component != main").select("shingle", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("left").alias("lx"))
+    y = first.select("shingle", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("left").alias("ly"), "main")
+    met = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("cx") < F.col("cy")))
+    met &= (100 + percent) * F.least("lx", "ly") >= percent * (F.col("nx") + F.col("ny"))
     return x.join(y, (x["shingle"] == y["shingle"]) & met).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -225,7 +228,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     placed = members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     undone = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
     left = placed.join(undone, "key").select("node", "component").distinct()
-    rest = _rare_pairs(left.join(sets, "node"), percent)
+    rest = _rare_pairs(left.join(classes.select("node", "n"), "node"), sets, percent)
     late = linked(rest).checkpoint()
     if not late.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(late)).checkpoint()
