@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stratapage.llm.common import NULL_ID, prepare
+from stratapage.llm.common import NULL_ID, prepare, written
 from stratapage.llm.kernels import BLOCK_BYTES, blocks, mix, prefix_hash, sliding_min, span_hash
 
 GRAM = 32
@@ -145,7 +145,8 @@ def _spans(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
     row = np.repeat(np.arange(len(sizes)), sizes)
     last = np.r_[first[1:], len(windows)] - 1
     start, count = windows[first], last - first + 1
-    whole = mix(span_hash(prefix, start, start + count + length - 1) + count.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+    whole = mix(span_hash(prefix, start, start + count + length - 1))
+    whole = (whole & _U(0xFFFFFFFFFFFF0000)) | count.astype(np.uint64)  # a span's hash carries its number of windows
     return row[start], start - offsets[row[start]], count, grams[place[first]], whole
 
 
@@ -179,9 +180,8 @@ def _emit(length: int, frequent: np.ndarray):
             head = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (w[1:] != w[:-1])][: len(order)])
             top = np.repeat(head, np.diff(np.r_[head, len(order)]))
             settled = (d != d[top]) | (s != s[top])
-            key = np.where(np.isin(a, frequent), w, a)
-            key = np.where(settled, d, key)
-            yield pa.record_batch([pa.array(x) for x in (key, a, w, d, s, count[order], settled)], ["key", "anchor", "span", "doc", "start", "windows", "settled"])
+            deal = np.where(settled, 2, np.isin(a, frequent))
+            yield pa.record_batch([pa.array(x) for x in (a, w, d, s, deal)], ["anchor", "span", "doc", "start", "deal"])
 
     return run
 
@@ -208,13 +208,15 @@ def _settle(frequent: np.ndarray):
                 yield pack(x[0], x[1], x[2], x[3], np.full(x.shape[1], kind))
 
         def pack(anchor, doc, start, windows, kind):
+            anchor = np.where(kind == GONE, 0, anchor)  # not needed any more
             return pa.record_batch([pa.array(np.ascontiguousarray(v, np.int64)) for v in (anchor, doc, start, windows, kind)], ["anchor", "doc", "start", "windows", "kind"])
 
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            a, w, d, s, c, done = (batch[x].to_numpy(zero_copy_only=False) for x in ("anchor", "span", "doc", "start", "windows", "settled"))
+            a, w, d, s, deal = (batch[x].to_numpy(zero_copy_only=False) for x in ("anchor", "span", "doc", "start", "deal"))
+            c, done = w & 0xFFFF, deal == 2
             if done.any():
                 yield pack(a[done], d[done], s[done], c[done], np.zeros(int(done.sum())))
                 a, w, d, s, c = (x[~done] for x in (a, w, d, s, c))
@@ -285,7 +287,7 @@ def _contexts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             anchors, docs, starts, contents = [], [], [], []
-            for doc, text, rows in zip(batch["doc"].to_pylist(), batch["text"].to_pylist(), _lists(batch["spans"], "anchor", "start", "windows"), strict=True):
+            for doc, text, rows in zip(batch["_doc"].to_pylist(), batch["text"].to_pylist(), _lists(batch["spans"], "anchor", "start", "windows"), strict=True):
                 raw = (text or "").encode()
                 for anchor, start, windows in rows.tolist():
                     if start + windows + length - 1 <= len(raw):
@@ -303,7 +305,7 @@ def _windows(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text, rows in zip(batch["doc"].to_pylist(), batch["text"].to_pylist(), _lists(batch["spans"], "anchor", "start", "windows"), strict=True):
+            for doc, text, rows in zip(batch["_doc"].to_pylist(), batch["text"].to_pylist(), _lists(batch["spans"], "anchor", "start", "windows"), strict=True):
                 data = np.frombuffer((text or "").encode(), np.uint8)
                 rows = rows[rows[:, 1] + rows[:, 2] + length - 1 <= len(data)]
                 if not len(rows):
@@ -427,6 +429,7 @@ def repeated_ranges(docs: DataFrame, length: int = 100) -> DataFrame:
     are carried along.
     """
     prepare(docs.sparkSession)
+    docs = docs.withColumn("text", docs["text"].cast("string"))
     keyed = docs.withColumn("_doc", F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)))
     slim = keyed.select(F.col("_doc").alias("doc"), "text")
     total = slim.count()
@@ -436,13 +439,15 @@ def repeated_ranges(docs: DataFrame, length: int = 100) -> DataFrame:
     # at most (spans of a document) / FREQUENT anchors, whatever the corpus; these only choose how rows are dealt
     frequent = np.array(sorted(r[0] for r in often.select("anchor").collect()), np.int64)
 
-    spans = slim.mapInArrow(_emit(length, frequent), "key long, anchor long, span long, doc long, start long, windows long, settled boolean")
-    ordered = spans.repartition("key").drop("key").sortWithinPartitions("anchor", "span", "doc", "start")
-    flagged = ordered.mapInArrow(_settle(frequent), "anchor long, doc long, start long, windows long, kind long").checkpoint()
+    spans = slim.mapInArrow(_emit(length, frequent), "anchor long, span long, doc long, start long, deal long")
+    key = F.when(F.col("deal") == 2, F.col("doc")).when(F.col("deal") == 1, F.col("span")).otherwise(F.col("anchor"))
+    ordered = spans.repartition(key).sortWithinPartitions("anchor", "span", "doc", "start")
+    flagged = written(ordered.mapInArrow(_settle(frequent), "anchor long, doc long, start long, windows long, kind long"))
 
     def found(kind: int) -> DataFrame:
-        listed = flagged.where(F.col("kind") == kind).groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("spans"))
-        return slim.join(listed, "doc")
+        listed = flagged.where(F.col("kind") == kind).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("spans"))
+        # with all columns, so that the texts are dealt out once for this and for the last join
+        return keyed.join(listed, "_doc")
 
     ranges = flagged.where(F.col("kind") == GONE).select("doc", F.col("start").alias("low"), (F.col("start") + F.col("windows") + (length - 1)).alias("high"))
     pieces = found(PIECED).mapInArrow(_contexts(length), "anchor long, doc long, start long, bytes binary")
