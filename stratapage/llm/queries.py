@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratapage.llm import bpe, decontaminate, fingerprints, language, minhash, suffixes
+from stratapage.llm import bpe, decontaminate, fingerprints, language, minhash, suffixes, toxicity, urls
 from stratapage.llm.common import table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -64,6 +64,18 @@ FROM texts LEFT JOIN totals USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), cut=0.7)
+
+
+#: (verdict, host, path)
+RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), RULES)
+
+
 def _word_vocabulary() -> str:
     import public_tokenizers
 
@@ -109,7 +121,9 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op5_url_filter": op5_url_filter,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
