@@ -241,3 +241,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.select(
         real_id(), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
     )
+
+
+def drop_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs without the rows that near_duplicates doesn't keep: of each group the document of smallest id stays.
+
+    Rows that share the kept id are one document and stay; null ids stay.
+    """
+    gone = near_duplicates(docs, k, percent).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")

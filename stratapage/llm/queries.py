@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratapage.llm import bpe, decontaminate, fingerprints, language, minhash, suffixes, toxicity, urls
+from stratapage.llm import bpe, decontaminate, fingerprints, language, licenses, minhash, suffixes, toxicity, urls, warc
 from stratapage.llm.common import table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -64,6 +64,35 @@ FROM texts LEFT JOIN totals USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.captures_of_pages(table(spark, sf_dir, "pages"), later=500))
+    merged = F.array_join(F.transform(F.array_sort(F.map_keys("headers")), lambda k: F.concat(k, F.lit("="), F.element_at("headers", k))), ";")
+    return found.select(F.col("record_id").alias("page_id"), "canonical_url", F.col("source_id").alias("source_page_id"), "outcome", "source_digest", merged.alias("merged_headers"))
+
+
+OP2_SQL = r"""
+WITH bare AS (
+  SELECT page_id, coalesce(html, '') AS html, regexp_replace(regexp_replace(trim(url), '(?s)#.*$', ''), '(?i)^[a-z][a-z0-9+.-]*://', '') AS b FROM pages
+), parts AS (
+  SELECT page_id, html, regexp_replace(regexp_replace(lower(regexp_extract(b, '(?s)^[^/?]*', 0)), '^www\.', ''), ':(80|443)$', '') AS host,
+    regexp_replace(regexp_extract(b, '(?s)^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+    list_sort(list_filter(string_split(regexp_extract(b, '(?s)\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[a-z]+|gclid|fbclid|ref)(=|$)'))) AS q
+  FROM bare
+), captures AS (
+  SELECT page_id, md5(html) AS digest, length(html) AS size, host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url FROM parts
+), matched AS (
+  SELECT v.page_id, v.url, v.digest, s.page_id AS source, s.digest AS source_digest, s.size,
+         row_number() OVER (PARTITION BY v.page_id ORDER BY s.page_id DESC NULLS LAST) AS n
+  FROM captures v LEFT JOIN captures s ON s.url = v.url AND s.size > 0 AND s.page_id < v.page_id + 500
+)
+SELECT page_id, url AS canonical_url, source AS source_page_id,
+  CASE WHEN source IS NULL THEN 'unmatched' WHEN digest = source_digest THEN 'resolved' ELSE 'mismatch' END AS outcome,
+  CASE WHEN digest = source_digest THEN source_digest END AS source_digest,
+  CASE WHEN digest = source_digest THEN 'content-length=' || size || ';date=' || (page_id + 500) || ';etag=W/"' || digest || '";server=origin' END AS merged_headers
+FROM matched WHERE n = 1
+"""
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), cut=0.7)
 
@@ -76,6 +105,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), RULES)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
 def _word_vocabulary() -> str:
     import public_tokenizers
 
@@ -121,9 +154,11 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_warc_revisits": op2_warc_revisits,
     "op3_toxicity": op3_toxicity,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_url_filter": op5_url_filter,
+    "op6_license_scan": op6_license_scan,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
@@ -131,6 +166,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 SQL: dict[str, str] = {
     "op1_minhash_near_dedup": OP1_SQL,
+    "op2_warc_revisits": OP2_SQL,
     "op4_suffix_array_dedup": OP4_SQL,
     "op9_decontamination": OP9_SQL,
 }
