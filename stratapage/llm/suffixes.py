@@ -26,9 +26,9 @@ from stratapage.llm.kernels import BLOCK_BYTES, blocks, mix, prefix_hash, slidin
 
 GRAM = 32
 #: Different spans of one anchor up to which they share a suffix array; beyond, their windows are dealt out.
-PIECE = 4096
-#: Documents sampled for anchors that many documents hold, and the share from which one counts as such.
-SAMPLE, FREQUENT = 5000, 0.01
+PIECE = 32768
+#: Documents sampled for anchors that more than PIECE documents may hold.
+SAMPLE = 5000
 _U = np.uint64
 
 
@@ -435,8 +435,8 @@ def repeated_ranges(docs: DataFrame, length: int = 100) -> DataFrame:
     total = slim.count()
     sampled = min(total, SAMPLE)
     part = slim if total <= SAMPLE else slim.sample(SAMPLE / total, 11)
-    often = part.mapInArrow(_anchors(length), "anchor long").groupBy("anchor").count().where(F.col("count") >= max(50, FREQUENT * sampled))
-    # at most (spans of a document) / FREQUENT anchors, whatever the corpus; these only choose how rows are dealt
+    often = part.mapInArrow(_anchors(length), "anchor long").groupBy("anchor").count().where(F.col("count") >= max(20, PIECE * sampled / max(1, total)))
+    # at most a twentieth of the sample's spans, whatever the corpus; these only choose how rows are dealt
     frequent = np.array(sorted(r[0] for r in often.select("anchor").collect()), np.int64)
 
     spans = slim.mapInArrow(_emit(length, frequent), "anchor long, span long, doc long, start long, deal long")
