@@ -44,6 +44,7 @@ SPARK: dict[str, Macro] = {
     "round": lambda x, n="4": _rounded(x, n),
     "filtered": lambda f, c: f"{f} FILTER (WHERE {c})",
     "starts": lambda x, p: f"startswith({x}, {p})",
+    "has": lambda a, x: f"array_contains({a}, {x})",
 }
 
 CHECK: dict[str, Macro] = {
@@ -73,6 +74,7 @@ CHECK: dict[str, Macro] = {
     "round": lambda x, n="4": _rounded(x, n),
     "filtered": lambda f, c: f"{f} FILTER (WHERE {c})",
     "starts": lambda x, p: f"starts_with({x}, {p})",
+    "has": lambda a, x: f"list_contains({a}, {x})",
 }
 
 

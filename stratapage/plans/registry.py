@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stratapage.functions.dialect import CHECK, SPARK, statement
-from stratapage.plans import structured_queries
+from stratapage.plans import block_queries, native_queries, structured_queries
 from stratapage.plans.materialize import materialize
 
 _TABLES = ("documents", "pages", "conversations", "embeddings", "benchmark", "labels", "events", "part", "supplier", "nation", "orders", "lineitem", "customer", "region")
@@ -26,7 +26,7 @@ def _needed(steps: list, last: str) -> list:
 
 
 #: Steps that several others read, or that end a costly part: written once, so that Spark doesn't plan and run them again.
-CUTS = {"features", "neighbours", "pairs", "scored", "segmented", "content_units", "block_pairs", "heads", "sections"}
+CUTS = {"features", "neighbours", "pairs", "scored", "segmented", "content_units", "block_pairs", "cues", "placed", "vetoed", "heads", "sections", "html_units", "classed", "native_measured", "native_decisions"}
 
 
 def _query(steps: list, last: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -48,7 +48,7 @@ def _query(steps: list, last: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _all() -> dict[str, tuple[list, str]]:
-    return {**structured_queries.QUERIES}
+    return {**structured_queries.QUERIES, **block_queries.QUERIES, **native_queries.QUERIES}
 
 
 QUERIES = {name: _query(steps, last) for name, (steps, last) in _all().items()}
