@@ -24,6 +24,26 @@ DENSE: list[Step] = [
     ("centroids", "SELECT label, d, avg(v) AS v FROM unit GROUP BY label, d"),
 ]
 
+#: ``asked`` (text) against ``units``, with the units' idf.
+SEARCH: list[Step] = [
+    ("term_weights", "SELECT document_id, ord, c.bucket, sum(sign * (1.0 + ln(tf)) * idf) AS w FROM term_counts c JOIN idf i ON c.bucket = i.bucket GROUP BY document_id, ord, c.bucket"),
+    ("lengths", "SELECT document_id, ord, sqrt(sum(w * w)) AS length FROM term_weights GROUP BY document_id, ord"),
+    ("asked_tokens", "SELECT i, lower(v) AS v FROM @explode(asked, @extract_all(text, '[A-Za-z0-9]+'), i, v)"),
+    ("asked_terms", "SELECT concat('w:', v) AS term FROM asked_tokens UNION ALL SELECT concat('b:', v, '_', f) AS term FROM (SELECT v, lead(v) OVER (ORDER BY i) AS f FROM asked_tokens) a WHERE f IS NOT NULL"),
+    ("asked_counts", "SELECT term, @bucket(term, 512) AS bucket, 1 - 2 * @bit(term) AS sign, count(*) AS tf FROM asked_terms GROUP BY term"),
+    ("asked_weights", "SELECT c.bucket, sum(sign * (1.0 + ln(tf)) * idf) AS q FROM asked_counts c JOIN idf i ON c.bucket = i.bucket GROUP BY c.bucket"),
+    ("asked_length", "SELECT sqrt(sum(q * q)) AS asked_length FROM asked_weights"),
+    ("found", """
+SELECT t.document_id, t.ord, @round(sum(w * q) / max(length) / max(asked_length), 6) AS score FROM term_weights t JOIN asked_weights a ON t.bucket = a.bucket JOIN lengths l ON t.document_id = l.document_id AND t.ord = l.ord CROSS JOIN asked_length GROUP BY t.document_id, t.ord"""),
+]
+ASKED: list[Step] = [("asked", "SELECT 'the station and the thing over there' AS text")]
+
+#: Fused similarity of the opening lines of one source's documents, over shared buckets.
+FUSED: list[Step] = [
+    ("opening", "SELECT v.document_id, d.source, v.bucket, v.w FROM vectors v JOIN documents d ON v.document_id = CAST(d.doc_id AS STRING) WHERE v.ord = 0"),
+    ("alike", "SELECT a.source, a.document_id AS a, b.document_id AS b, sum(a.w * b.w) AS meaning FROM opening a JOIN opening b ON a.source = b.source AND a.bucket = b.bucket AND a.document_id < b.document_id GROUP BY a.source, a.document_id, b.document_id"),
+]
+
 QUERIES: dict[str, tuple[list[Step], str]] = {
     "consolidate_pairs": (TO_JUDGED, "SELECT document_id, seq, coalesce(veto, '') AS veto, merge, " + ", ".join(f"@round({k}, 3) AS {k}" for k in [*c.CONTINUATION, *c.NEW_BLOCK, "continuation", "separation", "confidence"]) + " FROM consolidation_decisions"),
     "merge_chains": (TO_MERGED, "SELECT document_id, block_no, page, page_end, n_sources, block_type, length(text) AS chars, md5(text) AS text_md5, sources FROM merged_blocks"),
@@ -46,4 +66,6 @@ QUERIES: dict[str, tuple[list[Step], str]] = {
         TO_MERGED,
         "SELECT m.document_id, m.block_no, d.lang, d.source, m.page, m.n_sources, m.sources, substr(m.text, 1, 80) AS preview FROM merged_blocks m JOIN documents d ON m.document_id = CAST(d.doc_id AS STRING)",
     ),
+    "search": (s.LINES + s.EMBED[:4] + ASKED + SEARCH, "SELECT document_id, ord, score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, document_id, ord) AS place FROM found WHERE score >= 0) r WHERE place <= 10"),
+    "fused_similarity": (s.LINES + s.EMBED[:6] + FUSED, f"SELECT source, a, b, @round(0.70 * least(1.0, {t.clip01('meaning')} / 0.33) + 0.12, 4) AS fused FROM alike WHERE meaning >= 0.5"),
 }

@@ -6,20 +6,23 @@ import re
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stratapage.functions.dialect import CHECK, SPARK, statement
+from stratapage.operators import clustering, native, structured
 from stratapage.plans import block_queries, native_queries, structured_queries
 from stratapage.plans.materialize import materialize
+from stratapage.sources.units import rows_as_grid
+from stratapage.streaming import events
 
 _TABLES = ("documents", "pages", "conversations", "embeddings", "benchmark", "labels", "events", "part", "supplier", "nation", "orders", "lineitem", "customer", "region")
 
 
-def _needed(steps: list, last: str) -> list:
-    """The steps that the last one reads, directly or not, in order."""
+def _needed(steps: list, last: str, given: frozenset | set = frozenset()) -> list:
+    """The steps that the last one reads, directly or not, in order; none for what is given."""
     wanted, out = set(re.findall(r"\w+", last)), []
     for name, text in reversed(steps):
-        if name in wanted:
+        if name in wanted and name not in given:
             wanted |= set(re.findall(r"\w+", text))
             out.append((name, text))
     return out[::-1]
@@ -29,20 +32,29 @@ def _needed(steps: list, last: str) -> list:
 CUTS = {"features", "neighbours", "pairs", "scored", "segmented", "content_units", "block_pairs", "cues", "placed", "vetoed", "heads", "sections", "html_units", "classed", "native_measured", "native_decisions"}
 
 
+def plan(steps: list, last: str, **frames: DataFrame) -> DataFrame:
+    """The last statement over the steps that it needs; frames stand for tables, or for steps already done."""
+    spark = next(iter(frames.values())).sparkSession
+    done: list = []
+    for name, df in frames.items():
+        done.append((name, f"SELECT * FROM {_view(df)}"))
+    for name, text in _needed([(n, t) for n, t in steps if n not in frames], last, set(frames)):
+        if name in CUTS:
+            text = f"SELECT * FROM {_view(materialize(spark.sql(statement([*_needed(done, text), ('result', text)], SPARK))))}"
+        done.append((name, text))
+    return spark.sql(statement([*_needed(done, last), ("result", last)], SPARK))
+
+
+def _view(df: DataFrame) -> str:
+    name = f"step_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(name)
+    return name
+
+
 def _query(steps: list, last: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        own = _needed(steps, last)
-        words = set(re.findall(r"\w+", " ".join(text for _, text in own) + " " + last))
-        sources = [(name, f"SELECT * FROM parquet.`{sf_dir}/{name}.parquet`") for name in _TABLES if name in words]
-        done: list = list(sources)
-        for name, text in own:
-            if name in CUTS:
-                table = materialize(spark.sql(statement([*_needed(done, text), ("result", text)], SPARK)))
-                view = f"step_{uuid.uuid4().hex}"
-                table.createOrReplaceTempView(view)
-                text = f"SELECT * FROM {view}"
-            done.append((name, text))
-        return spark.sql(statement([*_needed(done, last), ("result", last)], SPARK))
+        words = set(re.findall(r"\w+", " ".join(text for _, text in _needed(steps, last)) + " " + last))
+        return plan(steps, last, **{name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in _TABLES if name in words})
 
     return run
 
@@ -51,5 +63,46 @@ def _all() -> dict[str, tuple[list, str]]:
     return {**structured_queries.QUERIES, **block_queries.QUERIES, **native_queries.QUERIES}
 
 
-QUERIES = {name: _query(steps, last) for name, (steps, last) in _all().items()}
-SQL = {name: statement([*_needed(steps, last), ("result", last)], CHECK) for name, (steps, last) in _all().items()}
+def _patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns of the opening units of each source's documents."""
+    units = plan(structured.TO_CONTENT, "SELECT document_id, text, n_blocks, prominence, chars, depth FROM content_units WHERE segment = 1", documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
+    joined = units.join(documents, units["document_id"] == documents["doc_id"].cast("string"))
+    shape = F.array(F.log1p("n_blocks"), F.col("prominence").cast("double"), (F.col("chars") / 400).cast("double"), F.col("depth").cast("double"))
+    return clustering.leader_patterns(joined.select(F.col("source").alias("collection"), F.col("doc_id").alias("ord"), clustering.embed("text").alias("vector"), shape.alias("structure")))
+
+
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of the opening lines of each source's documents."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    first = documents.select(F.col("source").alias("collection"), F.col("doc_id").alias("ord"), clustering.embed(F.regexp_extract(F.coalesce("text", F.lit("")), "^[^\n]*", 0)).alias("vector"), F.lit(0.0).alias("doc_position"))
+    return clustering.leader_groups(first)
+
+
+def _capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.capped_units(plan(native.TO_PAIRS, "SELECT document_id, ord, split, CAST(semantic AS DOUBLE) AS semantic FROM native_decisions", pages=spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = events.windowed_counts(spark.read.parquet(f"{sf_dir}/events.parquet"), "1 day")
+    return found.select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+def _table_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    grid = rows_as_grid(part, "part", "p_partkey", ["p_partkey", "p_name", "p_brand", "p_size"])
+    return grid.select("grid_id", F.posexplode("cells").alias("col", "v")).groupBy("grid_id", "col").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg(F.length("v")), 3).alias("mean_chars"), F.count_if(F.trim("v") != "").alias("filled"))
+
+
+#: Queries that are not one statement; the second has the SQL that checks it, where there is one.
+OTHERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "pattern_leader": _patterns, "group_leader": _groups, "native_units": _capped, "event_windows": _windows, "table_grid": _table_grid,
+}
+OTHERS_SQL = {
+    "event_windows": "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
+    "table_grid": "SELECT 'part' AS grid_id, col, count(*) AS n_rows, round(avg(length(v)), 3) AS mean_chars, count_if(trim(v) <> '') AS filled FROM (SELECT unnest([0, 1, 2, 3]) AS col, "
+    "unnest([CAST(p_partkey AS VARCHAR), p_name, p_brand, CAST(p_size AS VARCHAR)]) AS v FROM part) GROUP BY col",
+}
+
+QUERIES = {name: _query(steps, last) for name, (steps, last) in _all().items()} | OTHERS
+SQL = {name: statement([*_needed(steps, last), ("result", last)], CHECK) for name, (steps, last) in _all().items()} | OTHERS_SQL
