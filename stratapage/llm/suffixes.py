@@ -426,7 +426,8 @@ def repeated_ranges(docs: DataFrame, length: int = 100) -> DataFrame:
     one document. Repeated rows of an id are the same document, so neither
     repeats the other; if its texts differ, ranges are those of any of them,
     cut to the text. Texts under ``length`` bytes have no ranges. Other columns
-    are carried along.
+    are carried along; their names must not be ``ranges``, ``spans`` or ``_doc``
+    (remove_repeats takes any).
     """
     prepare(docs.sparkSession)
     docs = docs.withColumn("text", docs["text"].cast("string"))
@@ -511,15 +512,21 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     where docs has it, follows the new text. See repeated_ranges for ties,
     nulls and repeated rows.
     """
-    rows = repeated_ranges(docs, length)
+    # by place, so that no column's name clashes with those added on the way
+    place = {c: c if c in ("doc_id", "text") else f"_{i}" for i, c in enumerate(docs.columns)}
+    rows = repeated_ranges(docs.select(*(F.col(f"`{c}`").alias(p) for c, p in place.items())), length)
+    rows = rows.select(*place.values(), "ranges")
+    schema = rows.drop("ranges").withColumn("_left", F.lit(None).cast("string")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             new = _without(batch["text"].to_pylist(), _lists(batch["ranges"], "low", "high"))
             yield batch.drop_columns(["ranges"]).append_column("_left", pa.array(new, pa.string()))
 
-    kept = rows.mapInArrow(run, docs.withColumn("_left", F.lit("").cast("string")).schema)
-    blank = r"^[\s]*$"
-    kept = kept.where(F.col("text").isNull() | (F.col("text") == F.col("_left")) | ~F.col("_left").rlike(blank))
-    sizes = {"n_chars": F.length("_left").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return kept.withColumns({**sizes, "text": F.col("_left")}).select(*docs.columns)
+    kept = rows.mapInArrow(run, schema)
+    kept = kept.where(F.col("text").isNull() | (F.col("text") == F.col("_left")) | ~F.col("_left").rlike(r"^[\s]*$"))
+    changed = {"text": F.col("_left")}
+    if "n_chars" in place:
+        same = F.col("text").isNull() | (F.col("text") == F.col("_left"))
+        changed["n_chars"] = F.when(same, F.col(place["n_chars"])).otherwise(F.length("_left").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*(changed.get(c, F.col(p)).alias(c) for c, p in place.items()))

@@ -72,13 +72,15 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch["toxic"], pa.array(found, pa.binary()), pa.array(marks, pa.binary())], ["toxic", "features", "marks"])
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, prior: float, rounds: int = 400) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posteriors, rates, weights) of a votes matrix of marks, a row for each text.
 
     Expectation maximisation of a two-class model, started from the number of
     marks: rates[y, j] is the chance that voter j marks a text of class y.
     Voters that agree within the classes share their weight: each counts as one
-    over one more than its summed correlations with the others.
+    over one more than its summed correlations with the others. These are
+    estimated anew as the posteriors settle: early ones follow the largest
+    group of voters that copy each other.
     """
     n, m = votes.shape
     order = np.argsort(np.argsort(votes.sum(1), kind="stable"), kind="stable")
@@ -90,7 +92,7 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 60) -> tuple[np.n
         for y, w in ((0, 1 - q), (1, q)):
             rates[y] = (w @ votes + (0.5 if y else 0.05)) / (w.sum() + 1)
         rates = np.clip(rates, 1e-4, 1 - 1e-4)
-        if turn % 20 == 10:  # correlations beyond the classes, at the present posteriors
+        if turn % 10 == 9:  # correlations beyond the classes, at the present posteriors
             mean = np.outer(1 - q, rates[0]) + np.outer(q, rates[1])
             rest = votes - mean
             deviation = np.sqrt((rest**2).mean(0)) + 1e-6
@@ -98,7 +100,9 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 60) -> tuple[np.n
             np.fill_diagonal(correlation, 0)
             weights = 1 / (1 + np.where(correlation > 0.05, correlation, 0).sum(1))
         odds = np.log(prior / (1 - prior)) + votes @ (weights * np.log(rates[1] / rates[0])) + (1 - votes) @ (weights * np.log((1 - rates[1]) / (1 - rates[0])))
-        q = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        before, q = q, 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        if turn % 10 == 9 and np.abs(q - before).max(initial=0.0) < 1e-7:
+            break
     return q, rates, weights
 
 
