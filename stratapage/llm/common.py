@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,6 +33,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files and checkpoints that nothing refers to any more go now: the driver's cleaner sees that only when garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with null ids as NULL_ID and null texts empty; all other columns are left behind."""
     return docs.select(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from stratapage.llm.common import release
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over the edges (a, b), for each node of an edge.
@@ -11,8 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
     Every round points each node at its smallest neighbour, follows the pointers
     to their roots and contracts the edges to these, which at least halves the
     nodes of every component that isn't done; following doubles its step each
-    time. So the work grows with logarithms of the nodes and the longest path. Self-loops and repeated edges have no effect; no edges give
-    no rows. Nothing is collected: each round asks only whether edges are left.
+    time. So the work grows with logarithms of the nodes and the longest path.
+    Self-loops and repeated edges have no effect; no edges give no rows. Nothing is collected: each round asks only whether edges are left.
     """
     edges = edges.where("a != b").select("a", "b").distinct().checkpoint()
     maps = []
@@ -29,6 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
         near = pointer.select(F.col("node").alias("a"), F.col("to").alias("a2"))
         far = pointer.select(F.col("node").alias("b"), F.col("to").alias("b2"))
         edges = edges.join(near, "a").join(far, "b").where("a2 != b2").select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct().checkpoint()
+        release(edges.sparkSession)
     if not maps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     found = maps[0].select("node", F.col("to").alias("component"))

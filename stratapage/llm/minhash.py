@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stratapage.llm.common import NULL_ID, prepare, real_id, texts
+from stratapage.llm.common import NULL_ID, prepare, real_id, release, texts
 from stratapage.llm.components import components
 from stratapage.llm.kernels import shingle_sets
 
@@ -172,7 +172,9 @@ def _rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     y = first.select("shingle", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("left").alias("ly"), "main")
     met = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("cx") < F.col("cy")))
     met &= (100 + percent) * F.least("lx", "ly") >= percent * (F.col("nx") + F.col("ny"))
-    return x.join(y, (x["shingle"] == y["shingle"]) & met).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    found = x.join(y, (x["shingle"] == y["shingle"]) & met).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().checkpoint()
+    release(nodes.sparkSession)
+    return found
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -194,18 +196,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     are kept. Repeated rows of an id are one document. Other columns are
     ignored; an empty table gives an empty result.
     """
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
     docs = texts(docs)
     rows = docs.mapInArrow(_describe(k), "doc_id long, n long, digest binary, sketch binary").checkpoint()
     filled = rows.where("n > 0")
-    classes = filled.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = classes.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")).checkpoint()
+    # one row for each class, and one class for each id; sketches are dealt out only once that is known
+    keys = filled.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.min("digest").alias("digest"))
+    classes = filled.join(keys, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("node"), "n", "sketch").checkpoint()
+    release(spark)
 
     bands = classes.select("node", "sketch").mapInArrow(_bands, "key long, node long")
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     members = bands.join(shared, "key").checkpoint()
     degrees = members.groupBy("node").agg(F.sum("members").alias("degree")).checkpoint()
     sets = docs.withColumnRenamed("doc_id", "node").join(degrees, "node", "left_semi").dropDuplicates(["node"]).withColumnRenamed("node", "doc_id").mapInArrow(_sets(k), "node long, hashes binary").checkpoint()
+    release(spark)
     sketches = classes.join(degrees, "node", "left_semi")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -222,7 +228,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     met = met.groupBy("node").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("times", "hub")))), 1, HUBS).alias("hubs"))
     pairs = met.select("node", F.explode("hubs").alias("h")).select(F.least("node", "h.hub").alias("a"), F.greatest("node", "h.hub").alias("b"))
     links = linked(pairs.distinct()).checkpoint()
+    release(spark)
     found = components(links).checkpoint()
+    release(spark)
 
     # bands whose documents aren't in one component yet: their documents meet again, on their rarest shingles
     placed = members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
@@ -230,6 +238,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     left = placed.join(undone, "key").select("node", "component").distinct()
     rest = _rare_pairs(left.join(classes.select("node", "n"), "node"), sets, percent)
     late = linked(rest).checkpoint()
+    release(spark)
     if not late.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(late)).checkpoint()
 
