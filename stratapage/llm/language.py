@@ -59,8 +59,11 @@ def _smallest(rows: DataFrame) -> DataFrame:
     """(lang, texts): the SAMPLE_TEXTS texts of smallest hash of each language, by two bounded steps."""
     hashed = rows.withColumn("h", F.xxhash64("text"))
     # a coarse cut first, by the share of hashes that holds about twice the sample; copies are met before any list is made
-    counts = hashed.groupBy("lang").agg((F.lit(2.0 * SAMPLE_TEXTS + 64) / F.approx_count_distinct("h")).alias("share"))
-    near = hashed.join(counts, "lang").where(F.shiftrightunsigned("h", 1) / F.lit(float(2**63)) <= F.col("share"))
+    share = F.lit(2.0 * SAMPLE_TEXTS + 64) / F.approx_count_distinct("h")
+    # a row for each language, as the result has: so the texts needn't be dealt out to be cut
+    cuts = [F.lit(x) for r in hashed.groupBy("lang").agg(share.alias("share")).collect() for x in (r["lang"], r["share"])]
+    cut = F.try_element_at(F.create_map(*cuts), F.col("lang")) if cuts else F.lit(0.0)
+    near = hashed.where(F.shiftrightunsigned("h", 1) / F.lit(float(2**63)) <= cut)
     near = near.groupBy("lang", "h").agg(F.first("text").alias("text"))
     return near.groupBy("lang").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("h", "text"))), lambda x: x["text"]), 1, SAMPLE_TEXTS).alias("texts"))
 
