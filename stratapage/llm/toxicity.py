@@ -24,6 +24,8 @@ TRAIN_ROWS = 20_000
 BITS, FEATURES = 20, 4096
 #: Lexicons that the found terms are dealt to.
 LEXICONS = 24
+#: Chances that a clean and a toxic text are labelled toxic: given labels are one more voter, which may err.
+LABELLED = (0.02, 0.9)
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -72,7 +74,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch["toxic"], pa.array(found, pa.binary()), pa.array(marks, pa.binary())], ["toxic", "features", "marks"])
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 400) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, prior: float, rounds: int = 400, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posteriors, rates, weights) of a votes matrix of marks, a row for each text.
 
     Expectation maximisation of a two-class model, started from the number of
@@ -80,12 +82,18 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 400) -> tuple[np.
     Voters that agree within the classes share their weight: each counts as one
     over one more than its summed correlations with the others. These are
     estimated anew as the posteriors settle: early ones follow the largest
-    group of voters that copy each other.
+    group of voters that copy each other. Labels, where given, are a voter of
+    known rates (LABELLED): they tell the model what the voters miss, as where
+    a language has words of its own and most voters are silent.
     """
     n, m = votes.shape
     order = np.argsort(np.argsort(votes.sum(1), kind="stable"), kind="stable")
     q = np.where(order >= n * (1 - prior), 0.9, 0.05) if n else np.zeros(0)
     q = np.where(votes.any(1), q, 0.02)
+    known = np.zeros(n)
+    if labels is not None:
+        known = np.where(labels == 1, np.log(LABELLED[1] / LABELLED[0]), np.log((1 - LABELLED[1]) / (1 - LABELLED[0])))
+        q = np.where(labels == 1, 0.9, 0.02)
     weights = np.ones(m)
     rates = np.full((2, m), 0.5)
     for turn in range(rounds):
@@ -99,14 +107,14 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 400) -> tuple[np.
             correlation = (rest.T @ rest) / max(1, n) / np.outer(deviation, deviation)
             np.fill_diagonal(correlation, 0)
             weights = 1 / (1 + np.where(correlation > 0.05, correlation, 0).sum(1))
-        odds = np.log(prior / (1 - prior)) + votes @ (weights * np.log(rates[1] / rates[0])) + (1 - votes) @ (weights * np.log((1 - rates[1]) / (1 - rates[0])))
+        odds = np.log(prior / (1 - prior)) + known + votes @ (weights * np.log(rates[1] / rates[0])) + (1 - votes) @ (weights * np.log((1 - rates[1]) / (1 - rates[0])))
         before, q = q, 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         if turn % 10 == 9 and np.abs(q - before).max(initial=0.0) < 1e-7:
             break
     return q, rates, weights
 
 
-def linear(rows: np.ndarray, columns: np.ndarray, target: np.ndarray, width: int, rounds: int = 300, rate: float = 0.1, decay: float = 2e-4) -> tuple[np.ndarray, float]:
+def linear(rows: np.ndarray, columns: np.ndarray, target: np.ndarray, width: int, rounds: int = 300, rate: float = 0.1, decay: float = 2e-5) -> tuple[np.ndarray, float]:
     """Logistic regression of soft labels on a sparse matrix of marks (rows in order), by Adam."""
     w, bias = np.zeros(width), float(np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3)))
     m, v = np.zeros(width + 1), np.zeros(width + 1)
@@ -145,7 +153,7 @@ def fit(sample: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, float]:
     hit = voter[numbers] >= 0
     votes[rows[hit], voter[numbers[hit]]] = 1
     votes[:, LEXICONS:] = np.array([list(m) for _, _, m in sample])
-    posterior, _, _ = label_model(votes[:, votes.any(0)], float(np.clip(prior, 0.005, 0.995)))
+    posterior, _, _ = label_model(votes[:, votes.any(0)], float(np.clip(prior, 0.005, 0.995)), labels=labels)
 
     toxic = np.bincount(numbers, weights=posterior[rows], minlength=1 << BITS)
     share = posterior.mean()
