@@ -1,8 +1,9 @@
 """Language identification by compression.
 
 Each language has a raw-content zstandard dictionary of training text. A text
-is compressed with each; the language whose dictionary makes it smallest wins,
-and a win by a narrow margin is rejected.
+is compressed with each, in blocks that know the dictionary alone; the language
+whose dictionary makes it smallest wins, and a win by a narrow margin is
+rejected.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from stratapage.llm.common import prepare
 SAMPLE_TEXTS, DICTIONARY_BYTES = 400, 48_000
 #: Bytes that one training text may give, so that a long one doesn't make the dictionary alone.
 SHARE_BYTES = 2_000
-#: Bytes that the best must save on the second best, for each hundred bytes of the best: less is rejected.
-MARGIN = 0.1
+#: Bytes of a text that are compressed at once: a longer run would learn from itself what the dictionary knows, and the saving would no longer grow with the text.
+BLOCK_BYTES = 4096
+#: Bytes that the best must save on the second best, for each hundred bytes of the best, and besides for any text, as a few bytes are chance: less is rejected.
+MARGIN, CHANCE_BYTES = 2, 3
 LEVEL = 6
 
 _LETTER = regex.compile(r"\p{L}")
@@ -73,6 +76,16 @@ def normal(text: str) -> bytes:
     return _OTHER.sub(" ", text.lower()).encode()
 
 
+def text_blocks(raw: bytes) -> Iterator[bytes]:
+    """The whole text in runs of BLOCK_BYTES at most, cut behind a space where there is one."""
+    at = 0
+    while len(raw) - at > BLOCK_BYTES:
+        end = raw.rfind(b" ", at, at + BLOCK_BYTES) + 1 or at + BLOCK_BYTES
+        yield raw[at:end]
+        at = end
+    yield raw[at:]
+
+
 class Classifier:
     """Compresses with the dictionaries of all languages, in order of their names."""
 
@@ -88,15 +101,15 @@ class Classifier:
         """The language, a score from 0 to 1 and whether the margin is too narrow."""
         if not text or not self.names or not _LETTER.search(text):
             return UNKNOWN, 0.0, True
-        raw = normal(text)
-        sizes = sorted((len(c.compress(raw)), i) for i, c in enumerate(self.compressors))
+        parts = list(text_blocks(normal(text)))
+        sizes = sorted((sum(len(c.compress(part)) for part in parts), i) for i, c in enumerate(self.compressors))
         best, at = sizes[0]
         if len(sizes) == 1:
             return self.names[at], 1.0, False
         second = sizes[1][0]
         saved = (second - best) / max(1, second)
         # half of a text's bytes saved on the second best is as sure as it gets
-        return self.names[at], min(1.0, 0.5 + saved), 100 * (second - best) < MARGIN * best
+        return self.names[at], min(1.0, 0.5 + saved), 100 * (second - best - CHANCE_BYTES) < MARGIN * best
 
 
 _classifier: dict[str, object] = {}

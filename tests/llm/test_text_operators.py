@@ -123,6 +123,24 @@ def test_language(spark):
     assert language.predictions(docs.limit(0)).count() == 0
 
 
+def test_language_margin_is_independent_of_length():
+    rng = random.Random(6)
+
+    def speaker(letters):
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(3, 9))) for _ in range(3000)]
+        return lambda n: " ".join(rng.choice(words) for _ in range(n))
+
+    spoken = {"xx": speaker("aeioulnrstmk"), "yy": speaker("aeioubdgpvz")}
+    model = language.Classifier({k: language.normal(f(1000)) for k, f in spoken.items()})
+    for name, say in spoken.items():
+        for n in (200, 600_000):
+            assert model(say(n))[::2] == (name, False)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(200)) for _ in range(30)]
+    assert all(model(text)[2] for text in noise)
+    raw = language.normal("é" * 5000 + " " + spoken["xx"](3000))
+    assert b"".join(language.text_blocks(raw)) == raw and max(map(len, language.text_blocks(raw))) <= language.BLOCK_BYTES
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     plain = ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(200)]
