@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,8 @@ from stratapage.llm.kernels import blocks, word_hashes
 WINDOW = 13
 #: Bytes of item texts that one automaton holds; more items make more automata, one after the other.
 ITEM_BYTES = 4 << 20
+#: Bytes of rows that a task holds while the automata, where there are several, go over them in turn.
+HOLD_BYTES = 64 << 20
 #: A document is contaminated when at least one word in SHARE is hit.
 SHARE = 20
 
@@ -168,23 +171,25 @@ def _scan(column: pa.Array, index: tuple) -> Iterator[tuple[np.ndarray, np.ndarr
         yield starts, ends, hit, found
 
 
-_loaded: dict[int, tuple] = {}
+_loaded: dict[str, tuple] = {}
 
 
-def _load(shared) -> tuple:
-    """The index of a broadcast value; a worker keeps one."""
-    if shared.value is not _loaded.get("raw"):
+def _load(key: str, shared) -> tuple:
+    """The index of a broadcast value; a worker keeps one, and not its raw bytes."""
+    if key not in _loaded:
         _loaded.clear()
-        _loaded.update(raw=shared.value, index=pickle.loads(shared.value))
-    return _loaded["index"]
+        _loaded[key] = pickle.loads(shared.value)
+        if getattr(shared, "_path", None):
+            # the value is read from its file again when its turn comes
+            shared.__dict__.pop("_value", None)
+    return _loaded[key]
 
 
-def _indexes(benchmark: DataFrame, window: int) -> list:
+def _indexes(benchmark: DataFrame, window: int) -> list[tuple[str, object]]:
     """Broadcast indexes of all items, each of ITEM_BYTES of text at most unless one item is longer.
 
     An index goes to all executors; more text than one may hold makes more
-    indexes, read from the table one by one, and one pass over the documents
-    for each.
+    indexes, read from the table one by one. Each has a key of its own.
     """
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce(benchmark["text"].cast("string"), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -193,27 +198,70 @@ def _indexes(benchmark: DataFrame, window: int) -> list:
     out = []
     for i in range(parts):
         rows = [(r.item, r.text) for r in items.where(of == i).collect()]
-        out.append(benchmark.sparkSession.sparkContext.broadcast(_index(rows, window)))
+        out.append((uuid.uuid4().hex, benchmark.sparkSession.sparkContext.broadcast(_index(rows, window))))
     return out
 
 
-def _report(shared):
+def _hits(column: pa.Array, index: tuple) -> Iterator[tuple[int, list[tuple[int, int, int, int]], set]]:
+    """Words, hit runs and items found of each text; a run has its first word and end, then its first byte and end."""
+    for starts, ends, hit, found in _scan(column, index):
+        edge = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
+        yield len(hit), [(a, b, int(starts[a]), int(ends[b - 1])) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)], found
+
+
+def _union(runs: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """The runs in order, those that overlap or touch as one."""
+    out: list[tuple[int, int, int, int]] = []
+    for run in sorted(runs):
+        if out and run[0] <= out[-1][1]:
+            low, high, first, end = out[-1]
+            out[-1] = (low, max(high, run[1]), first, max(end, run[3]))
+        else:
+            out.append(run)
+    return out
+
+
+def _held(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of at least size bytes but for the last."""
+    held, have = [], 0
+    for batch in batches:
+        held.append(batch)
+        have += batch.nbytes
+        if have >= size:
+            yield held
+            held, have = [], 0
+    if held:
+        yield held
+
+
+def _judged(batches: Iterator[pa.RecordBatch], indexes: list[tuple[str, object]]) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Each batch, with what all indexes together find in its texts as they came.
+
+    The indexes are loaded in turn, one at a time, for HOLD_BYTES of rows.
+    """
+    for held in _held(batches, HOLD_BYTES if len(indexes) > 1 else 1):
+        found: list[list] = []
+        for key, shared in indexes:
+            # no name for the index here: it must go before the next is loaded
+            now = [list(_hits(batch["text"], _load(key, shared))) for batch in held]
+            if found:
+                now = [[(n, _union(runs + more), items | others) for (n, runs, items), (_, more, others) in zip(*pair, strict=True)] for pair in zip(found, now, strict=True)]
+            found = now
+        yield from zip(held, found, strict=True)
+
+
+def _report(indexes: list[tuple[str, object]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total, count, hits, items = [], [], [], []
-            for _, _, hit, found in _scan(batch["text"], _load(shared)):
-                total.append(len(hit))
-                edge = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
-                hits.append([{"low": a, "high": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)])
-                count.append(int(hit.sum()))
-                items.append(sorted(x for x in found if x is not None))
-            kind = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
-            yield pa.record_batch([batch["doc_id"], pa.array(total, pa.int64()), pa.array(count, pa.int64()), pa.array(hits, kind), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "hits", "items"])
+        for batch, rows in _judged(batches, indexes):
+            total = [n for n, _, _ in rows]
+            count = [sum(b - a for a, b, _, _ in runs) for _, runs, _ in rows]
+            items = [sorted(x for x in found if x is not None) for _, _, found in rows]
+            yield pa.record_batch([batch["doc_id"], pa.array(total, pa.int64()), pa.array(count, pa.int64()), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "items"])
 
     return run
 
 
-_FOUND = "doc_id long, n_words long, n_hit long, hits array<struct<low:long,high:long>>, items array<string>"
+_FOUND = "doc_id long, n_words long, n_hit long, items array<string>"
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -230,19 +278,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """
     prepare(docs.sparkSession)
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    parts = _indexes(benchmark, window)
-    if len(parts) == 1:
-        found = slim.mapInArrow(_report(parts[0]), _FOUND)
-    else:
-        slim = slim.withColumn("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)))
-        found = None
-        for part in parts:
-            one = slim.mapInArrow(_report(part), _FOUND)
-            found = one if found is None else found.unionAll(one)
-        # repeated rows of an id have the same hits in each part
-        found = found.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_set("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), (F.count(F.lit(1)) / len(parts)).cast("int").alias("copies"))
-        found = found.withColumn("n_hit", F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["low"], h["high"] - 1))))).cast("long"))
-        found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).withColumn("doc_id", F.expr(f"nullif(doc_id, {2**63 - 1})"))
+    found = slim.mapInArrow(_report(_indexes(benchmark, window)), _FOUND)
     return found.select(
         "doc_id",
         "n_words",
@@ -263,19 +299,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     names = docs.columns
     resize = "n_chars" in names
 
-    def strip(shared):
+    def strip(indexes):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch, rows in _judged(batches, indexes):
                 old, new, keep = batch["text"].to_pylist(), [], []
-                for text, (starts, ends, hit, _) in zip(old, _scan(batch["text"], _load(shared)), strict=True):
-                    n = int(hit.sum())
-                    keep.append(not (n and SHARE * n >= len(hit)))
+                for text, (total, runs, _) in zip(old, rows, strict=True):
+                    n = sum(b - a for a, b, _, _ in runs)
+                    keep.append(not (n and SHARE * n >= total))
                     if n and keep[-1]:
                         raw, left, end = text.encode(), [], 0
-                        edge = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
-                        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                            left.append(raw[end : starts[a]])
-                            end = ends[b - 1]
+                        for _, _, low, high in runs:
+                            left.append(raw[end:low])
+                            end = high
                         left.append(raw[end:])
                         text = b"".join(left).decode()
                     new.append(text)
@@ -289,7 +324,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
         return run
 
-    for part in _indexes(benchmark, window):
-        docs = docs.withColumn("text", F.col("text").cast("string"))
-        docs = docs.mapInArrow(strip(part), docs.schema)
-    return docs.select(*names)
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    return docs.mapInArrow(strip(_indexes(benchmark, window)), docs.schema).select(*names)

@@ -81,6 +81,22 @@ def test_decontaminate_cuts(spark):
     assert found == {1: (f"{long}- ! end", 207), 3: ("clean", 1), 4: (None, 1)}
 
 
+@pytest.mark.parametrize("limit", [decontaminate.ITEM_BYTES, 40])
+def test_several_indexes_are_as_one(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", limit)
+    items = ["one two three four", *(f"i{n}a i{n}b i{n}c i{n}d" for n in range(40)), "three four five six"]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    w = "w " * 200
+    three_each = " ".join(items[n] for n in (3, 17, 25, 38))  # 16 of 216 words, of several indexes; each alone is under 5 %
+    rows = [(1, w + three_each), (2, f"{w}one two three four five six end"), (3, f"{w}one i5a i5b i5c i5d two three four"), (None, w + items[7]), (None, w.replace("w", "v") + "a b c d"), (None, "a b c d"), (None, None), (7, w + items[8]), (7, w + "a b c d")]
+    docs = _docs(spark, rows)
+    found = sorted((r.doc_id or 0, r.text or "") for r in decontaminate.decontaminate(docs, benchmark, 4).collect())
+    expected = [(2, f"{w} end"), (3, f"{w}one  two three four"), (0, w), rows[4], rows[5], (0, ""), (7, w), rows[8]]
+    assert found == sorted((i or 0, t) for i, t in expected)
+    judged = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontaminate.contamination(docs, benchmark, 4).collect())
+    assert judged == sorted((i or 0, *(_contaminated(t, list(enumerate(items)), 4)[k] for k in (0, 1, 2, 4))) for i, t in rows)
+
+
 def test_fingerprints(spark):
     rng = random.Random(1)
     texts = [" ".join("".join(rng.choice("abcdeé") for _ in range(5)) for _ in range(rng.randint(0, 200))) for _ in range(50)] + [None, "", "x"]
