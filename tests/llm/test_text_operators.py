@@ -263,6 +263,25 @@ def test_licenses(spark):
     assert licenses.find_licenses(docs.limit(0)).count() == 0
 
 
+def test_licenses_tell_siblings_apart(spark):
+    header = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    cases = {
+        header.format("General Public License", "2"): {"GPL-2.0"},
+        header.format("Lesser General Public License", "2.1"): {"LGPL-2.1"},
+        header.format("Affero General Public License", "3"): {"AGPL-3.0"},
+        header.format("General Public License", "7"): set(),
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": {"CC-BY-SA-4.0"},
+        "Licensed under CC BY-NC-SA 4.0.": {"CC-BY-NC-SA-4.0-notice"},
+        "Released under an MIT License": {"MIT-notice"},
+        "Released under the Frog License": set(),
+        licenses.TEMPLATES["MIT"][:300]: set(),
+        **{licenses.TEMPLATES[k]: {k} for k in ("MIT", "MIT-0", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "Unlicense", "Apache-2.0", "GPL-3.0-text", "LGPL-2.1-text")},
+    }
+    docs = _docs(spark, list(enumerate(cases)))
+    found = [(r.doc_id, r.license) for r in licenses.find_licenses(docs).collect()]
+    assert {i: {n for d, n in found if d == i} for i in range(len(cases))} == dict(enumerate(cases.values()))
+
+
 def test_alignment_is_a_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(60):
