@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from stratapage.llm.common import release
+from stratapage.llm.common import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,26 +16,30 @@ def components(edges: DataFrame) -> DataFrame:
     time. So the work grows with logarithms of the nodes and the longest path.
     Self-loops and repeated edges have no effect; no edges give no rows. Nothing is collected: each round asks only whether edges are left.
     """
-    edges = edges.where("a != b").select("a", "b").distinct().checkpoint()
+    edges = written(edges.where("a != b").select("a", "b").distinct())
     maps = []
     while not edges.isEmpty():
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        pointer = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("to")).checkpoint()
+        pointer = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("to")))
         while True:
             onward = pointer.select(F.col("node").alias("to"), F.col("to").alias("further"))
-            jumped = pointer.join(onward, "to").select("node", "to", "further").checkpoint()
-            if jumped.where("further != to").isEmpty():
+            jumped = written(pointer.join(onward, "to").select("node", "to", "further"))
+            discard(pointer)
+            done = jumped.where("further != to").isEmpty()
+            pointer = written(jumped.select("node", F.col("further").alias("to")))
+            discard(jumped)
+            if done:
                 break
-            pointer = jumped.select("node", F.col("further").alias("to"))
         maps.append(pointer)
         near = pointer.select(F.col("node").alias("a"), F.col("to").alias("a2"))
         far = pointer.select(F.col("node").alias("b"), F.col("to").alias("b2"))
-        edges = edges.join(near, "a").join(far, "b").where("a2 != b2").select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct().checkpoint()
-        release(edges.sparkSession)
-    if not maps:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    found = maps[0].select("node", F.col("to").alias("component"))
+        left = written(edges.join(near, "a").join(far, "b").where("a2 != b2").select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct())
+        discard(edges)
+        edges = left
+    found = maps[0].select("node", F.col("to").alias("component")) if maps else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     for pointer in maps[1:]:
         step = pointer.select(F.col("node").alias("component"), "to")
         found = found.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return found
+    out = written(found)
+    discard(edges, *maps)
+    return out

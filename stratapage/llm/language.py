@@ -20,8 +20,8 @@ from stratapage.llm.common import prepare
 
 #: Training sample: texts of each language at most, and bytes of each language's dictionary.
 SAMPLE_TEXTS, DICTIONARY_BYTES = 400, 48_000
-#: Bytes that one training text may give, so that a long one doesn't make the dictionary alone.
-SHARE_BYTES = 2_000
+#: Bytes of a dictionary that one training text may give, so that a long one doesn't make it alone, and the pieces that these are taken in from all over the text.
+SHARE_BYTES, SHARE_PIECES = 2_000, 4
 #: Bytes of a text that are compressed at once: a longer run would learn from itself what the dictionary knows, and the saving would no longer grow with the text.
 BLOCK_BYTES = 4096
 #: Bytes that the best must save on the second best, for each hundred bytes of the best, and besides for any text, as a few bytes are chance: less is rejected.
@@ -42,33 +42,41 @@ def train(docs: DataFrame) -> dict[str, bytes]:
     """A dictionary for each non-null ``lang`` of docs, of a bounded sample of its texts.
 
     The sample is the SAMPLE_TEXTS texts of smallest hash in each language, so
-    it is the same whatever the partitions. Texts without a letter are left out.
+    it is the same whatever the partitions; equal texts count once. Texts
+    without a letter are left out. Each text gives ``share`` of its whole
+    length. One row for each language goes to the driver, of SAMPLE_TEXTS times
+    SHARE_BYTES at most.
     """
-    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.substring("text", 1, SHARE_BYTES).alias("text"))
-    rows = rows.where(F.col("text").rlike(r"\p{L}"))
-    # the hash of whole sampled texts; equal texts count once
-    out = {}
-    for row in _smallest(rows).collect():
-        raw = b""
-        for text in dict.fromkeys(row["texts"]):
-            raw += normal(text)
-            if len(raw) >= DICTIONARY_BYTES:
-                break
-        out[row["lang"]] = raw[:DICTIONARY_BYTES]
-    return out
+    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), "text").where(F.col("text").rlike(r"\p{L}"))
+    return {row["lang"]: b"".join(map(bytes, row["shares"]))[:DICTIONARY_BYTES] for row in _smallest(rows).collect()}
+
+
+def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = pa.array([share(normal(t.as_py())) for t in batch["text"]], pa.binary())
+        yield pa.record_batch([batch["lang"], batch["h"], own], ["lang", "h", "share"])
+
+
+def share(raw: bytes) -> bytes:
+    """What a training text gives of its normal form: all of it, or SHARE_PIECES runs that lie evenly over the whole."""
+    if len(raw) <= SHARE_BYTES:
+        return raw
+    size = SHARE_BYTES // SHARE_PIECES
+    step = (len(raw) - size) // (SHARE_PIECES - 1)
+    return b"".join(raw[i * step : i * step + size] for i in range(SHARE_PIECES))
 
 
 def _smallest(rows: DataFrame) -> DataFrame:
-    """(lang, texts): the SAMPLE_TEXTS texts of smallest hash of each language, by two bounded steps."""
+    """(lang, shares): those of the SAMPLE_TEXTS texts of smallest hash of each language, by two bounded steps."""
     hashed = rows.withColumn("h", F.xxhash64("text"))
     # a coarse cut first, by the share of hashes that holds about twice the sample; copies are met before any list is made
-    share = F.lit(2.0 * SAMPLE_TEXTS + 64) / F.approx_count_distinct("h")
+    part = F.lit(2.0 * SAMPLE_TEXTS + 64) / F.approx_count_distinct("h")
     # a row for each language, as the result has: so the texts needn't be dealt out to be cut
-    cuts = [F.lit(x) for r in hashed.groupBy("lang").agg(share.alias("share")).collect() for x in (r["lang"], r["share"])]
+    cuts = [F.lit(x) for r in hashed.groupBy("lang").agg(part.alias("part")).collect() for x in (r["lang"], r["part"])]
     cut = F.try_element_at(F.create_map(*cuts), F.col("lang")) if cuts else F.lit(0.0)
-    near = hashed.where(F.shiftrightunsigned("h", 1) / F.lit(float(2**63)) <= cut)
-    near = near.groupBy("lang", "h").agg(F.first("text").alias("text"))
-    return near.groupBy("lang").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("h", "text"))), lambda x: x["text"]), 1, SAMPLE_TEXTS).alias("texts"))
+    near = hashed.where(F.shiftrightunsigned("h", 1) / F.lit(float(2**63)) <= cut).mapInArrow(_shares, "lang string, h long, share binary")
+    near = near.groupBy("lang", "h").agg(F.min("share").alias("share"))
+    return near.groupBy("lang").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("h", "share"))), lambda x: x["share"]), 1, SAMPLE_TEXTS).alias("shares"))
 
 
 def normal(text: str) -> bytes:
@@ -126,9 +134,12 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
 
     A null text, or one without a letter, is ``und`` with score 0 and rejected.
     Equal sizes go to the first name. Without dictionaries all are ``und``.
-    Repeated rows are judged alike; all columns are kept.
+    Repeated rows are judged alike; all columns are kept, but for those of docs
+    that have one of the three names: they are replaced. An empty table gives
+    an empty one.
     """
     prepare(docs.sparkSession)
+    docs = docs.drop("lang_pred", "score", "rejected")
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +165,12 @@ def predictions(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose language is rejected; learns as ``predictions`` does."""
+    """docs without the rows whose language is rejected; learns as ``predictions`` does.
+
+    Null and letterless texts go, and ties: they can't be told. Null ids are
+    judged like others; repeated rows stay or go alike. All columns come back
+    as they were, whatever their names; an empty table gives an empty one.
+    """
     typed = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     dictionaries = train(typed.where(fold("doc_id", 4) != 2))
     names = docs.columns

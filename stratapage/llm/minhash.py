@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stratapage.llm.common import NULL_ID, prepare, real_id, release, texts
+from stratapage.llm.common import NULL_ID, discard, prepare, real_id, texts, written
 from stratapage.llm.components import components
 from stratapage.llm.kernels import shingle_sets
 
@@ -27,6 +27,8 @@ MANTISSA = 10
 SIGMAS = 6.0
 #: Hubs that each document is tested against first.
 HUBS = 2
+#: A shingle of more sets than this, and than one in HOT_SHARE of all shingles, is hot: there are HOT_SHARE hot ones at most.
+HOT, HOT_SHARE = 1024, 4096
 
 _fill = np.argsort(np.random.default_rng(7).random((REGISTERS, REGISTERS)), axis=1)
 
@@ -75,16 +77,20 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return np.clip((equal - chance) / (1 - chance), 0, 1)
 
 
+def _digest(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
 def _describe(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, sketches = [], [], []
             for hashes in shingle_sets(batch["text"], k):
                 sizes.append(len(hashes))
-                digests.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
+                digests.append(_digest(hashes))
                 sketches.append(sketch(hashes).tobytes())
             if sizes:
-                yield pa.record_batch([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "n", "digest", "sketch"])
+                yield pa.record_batch([batch["doc_id"], batch["text_hash"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "text_hash", "n", "digest", "sketch"])
 
     return run
 
@@ -104,7 +110,9 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch["doc_id"], pa.array([s.tobytes() for s in shingle_sets(batch["text"], k)], pa.binary())], ["node", "hashes"])
+            # of texts that share an id and a hash, the one that the class stands for
+            own = [s.tobytes() if _digest(s) == d.as_py() else None for s, d in zip(shingle_sets(batch["text"], k), batch["digest"], strict=True)]
+            yield pa.record_batch([batch["node"], pa.array(own, pa.binary())], ["node", "hashes"])
 
     return run
 
@@ -148,6 +156,20 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(np.repeat(batch["node"].to_numpy(), sizes)), pa.array(flat)], ["node", "shingle"])
 
 
+def _frequencies(rows: DataFrame, total: int) -> DataFrame:
+    """rows (node, shingle) with df, the sets that have the shingle; shingles of one set alone are left out.
+
+    Hot shingles, HOT_SHARE at most by their definition, are looked up in a
+    broadcast table, so that no join has more rows of a key than the bound.
+    """
+    bound = max(HOT, total // HOT_SHARE)
+    common = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    hot = F.broadcast(common.where(F.col("df") > bound).withColumnRenamed("df", "hot_df"))
+    marked = rows.join(hot, "shingle", "left")
+    usual = marked.where("hot_df IS NULL").drop("hot_df").join(common.where(F.col("df") <= bound), "shingle")
+    return usual.select("node", "shingle", "df").unionAll(marked.where("hot_df IS NOT NULL").select("node", "shingle", F.col("hot_df").alias("df")))
+
+
 def _rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components among nodes (node, component, n) that may reach the threshold.
 
@@ -158,25 +180,33 @@ def _rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a shingle's commonest component are joined with the others.
     """
     rows = sets.join(nodes, "node", "left_semi").mapInArrow(_explode, "node long, shingle long")
-    common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    listed = rows.join(common, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "shingle")))["shingle"].alias("s"))
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    listed = _frequencies(rows, total).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "shingle")))["shingle"].alias("s"))
     listed = listed.join(nodes, "node")
     # a partner may be smaller, down to percent of n: then the pair must share that many
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("s"))
     cut = listed.withColumn("length", length.cast("int")).where("length > 0")
     first = cut.select("node", "component", "n", (F.col("n") - F.size("s")).alias("alone"), F.posexplode(F.slice("s", F.lit(1), F.col("length"))).alias("at", "shingle"))
-    first = first.select("shingle", "node", "component", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("left")).checkpoint()
+    first = written(first.select("shingle", "node", "component", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("left")))
     sizes = first.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts"))
-    first = first.join(sizes.where("parts > 1").select("shingle", "main"), "shingle")
-    x = first.where("component != main").select("shingle", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("left").alias("lx"))
-    y = first.select("shingle", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("left").alias("ly"), "main")
+    mixed = first.join(sizes.where("parts > 1").select("shingle", "main"), "shingle")
+    x = mixed.where("component != main").select("shingle", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("left").alias("lx"))
+    y = mixed.select("shingle", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("left").alias("ly"), "main")
     met = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("cx") < F.col("cy")))
     met &= (100 + percent) * F.least("lx", "ly") >= percent * (F.col("nx") + F.col("ny"))
-    found = x.join(y, (x["shingle"] == y["shingle"]) & met).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().checkpoint()
-    release(nodes.sparkSession)
+    found = written(x.join(y, (x["shingle"] == y["shingle"]) & met).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    discard(first)
     return found
 
 
+def _same_ids(filled: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) of the classes of an id that comes with several texts; null ids are documents of their own."""
+    several = filled.where(F.col("doc_id") != NULL_ID).groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low != high")
+    own = filled.join(several, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(classes.select("digest", "node"), "digest").select("doc_id", "node")
+    low = own.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return own.join(low, "doc_id").where("a != node").select("a", F.col("node").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of (doc_id, text).
 
@@ -192,27 +222,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     bands with a probability below 1e-6, a closer one with far less.
 
     Nulls: a null text is empty, an empty text has no shingles and links to
-    nothing; rows with a null id take part but have a null component_id and
-    are kept. Repeated rows of an id are one document. Other columns are
+    nothing. Rows with a null id are documents of their own: they take part but
+    have a null component_id and are kept. Rows that share an id are one
+    document, which links wherever one of its texts does. Other columns are
     ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    docs = texts(docs)
-    rows = docs.mapInArrow(_describe(k), "doc_id long, n long, digest binary, sketch binary").checkpoint()
+    prepare(docs.sparkSession)
+    docs = texts(docs).withColumn("text_hash", F.xxhash64("text"))
+    rows = written(docs.select("doc_id", "text_hash", "text").mapInArrow(_describe(k), "doc_id long, text_hash long, n long, digest binary, sketch binary"))
     filled = rows.where("n > 0")
-    # one row for each class, and one class for each id; sketches are dealt out only once that is known
-    keys = filled.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.min("digest").alias("digest"))
-    classes = filled.join(keys, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("node"), "n", "sketch").checkpoint()
-    release(spark)
+    # a row for each class, and the text that stands for it; numbered once, as written
+    own = filled.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("own"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = written(own.select(F.monotonically_increasing_id().alias("node"), "digest", "own.doc_id", "own.text_hash", "n", "sketch"))
 
     bands = classes.select("node", "sketch").mapInArrow(_bands, "key long, node long")
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = bands.join(shared, "key").checkpoint()
-    degrees = members.groupBy("node").agg(F.sum("members").alias("degree")).checkpoint()
-    sets = docs.withColumnRenamed("doc_id", "node").join(degrees, "node", "left_semi").dropDuplicates(["node"]).withColumnRenamed("node", "doc_id").mapInArrow(_sets(k), "node long, hashes binary").checkpoint()
-    release(spark)
-    sketches = classes.join(degrees, "node", "left_semi")
+    members = written(bands.join(shared, "key"))
+    degrees = written(members.groupBy("node").agg(F.sum("members").alias("degree")))
+    met = classes.join(degrees, "node", "left_semi")
+    wanted = docs.join(met.select("node", "digest", "doc_id", "text_hash"), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash", "node"])
+    sets = written(wanted.select("node", "digest", "text").mapInArrow(_sets(k), "node long, hashes binary").where("hashes IS NOT NULL"))
+    sketches = met.select("node", "n", "sketch")
 
     def linked(pairs: DataFrame) -> DataFrame:
         a, b = (sketches.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
@@ -224,28 +254,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # hubs: of each band's documents the one that meets most others; each document is tested against those it meets most often
     ranked = members.select("key", "node").join(degrees, "node")
     hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("hub"))
-    met = members.select("key", "node").join(hubs, "key").where("node != hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("times"))
-    met = met.groupBy("node").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("times", "hub")))), 1, HUBS).alias("hubs"))
-    pairs = met.select("node", F.explode("hubs").alias("h")).select(F.least("node", "h.hub").alias("a"), F.greatest("node", "h.hub").alias("b"))
-    links = linked(pairs.distinct()).checkpoint()
-    release(spark)
-    found = components(links).checkpoint()
-    release(spark)
+    near = members.select("key", "node").join(hubs, "key").where("node != hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("times"))
+    near = near.groupBy("node").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("times", "hub")))), 1, HUBS).alias("hubs"))
+    pairs = written(near.select("node", F.explode("hubs").alias("h")).select(F.least("node", "h.hub").alias("a"), F.greatest("node", "h.hub").alias("b")).distinct())
+    links = written(linked(pairs).unionAll(_same_ids(filled, classes)))
+    found = components(links)
+    discard(pairs, links)
 
     # bands whose documents aren't in one component yet: their documents meet again, on their rarest shingles
     placed = members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     undone = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    left = placed.join(undone, "key").select("node", "component").distinct()
-    rest = _rare_pairs(left.join(classes.select("node", "n"), "node"), sets, percent)
-    late = linked(rest).checkpoint()
-    release(spark)
+    left = written(placed.join(undone, "key").select("node", "component").distinct().join(met.select("node", "n"), "node"))
+    rest = _rare_pairs(left, sets, percent)
+    late = written(linked(rest))
     if not late.isEmpty():
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(late)).checkpoint()
-
-    of_class = filled.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    of_class = of_class.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    out = rows.drop("sketch").join(of_class, "digest", "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(late))
+
+    # the smallest id of each component; ids of a class that nothing links are its own
+    placed = classes.select("node", "digest", "doc_id").join(found, "node", "left").select("digest", "doc_id", F.coalesce("component", "node").alias("component"))
+    lowest = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_class = written(placed.join(lowest, "component").select("digest", "component_id"))
+    discard(members, degrees, sets, left, rest, late, classes, found)
+    out = rows.select("doc_id", "n", "digest").join(of_class, "digest", "left")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id") != NULL_ID, component)
     return out.select(
         real_id(), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from stratapage.llm import minhash
 from stratapage.llm.components import components
 from stratapage.llm.minhash import drop_duplicates, estimate, near_duplicates, sketch
 
@@ -12,26 +13,24 @@ SCHEMA = "doc_id long, text string, n string, digest string"
 
 
 def _expected(rows, k):
-    sets = {}
+    """(sizes, component of each id) over all pairs; an id may come with several texts."""
+    sets = []
     for doc, text in rows:
         words = (text or "").lower().split()
-        grams = {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} if words else set()
-        sets[doc] = grams
-    parent = {d: d for d in sets}
+        sets.append((doc, {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} if words else set()))
+    parent = {d: d for d, _ in sets}
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    ids = sorted(sets)
-    for i, a in enumerate(ids):
-        for b in ids[:i]:
-            x, y = sets[a], sets[b]
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[:i]:
             if x and y and 100 * len(x & y) >= 80 * len(x | y):
                 low, high = sorted((find(a), find(b)))
                 parent[high] = low
-    return {d: (len(sets[d]), find(d)) for d in ids}
+    return sorted((d, len(x), find(d) if x else d) for d, x in sets)
 
 
 def _corpus(seed=3):
@@ -52,10 +51,29 @@ def _corpus(seed=3):
 def test_same_components_as_all_pairs(spark, k):
     rows = _corpus()
     frame = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], SCHEMA)
-    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(frame, k).collect()}
+    found = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(frame, k).collect())
     assert found == _expected(rows, k)
 
 
+@pytest.mark.parametrize("hot", [minhash.HOT, 1])
+def test_repeated_ids_with_several_texts(spark, monkeypatch, hot):
+    monkeypatch.setattr(minhash, "HOT", hot)
+    monkeypatch.setattr(minhash, "HUBS", 1)
+    rng = random.Random(4)
+    rows = [(d // 2 if rng.random() < 0.3 else d, t) for d, t in _corpus(11)]
+    frame = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], SCHEMA)
+    found = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(frame, 4).collect())
+    assert found == _expected(rows, 4)
+
+
+def test_null_ids_are_documents_of_their_own(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(None, a), (None, b), (5, a + " z"), (7, b + " z"), (7, b), (9, "a0 " + a)]
+    frame = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], SCHEMA)
+    found = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_duplicates(frame, 4).collect())
+    assert found == [(0, 0, True), (0, 0, True), (5, 5, True), (7, 7, True), (7, 7, True), (9, 5, False)]
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (4, None)]
     frame = spark.createDataFrame([(d, t, None, None) for d, t in rows], SCHEMA)

@@ -139,6 +139,22 @@ def test_language(spark):
     assert language.predictions(docs.limit(0)).count() == 0
 
 
+def test_language_learns_from_whole_texts(spark):
+    rng = random.Random(7)
+    words = {"xx": ["kalo", "mira", "tuno", "sela"], "yy": ["grunt", "blisk", "drask", "vlorn"]}
+    blank = "12 34 -- " * 300  # letters start after character 2000
+    rows = [(i, blank + " ".join(rng.choice(words[l]) for _ in range(40)), l, i, "q") for i in range(120) for l in ("xx", "yy")[i % 2 : i % 2 + 1]]
+    rows += [rows[0], (None, rows[1][1], "yy", 0, "q"), (500, "x" * 300_000, "xx", 0, "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score long, rejected string")
+    found = language.predictions(docs).collect()
+    expected = {(d, l) for d, _, l, _, _ in rows if d != 500}
+    assert {(r.doc_id, r.lang_pred) for r in found if r.doc_id != 500} == expected and len(found) == len(rows)
+    kept = language.keep_identified(docs)
+    assert kept.columns == docs.columns and {(r.doc_id, r.rejected) for r in kept.collect()} >= {(d, "q") for d, _ in expected}
+    raw = bytes(range(97, 123)) * 400
+    assert len(language.share(raw)) == language.SHARE_BYTES and language.share(raw)[-26:] == raw[-26:] and language.share(b"short") == b"short"
+
+
 def test_language_margin_is_independent_of_length():
     rng = random.Random(6)
 
