@@ -44,22 +44,27 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_powers: tuple[np.ndarray, np.ndarray] | None = None
+#: For second_hash: a base and byte values of its own.
+_BASE_2 = _splitmix(54321) | 1
+_INVERSE_2 = pow(_BASE_2, -1, 2**64)
+_BYTE_HASH_2 = np.array([_splitmix(7000 + i) for i in range(256)], dtype=np.uint64)
 
+_powers: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+
+def powers(n: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The base's powers and inverse powers modulo 2**64, up to exponent n."""
-    global _powers
-    if _powers is None or len(_powers[0]) <= n:
+    if second not in _powers or len(_powers[second][0]) <= n:
         size = max(n + 1, BLOCK_BYTES + 1)
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
+        bases = (_BASE_2, _INVERSE_2) if second else (_BASE, _INVERSE)
+        up, down = (np.full(size, x, np.uint64) for x in bases)
         up[0] = down[0] = 1
         np.multiply.accumulate(up, out=up)
         np.multiply.accumulate(down, out=down)
         if size > 4 * BLOCK_BYTES:
             return up, down
-        _powers = up, down
-    return _powers
+        _powers[second] = up, down
+    return _powers[second]
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
@@ -74,6 +79,14 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return (prefix[end] - prefix[start]) * powers(len(prefix))[1][start]
 
 
+def second_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Mixed hashes of spans that are independent of prefix_hash's."""
+    up, down = powers(len(data), second=True)
+    prefix = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_HASH_2[data] * up[: len(data)], out=prefix[1:])
+    return mix((prefix[end] - prefix[start]) * down[start])
+
+
 def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of whole texts; null is empty.
 

@@ -4,12 +4,14 @@
 common-prefix intervals are read off with a stack and kept where the bytes to
 the left differ.
 
-``repeated_bytes`` is the distributed form for a fixed length. Each window of
+``repeated_ranges`` is the distributed form for a fixed length. Each window of
 that many bytes holds a k-byte gram whose hash is smallest, its anchor; equal
 windows have equal anchors, so a suffix array of all texts can be cut into
 independent pieces by anchor. Consecutive windows with one anchor form a span.
-Equal spans are settled by their hashes; only the first of each different span
-of a shared anchor goes into a piece's suffix array.
+Equal spans are settled by two independent hashes; only the first of each
+different span of a shared anchor goes into a piece. A piece compares its
+windows byte by byte, and reads the maximal repeats with all their occurrences
+off the intervals of its suffix array; all of these but the earliest go.
 """
 
 from __future__ import annotations
@@ -22,14 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from stratapage.llm.common import NULL_ID, prepare, written
-from stratapage.llm.kernels import BLOCK_BYTES, blocks, mix, prefix_hash, sliding_min, span_hash
+from stratapage.llm.kernels import BLOCK_BYTES, blocks, mix, prefix_hash, second_hash, sliding_min, span_hash
 
 GRAM = 32
 #: Different spans of one anchor up to which they share a suffix array; beyond, their windows are dealt out.
 PIECE = 32768
 #: Documents sampled for anchors that more than PIECE documents may hold.
 SAMPLE = 5000
+#: A dealt-out window of more spans than this, and than one in HOT_SHARE of all, is hot: there are HOT_SHARE hot ones at most.
+HOT, HOT_SHARE = 1024, 4096
 _U = np.uint64
+#: What a document is called: its id and a hash of its text.
+DOC = ["doc", "alt"]
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
@@ -124,11 +130,12 @@ def maximal_repeats(items: list[bytes], shortest: int) -> list[tuple[bytes, list
 
 
 def _spans(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Row, first window, number of windows, anchor and hash of each span of a block."""
+    """Row, first window, number of windows, anchor and the two hashes of each span of a block."""
     n = len(data)
     none = np.zeros(0, np.int64)
+    nothing = (none, none, none, *[none.astype(np.uint64)] * 3)
     if n < length:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return nothing
     gram = min(GRAM, length)
     prefix = prefix_hash(data)
     at = np.arange(n - gram + 1)
@@ -139,7 +146,7 @@ def _spans(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
     room = np.repeat(offsets[1:], sizes)[: n - length + 1] - at[: n - length + 1] >= length
     windows = np.flatnonzero(room)
     if not len(windows):
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return nothing
     place = (smallest[windows] & _U(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
     row = np.repeat(np.arange(len(sizes)), sizes)
@@ -147,14 +154,14 @@ def _spans(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
     start, count = windows[first], last - first + 1
     whole = mix(span_hash(prefix, start, start + count + length - 1))
     whole = (whole & _U(0xFFFFFFFFFFFF0000)) | count.astype(np.uint64)  # a span's hash carries its number of windows
-    return row[start], start - offsets[row[start]], count, grams[place[first]], whole
+    return row[start], start - offsets[row[start]], count, grams[place[first]], whole, second_hash(data, start, start + count + length - 1)
 
 
 def _anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, _, data, offsets in blocks(batch["text"]):
-                row, _, _, anchor, _ = _spans(data, offsets, length)
+                row, _, _, anchor, _, _ = _spans(data, offsets, length)
                 ids = row.astype(np.uint64) ^ anchor
                 keep = np.unique(ids, return_index=True)[1]  # once a document
                 yield pa.record_batch([pa.array(anchor[keep].view(np.int64))], ["anchor"])
@@ -167,104 +174,111 @@ def _emit(length: int, frequent: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch["doc"].to_numpy()
+            ids, alts = batch["doc"].to_numpy(), batch["alt"].to_numpy()
             parts = []
             for first, _, data, offsets in blocks(batch["text"]):
-                row, start, count, anchor, whole = _spans(data, offsets, length)
-                parts.append((ids[first + row], start, count, anchor.view(np.int64), whole.view(np.int64)))
+                row, start, _, anchor, whole, second = _spans(data, offsets, length)
+                parts.append((anchor.view(np.int64), whole.view(np.int64), second.view(np.int64), ids[first + row], alts[first + row], start))
             if not parts:
                 continue
-            doc, start, count, anchor, whole = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((start, doc, whole, anchor))
-            a, w, d, s = anchor[order], whole[order], doc[order], start[order]
-            head = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (w[1:] != w[:-1])][: len(order)])
+            x = [np.concatenate(v) for v in zip(*parts, strict=True)]
+            order = np.lexsort(x[::-1])
+            x = [v[order] for v in x]
+            head = np.flatnonzero(_changes(x[:3]))
             top = np.repeat(head, np.diff(np.r_[head, len(order)]))
-            settled = (d != d[top]) | (s != s[top])
-            deal = np.where(settled, 2, np.isin(a, frequent))
-            yield pa.record_batch([pa.array(x) for x in (a, w, d, s, deal)], ["anchor", "span", "doc", "start", "deal"])
+            settled = np.zeros(len(order), bool)
+            for v in x[3:]:
+                settled |= v != v[top]
+            deal = np.where(settled, 2, np.isin(x[0], frequent)).astype(np.int32)
+            yield pa.record_batch([pa.array(v) for v in (*x, deal)], ["anchor", "span", "second", "doc", "alt", "start", "deal"])
 
     return run
 
 
+def _changes(columns: list[np.ndarray]) -> np.ndarray:
+    """Where a row differs from the one before it."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for v in columns:
+        out[1:] |= v[1:] != v[:-1]
+    return out
+
+
 #: What becomes of a span: gone, one of a suffix array's piece, or one whose windows are dealt out.
 GONE, PIECED, DEALT = 0, 1, 2
 
 
+_SETTLED = "anchor long, doc long, alt long, start long, windows long, kind int"
+
+
 def _settle(frequent: np.ndarray):
-    """Reads spans in order of (anchor, span, doc, start); holds back at most PIECE of one anchor."""
+    """Reads spans in order of (anchor, span, second, doc, alt, start); holds back at most PIECE of one anchor."""
+    names = [c.split()[0] for c in _SETTLED.split(", ")]
+
+    def pack(x: np.ndarray, kind):
+        """Rows of anchor, doc, alt, start and windows as a batch."""
+        anchor = np.where(np.asarray(kind) == GONE, 0, x[0])  # not needed any more
+        columns = [pa.array(np.ascontiguousarray(v, np.int64)) for v in (anchor, *x[1:])]
+        return pa.record_batch([*columns, pa.array(np.broadcast_to(np.asarray(kind, np.int32), x.shape[1]).copy())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None  # anchor, span, doc, start of the first of the current span
+        before = top = None  # anchor and hashes of the current span; doc, alt and start of its first
         held: list[np.ndarray] = []
         holding, spilling, anchor_now = 0, False, None
 
-        def flush(closing: bool):
+        def flush():
             nonlocal held, holding
-            kind = DEALT if spilling else PIECED
             rows = held if spilling or holding > 1 else []
             held, holding = [], 0
             if rows:
-                x = np.concatenate(rows, axis=1)
-                yield pack(x[0], x[1], x[2], x[3], np.full(x.shape[1], kind))
-
-        def pack(anchor, doc, start, windows, kind):
-            anchor = np.where(kind == GONE, 0, anchor)  # not needed any more
-            return pa.record_batch([pa.array(np.ascontiguousarray(v, np.int64)) for v in (anchor, doc, start, windows, kind)], ["anchor", "doc", "start", "windows", "kind"])
+                yield pack(np.concatenate(rows, axis=1), DEALT if spilling else PIECED)
 
         for batch in batches:
-            n = batch.num_rows
+            a, w, v, d, z, s, deal = (batch[c].to_numpy(zero_copy_only=False) for c in ("anchor", "span", "second", "doc", "alt", "start", "deal"))
+            done = deal == 2
+            if done.any():
+                yield pack(np.stack([a, d, z, s, w & 0xFFFF])[:, done], GONE)
+                a, w, v, d, z, s = (x[~done] for x in (a, w, v, d, z, s))
+            n = len(a)
             if not n:
                 continue
-            a, w, d, s, deal = (batch[x].to_numpy(zero_copy_only=False) for x in ("anchor", "span", "doc", "start", "deal"))
-            c, done = w & 0xFFFF, deal == 2
-            if done.any():
-                yield pack(a[done], d[done], s[done], c[done], np.zeros(int(done.sum())))
-                a, w, d, s, c = (x[~done] for x in (a, w, d, s, c))
-                n = len(a)
-                if not n:
-                    continue
-            fresh = np.r_[before is None or (a[0], w[0]) != before[:2], (a[1:] != a[:-1]) | (w[1:] != w[:-1])]
+            fresh = _changes([a, w, v])
+            fresh[0] = before is None or (a[0], w[0], v[0]) != before
             at = np.maximum.accumulate(np.where(fresh, np.arange(n), -1))
-            top_d = np.where(at >= 0, d[at], before[2] if before else 0)
-            top_s = np.where(at >= 0, s[at], before[3] if before else 0)
-            gone = (d != top_d) | (s != top_s)
+            tops = [np.where(at >= 0, x[at], top[i] if top else 0) for i, x in enumerate((d, z, s))]
+            gone = (d != tops[0]) | (z != tops[1]) | (s != tops[2])
+            x = np.stack([a, d, z, s, w & 0xFFFF])
             if gone.any():
-                yield pack(a[gone], d[gone], s[gone], c[gone], np.zeros(int(gone.sum())))
-            before = (a[-1], w[-1], top_d[-1], top_s[-1])
-            keep = np.flatnonzero(fresh)
-            if not len(keep):
-                continue
-            x = np.stack([a[keep], d[keep], s[keep], c[keep]])
+                yield pack(x[:, gone], GONE)
+            before, top = (a[-1], w[-1], v[-1]), tuple(t[-1] for t in tops)
+            x = x[:, fresh]
             hot = np.isin(x[0], frequent)
             if hot.any():
-                h = x[:, hot]
-                yield pack(h[0], h[1], h[2], h[3], np.full(h.shape[1], DEALT))
+                yield pack(x[:, hot], DEALT)
                 x = x[:, ~hot]
             if not x.shape[1]:
                 continue
-            edge = np.flatnonzero(np.r_[True, x[0, 1:] != x[0, :-1]])
+            edge = np.flatnonzero(_changes([x[0]]))
             stop = np.r_[edge[1:], x.shape[1]]
             sizes = stop - edge
             last = len(edge) - 1
             for g in ((0, last) if last else (0,)):
                 part = x[:, edge[g] : stop[g]]
                 if part[0, 0] != anchor_now:
-                    yield from flush(True)
+                    yield from flush()
                     anchor_now, spilling = part[0, 0], False
                 held.append(part)
                 holding += part.shape[1]
                 if spilling or holding > PIECE:
                     spilling = True
-                    yield from flush(False)
+                    yield from flush()
                 if g == 0 and last:
-                    yield from flush(True)
+                    yield from flush()
                     anchor_now, spilling = None, False
                     inner = np.repeat((sizes > 1) & (np.arange(len(sizes)) > 0) & (np.arange(len(sizes)) < last), sizes)
                     if inner.any():
-                        y = x[:, inner]
-                        big = np.repeat(sizes, sizes)[inner] > PIECE
-                        yield pack(y[0], y[1], y[2], y[3], np.where(big, DEALT, PIECED))
-        yield from flush(True)
+                        yield pack(x[:, inner], np.where(np.repeat(sizes, sizes)[inner] > PIECE, DEALT, PIECED))
+        yield from flush()
 
     return run
 
@@ -286,16 +300,13 @@ def _contexts(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            anchors, docs, starts, contents = [], [], [], []
-            for doc, text, rows in zip(batch["_doc"].to_pylist(), batch["text"].to_pylist(), _lists(batch["spans"], "anchor", "start", "windows"), strict=True):
+            rows: list[tuple] = []
+            for doc, alt, text, found in zip(*(batch[c].to_pylist() for c in (*DOC, "text")), _lists(batch["spans"], "anchor", "start", "windows"), strict=True):
                 raw = (text or "").encode()
-                for anchor, start, windows in rows.tolist():
-                    if start + windows + length - 1 <= len(raw):
-                        anchors.append(anchor)
-                        docs.append(doc)
-                        starts.append(start)
-                        contents.append(raw[start : start + windows + length - 1])
-            yield pa.record_batch([pa.array(anchors, pa.int64()), pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(contents, pa.binary())], ["anchor", "doc", "start", "bytes"])
+                rows += [(anchor, doc, alt, start, raw[start : start + windows + length - 1]) for anchor, start, windows in found.tolist()]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = [*[pa.int64()] * 4, pa.binary()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["anchor", *DOC, "start", "bytes"])
 
     return run
 
@@ -305,24 +316,28 @@ def _windows(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text, rows in zip(batch["_doc"].to_pylist(), batch["text"].to_pylist(), _lists(batch["spans"], "anchor", "start", "windows"), strict=True):
+            for doc, alt, text, rows in zip(*(batch[c].to_pylist() for c in (*DOC, "text")), _lists(batch["spans"], "anchor", "start", "windows"), strict=True):
                 data = np.frombuffer((text or "").encode(), np.uint8)
-                rows = rows[rows[:, 1] + rows[:, 2] + length - 1 <= len(data)]
-                if not len(rows):
-                    continue
-                prefix = prefix_hash(data)
                 count = rows[:, 2]
                 at = np.repeat(rows[:, 1], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                hashes = mix(span_hash(prefix, at, at + length)).view(np.int64)
-                yield pa.record_batch([pa.array(np.repeat(rows[:, 0], count)), pa.array(np.full(len(at), doc)), pa.array(at), pa.array(hashes)], ["anchor", "doc", "start", "window"])
+                hashes = mix(span_hash(prefix_hash(data), at, at + length)).view(np.int64)
+                second = second_hash(data, at, at + length).view(np.int64)
+                yield pa.record_batch([pa.array(x) for x in (np.full(len(at), doc), np.full(len(at), alt), at, hashes, second)], [*DOC, "start", "window", "second"])
 
     return run
 
 
+_RANGES = "doc long, alt long, low long, high long"
+
+
 def _piece(rows: list[pa.RecordBatch], length: int) -> pa.RecordBatch:
-    """Windows that also start earlier, of a piece of whole anchors: a suffix array of its windows, cut at a common prefix of ``length``."""
+    """Ranges of all but the earliest occurrences of the maximal repeats of ``length`` bytes or more, in a piece of whole anchors.
+
+    The piece's windows, numbered by their content, are the symbols of the
+    suffix array; a repeat of m windows is one of m - 1 + length bytes.
+    """
     table = pa.Table.from_batches(rows)
-    anchor, doc, start = (table[c].to_numpy() for c in ("anchor", "doc", "start"))
+    anchor, doc, alt, start = (table[c].to_numpy() for c in ("anchor", *DOC, "start"))
     content = [x.as_py() for x in table["bytes"]]
     sizes = np.array([len(x) for x in content])
     data = np.frombuffer(b"".join(content), np.uint8)
@@ -336,36 +351,91 @@ def _piece(rows: list[pa.RecordBatch], length: int) -> pa.RecordBatch:
     order = np.argsort(hashes, kind="stable")
     h = hashes[order]
     same = h[1:] == h[:-1]
-    keep = order[np.r_[False, same] | np.r_[same, False]]
+    keep = np.sort(order[np.r_[False, same] | np.r_[same, False]])
+    if not len(keep):
+        return pa.record_batch([pa.array([], pa.int64())] * 4, [*DOC, "low", "high"])
     at, owner, inside = at[keep], owner[keep], inside[keep]
-    if not len(at):
-        return pa.record_batch([pa.array([], pa.int64())] * 3, ["doc", "low", "high"])
-    where, begin = doc[owner], start[owner] + inside
-    # suffixes in order: eight bytes at a time, the last first, equal ones by place
-    padded = np.r_[data, np.zeros(8, np.uint8)]
-    words = [np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[at + j]).view(">u8").reshape(-1).astype(np.uint64) for j in range(0, length - 7, 8)]
-    rest = length % 8
-    if rest:
-        words.append(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[at + length - 8]).view(">u8").reshape(-1).astype(np.uint64))
-    order = np.lexsort((begin, where, *words[::-1], anchor[owner]))
-    lcp_cut = anchor[owner][order][1:] != anchor[owner][order][:-1]
-    for w in words:
-        w = w[order]
-        lcp_cut |= w[1:] != w[:-1]
-    head = np.flatnonzero(np.r_[True, lcp_cut])  # intervals of a common prefix of `length` at least
-    top = np.repeat(head, np.diff(np.r_[head, len(order)]))
-    d, s = where[order], begin[order]
-    later = (d != d[top]) | (s != s[top])
-    return _runs(d[later], s[later], length)
-
-
-def _runs(doc: np.ndarray, start: np.ndarray, length: int) -> pa.RecordBatch:
-    """Byte ranges covered by windows, consecutive windows as one."""
-    order = np.lexsort((start, doc))
-    d, s = doc[order], start[order]
-    head = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (s[1:] > s[:-1] + 1)][: len(d)])
+    symbols = _numbered(data, at, anchor[owner], length)
+    joined = np.r_[False, (owner[1:] == owner[:-1]) & (inside[1:] == inside[:-1] + 1)]
+    first, size = [], []
+    when = np.empty(len(at), np.int64)
+    begin = start[owner] + inside
+    order = np.lexsort((begin, alt[owner], doc[owner]))
+    when[order] = np.cumsum(_changes([doc[owner][order], alt[owner][order], begin[order]]))
+    for found, m in repeat_groups(symbols, joined):
+        later = found[when[found] != when[found].min()]
+        first.append(later)
+        size.append(np.full(len(later), m - 1 + length))
+    first = np.concatenate([*first, np.zeros(0, np.int64)])
+    size = np.concatenate([*size, np.zeros(0, np.int64)])
+    return _covered(doc[owner[first]], alt[owner[first]], begin[first], begin[first] + size)
+
+
+def _numbered(data: np.ndarray, at: np.ndarray, anchor: np.ndarray, length: int) -> np.ndarray:
+    """A number for each window data[at : at + length]; equal ones, compared byte by byte, of one anchor have the same."""
+    view = np.lib.stride_tricks.sliding_window_view(np.r_[data, np.zeros(8, np.uint8)], 8)
+
+    def word(j: int) -> np.ndarray:
+        return np.ascontiguousarray(view[at + j]).view(np.uint64).reshape(-1)
+
+    places = list(range(0, length - 7, 8)) + ([max(0, length - 8)] if length % 8 else [])
+    words = [word(j) if length >= 8 else word(0) & _U((1 << 8 * length) - 1) for j in places]
+    order = np.lexsort((*words, anchor))
+    out = np.empty(len(at), np.int64)
+    out[order] = np.cumsum(_changes([v[order] for v in (anchor, *words)]))
+    return out
+
+
+def repeat_groups(symbols: np.ndarray, joined: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """(places, size) of the maximal repeats in runs of symbols: all starts of ``size`` symbols that no common extension lengthens.
+
+    ``joined`` marks the symbols that continue the run of the one before; a
+    repeat lies in runs. The suffix array holds only the suffixes whose first
+    symbol follows different ones: no others start a repeat whose left
+    extensions differ.
+    """
+    n = len(symbols)
+    left = np.where(joined, np.r_[0, symbols[:-1]], -1 - np.arange(n))
+    order = np.argsort(symbols, kind="stable")
+    head = np.flatnonzero(_changes([symbols[order]]))
+    one = np.minimum.reduceat(left[order], head) == np.maximum.reduceat(left[order], head)
+    diverse = np.empty(n, bool)
+    diverse[order] = np.repeat(~one, np.diff(np.r_[head, n]))
+    starts = np.flatnonzero(diverse)
+    if not len(starts):
+        return
+    edge = np.flatnonzero(~joined)
+    rest = np.repeat(np.r_[edge[1:], n], np.diff(np.r_[edge, n])) - np.arange(n)  # symbols to the end of the run
+    levels, step = [np.unique(symbols, return_inverse=True)[1]], 1
+    while step < rest.max():
+        rank = levels[-1]
+        second = np.zeros(n, np.int64)
+        more = rest > step
+        second[more] = rank[np.flatnonzero(more) + step] + 1
+        levels.append(np.unique(rank * (n + 1) + second, return_inverse=True)[1])
+        step *= 2
+    order = starts[np.argsort(levels[-1][starts], kind="stable")]
+    a, b, common = order[:-1], order[1:], np.zeros(len(order) - 1, np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        room = np.minimum(rest[a], rest[b]) - common >= 1 << k
+        i, j = np.minimum(a + common, n - 1), np.minimum(b + common, n - 1)
+        common += np.where(room & (levels[k][i] == levels[k][j]), 1 << k, 0)
+    for size, low, high in common_prefix_intervals(order, [0, *common.tolist()], left[order].tolist(), 1):
+        yield order[low : high + 1], size
+
+
+def _covered(doc: np.ndarray, alt: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
+    """The ranges [low, high) of documents, those that overlap or touch as one."""
+    order = np.lexsort((low, alt, doc))
+    d, z, a, b = doc[order], alt[order], low[order], high[order]
+    fresh = _changes([d, z])
+    # each document's ranges are moved beyond those of the one before it
+    shift = np.cumsum(fresh) * (int(b.max(initial=0)) + 1)
+    reach = np.maximum.accumulate(b + shift)
+    fresh[1:] |= (a + shift)[1:] > reach[:-1]
+    head = np.flatnonzero(fresh)
     tail = np.r_[head[1:], len(d)][: len(head)] - 1
-    return pa.record_batch([pa.array(d[head]), pa.array(s[head]), pa.array(s[tail] + length)], ["doc", "low", "high"])
+    return pa.record_batch([pa.array(x) for x in (d[head], z[head], a[head], (reach - shift)[tail])], [*DOC, "low", "high"])
 
 
 def _pieces(length: int):
@@ -398,8 +468,8 @@ def _pieces(length: int):
 def _window_runs(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield _runs(batch["doc"].to_numpy(), batch["start"].to_numpy(), length)
+            doc, alt, low = (batch[c].to_numpy() for c in (*DOC, "start"))
+            yield _covered(doc, alt, low, low + length)
 
     return run
 
@@ -415,24 +485,21 @@ def _merge(ranges: np.ndarray, size: int) -> np.ndarray:
     return np.clip(out, 0, size)
 
 
-def repeated_ranges(docs: DataFrame, length: int = 100) -> DataFrame:
-    """The rows of docs with a column ``ranges``: byte ranges (low, high) that cover each ``length``-byte string of the text that also starts earlier.
+def _later_windows(dealt: DataFrame, total: int) -> DataFrame:
+    """(doc, alt, start) of the dealt-out windows that also start earlier; hot windows are looked up in a bounded broadcast table."""
+    key = ["window", "second"]
+    bound = max(HOT, total // HOT_SHARE)
+    first = written(dealt.groupBy(*key).agg(F.min(F.struct(*DOC, "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    hot = F.broadcast(first.where(F.col("n") > bound).select(*key, F.col("first").alias("hot")))
+    marked = dealt.join(hot, key, "left")
+    usual = marked.where("hot IS NULL").join(first.where(F.col("n") <= bound), key)
+    both = usual.select(*DOC, "start", "first").unionAll(marked.where("hot IS NOT NULL").select(*DOC, "start", F.col("hot").alias("first")))
+    return both.where(F.struct(*DOC, "start") != F.col("first")).select(*DOC, "start")
 
-    Earlier is a smaller doc_id, or the same and a smaller start. Judged on the
-    texts as given; matches don't cross documents. Ranges may overlap; null
-    stands for none.
 
-    Nulls: a null text is empty and has no ranges; null ids sort last and are
-    one document. Repeated rows of an id are the same document, so neither
-    repeats the other; if its texts differ, ranges are those of any of them,
-    cut to the text. Texts under ``length`` bytes have no ranges. Other columns
-    are carried along; their names must not be ``ranges``, ``spans`` or ``_doc``
-    (remove_repeats takes any).
-    """
-    prepare(docs.sparkSession)
-    docs = docs.withColumn("text", docs["text"].cast("string"))
-    keyed = docs.withColumn("_doc", F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)))
-    slim = keyed.select(F.col("_doc").alias("doc"), "text")
+def _ranged(keyed: DataFrame, length: int) -> DataFrame:
+    """keyed (doc, alt, text and others) with ``ranges``."""
+    slim = keyed.select(*DOC, "text")
     total = slim.count()
     sampled = min(total, SAMPLE)
     part = slim if total <= SAMPLE else slim.sample(SAMPLE / total, 11)
@@ -440,26 +507,49 @@ def repeated_ranges(docs: DataFrame, length: int = 100) -> DataFrame:
     # at most a twentieth of the sample's spans, whatever the corpus; these only choose how rows are dealt
     frequent = np.array(sorted(r[0] for r in often.select("anchor").collect()), np.int64)
 
-    spans = slim.mapInArrow(_emit(length, frequent), "anchor long, span long, doc long, start long, deal long")
-    key = F.when(F.col("deal") == 2, F.col("doc")).when(F.col("deal") == 1, F.col("span")).otherwise(F.col("anchor"))
-    ordered = spans.repartition(key).sortWithinPartitions("anchor", "span", "doc", "start")
-    flagged = written(ordered.mapInArrow(_settle(frequent), "anchor long, doc long, start long, windows long, kind long"))
+    spans = slim.mapInArrow(_emit(length, frequent), "anchor long, span long, second long, doc long, alt long, start long, deal int")
+    key = F.when(F.col("deal") == 2, F.col("alt")).when(F.col("deal") == 1, F.col("span")).otherwise(F.col("anchor"))
+    ordered = spans.repartition(key).sortWithinPartitions("anchor", "span", "second", *DOC, "start")
+    flagged = written(ordered.mapInArrow(_settle(frequent), _SETTLED))
 
     def found(kind: int) -> DataFrame:
-        listed = flagged.where(F.col("kind") == kind).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("spans"))
-        # with all columns, so that the texts are dealt out once for this and for the last join
-        return keyed.join(listed, "_doc")
-
-    ranges = flagged.where(F.col("kind") == GONE).select("doc", F.col("start").alias("low"), (F.col("start") + F.col("windows") + (length - 1)).alias("high"))
-    pieces = found(PIECED).mapInArrow(_contexts(length), "anchor long, doc long, start long, bytes binary")
-    ranges = ranges.unionAll(pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_pieces(length), "doc long, low long, high long"))
-    if not flagged.where(F.col("kind") == DEALT).isEmpty():
-        dealt = found(DEALT).mapInArrow(_windows(length), "anchor long, doc long, start long, window long")
-        first = dealt.groupBy("anchor", "window").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        later = dealt.join(first, ["anchor", "window"]).where("doc != first.doc OR start != first.start").select("doc", "start")
-        ranges = ranges.unionAll(later.mapInArrow(_window_runs(length), "doc long, low long, high long"))
-    listed = ranges.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("ranges")).withColumnRenamed("doc", "_doc")
-    return keyed.join(listed, "_doc", "left").drop("_doc")
+        listed = flagged.where(F.col("kind") == kind).groupBy(*DOC).agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("spans"))
+        # with all columns, so that the texts are dealt out once for this and for the last join; equal rows are one document
+        return keyed.join(listed, DOC).select(*DOC, "text", "spans").dropDuplicates(DOC)
+
+    ranges = flagged.where(F.col("kind") == GONE).select(*DOC, F.col("start").alias("low"), (F.col("start") + F.col("windows") + (length - 1)).alias("high"))
+    pieces = found(PIECED).mapInArrow(_contexts(length), "anchor long, doc long, alt long, start long, bytes binary")
+    ranges = ranges.unionAll(pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_pieces(length), _RANGES))
+    many = flagged.where(F.col("kind") == DEALT).agg(F.sum("windows")).first()[0]
+    if many:
+        dealt = found(DEALT).mapInArrow(_windows(length), "doc long, alt long, start long, window long, second long")
+        ranges = ranges.unionAll(_later_windows(dealt, many).mapInArrow(_window_runs(length), _RANGES))
+    listed = ranges.groupBy(*DOC).agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    return keyed.join(listed, DOC, "left")
+
+
+def repeated_ranges(docs: DataFrame, length: int = 100) -> DataFrame:
+    """The rows of docs with a column ``ranges``: byte ranges (low, high) that cover each ``length``-byte string of the text that also starts earlier.
+
+    Earlier is a smaller doc_id, or the same and a smaller start. Judged on the
+    texts as given; matches don't cross documents. Ranges may overlap; null
+    stands for none.
+
+    Nulls: a null text is empty and has no ranges; null ids sort after all
+    others. Rows of one id, or of none, with different texts are different
+    documents, in the order of a hash of their texts; rows of equal id and text
+    are the same document, so neither repeats the other. Texts under ``length``
+    bytes have no ranges. Other columns are carried along, whatever their
+    names, but for one named ``ranges``, which is replaced. An empty table
+    gives an empty one.
+    """
+    prepare(docs.sparkSession)
+    # by place, so that no column's name clashes with those added on the way
+    names = [c for c in docs.columns if c != "ranges"]
+    place = {c: c if c == "text" else f"_{i}" for i, c in enumerate(names)}
+    rows = docs.select(*(F.col(f"`{c}`").cast("string").alias(p) if c == "text" else F.col(f"`{c}`").alias(p) for c, p in place.items()))
+    keyed = rows.withColumns({"doc": F.coalesce(F.col(place["doc_id"]).cast("long"), F.lit(NULL_ID)), "alt": F.xxhash64("text")})
+    return _ranged(keyed, length).select(*(F.col(p).alias(c) for c, p in place.items()), "ranges")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -512,7 +602,6 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     where docs has it, follows the new text. See repeated_ranges for ties,
     nulls and repeated rows.
     """
-    # by place, so that no column's name clashes with those added on the way
     place = {c: c if c in ("doc_id", "text") else f"_{i}" for i, c in enumerate(docs.columns)}
     rows = repeated_ranges(docs.select(*(F.col(f"`{c}`").alias(p) for c, p in place.items())), length)
     rows = rows.select(*place.values(), "ranges")

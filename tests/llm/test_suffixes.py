@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 from stratapage.llm import suffixes
@@ -11,8 +12,9 @@ SCHEMA = "doc_id long, text string, low string, ranges string, n_chars long"
 
 
 def _expected(rows, length):
+    """Of rows in order; those of equal id and text are one document."""
     seen, out = set(), {}
-    for doc, text in sorted(rows):
+    for doc, text in dict.fromkeys(rows):
         raw = (text or "").encode()
         hit = bytearray(len(raw))
         for i in range(len(raw) - length + 1):
@@ -22,7 +24,7 @@ def _expected(rows, length):
             seen.add(window)
         left = bytes(b for b, h in zip(raw, hit, strict=True) if not h)
         runs = sum(1 for i, h in enumerate(hit) if h and (not i or not hit[i - 1]))
-        out[doc] = (len(raw), sum(hit), runs, hashlib.sha256(left).hexdigest())
+        out[doc, text] = (len(raw), sum(hit), runs, hashlib.sha256(left).hexdigest())
     return out
 
 
@@ -41,10 +43,44 @@ def _corpus(seed=5):
 @pytest.mark.parametrize("piece", [suffixes.PIECE, 2])
 def test_same_as_windows(spark, monkeypatch, piece):
     monkeypatch.setattr(suffixes, "PIECE", piece)
-    rows = _corpus()
+    monkeypatch.setattr(suffixes, "HOT", 3)
+    rows = sorted(_corpus(), key=lambda r: r[0])
     frame = spark.createDataFrame([(d, t, "x", "y", 1) for d, t in rows], SCHEMA)
     found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.removal_digest(frame, 100).collect()}
-    assert found == _expected(rows, 100)
+    assert found == {d: v for (d, _), v in _expected(rows, 100).items()}
+
+
+def test_pieces_read_intervals(monkeypatch):
+    """The query's pieces go through the stack scan of common-prefix intervals."""
+    called = []
+    plain = suffixes.common_prefix_intervals
+    monkeypatch.setattr(suffixes, "common_prefix_intervals", lambda *x: called.append(1) or plain(*x))
+    rng = random.Random(3)
+    shared = bytes(rng.choice(b"abcdefgh") for _ in range(120))
+    rows = [(7, 1, 0, 10, b"x" * 30 + shared + b"y"), (7, 2, 0, 0, b"q" + shared + b"zz"), (7, 2, 5, 40, shared)]
+    batch = pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [*[pa.int64()] * 4, pa.binary()], strict=True)], ["anchor", "doc", "alt", "start", "bytes"])
+    found = suffixes._piece([batch], 100).to_pylist()
+    assert called and found == [{"doc": 2, "alt": 0, "low": 1, "high": 121}, {"doc": 2, "alt": 5, "low": 40, "high": 160}]
+
+
+def test_null_and_repeated_ids_with_several_texts(spark):
+    rng = random.Random(8)
+    a, b, c = ("".join(rng.choice("abcdefgh") for _ in range(200)) for _ in range(3))
+    rows = [(1, a), (1, b + "!"), (2, c), (None, a + "?"), (None, "".join(rng.choice("xyzw") for _ in range(200))), (None, b + c), (5, b), (5, b)]
+    frame = spark.createDataFrame([(d, t, "x", "y", 1) for d, t in rows], SCHEMA)
+    key = spark.createDataFrame(rows, "d long, t string").selectExpr("d", "t", "xxhash64(t) AS h").collect()
+    ordered = [(r.d, r.t) for r in sorted(key, key=lambda r: (r.d is None, r.d or 0, r.h))]
+    found = sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.removal_digest(frame, 100).collect())
+    expected = _expected(ordered, 100)
+    assert found == sorted((d or 0, *expected[d, t]) for d, t in rows)
+
+
+def test_long_text(spark):
+    rng = random.Random(10)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(2_500_000))
+    rows = [(1, long), (2, "x" * 50 + long[700_000:701_000] + long[2_000_000:2_000_150])]
+    frame = spark.createDataFrame([(d, t, "x", "y", 1) for d, t in rows], SCHEMA)
+    assert sorted((r.doc_id, r.n_removed) for r in suffixes.removal_digest(frame, 100).collect()) == [(1, 0), (2, 1150)]
 
 
 def test_nulls_repeats_and_empty_tables(spark):
