@@ -8,7 +8,9 @@ such an answer may renew are merged over the stored ones.
 
 from __future__ import annotations
 
-import gzip
+import base64
+import hashlib
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -19,8 +21,10 @@ PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "la
 TRACKING = r"utm_[a-z]+|gclid|fbclid|ref"
 #: Seconds of captures of one URL that one task orders.
 BUCKET_SECONDS = 4096
+#: Bytes of payloads that the reader passes on at once.
+HELD_BYTES = 8 << 20
 
-RECORD = "record_id string, warc_type string, target_uri string, captured timestamp, status int, headers map<string,string>, payload binary"
+RECORD = "record_id string, warc_type string, target_uri string, captured timestamp, status int, headers map<string,string>, payload_digest string, payload binary"
 
 
 def canonical_url(url: Column) -> Column:
@@ -33,28 +37,67 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
 
 
+def _members(raw: bytes) -> Iterator[bytes]:
+    """A WARC file's bytes, decompressed one gzip member at a time where it has them; a member that is cut off or broken ends the file."""
+    if raw[:2] != b"\x1f\x8b":
+        yield raw
+        return
+    rest = memoryview(raw)
+    while len(rest):
+        one = zlib.decompressobj(31)
+        try:
+            out = one.decompress(rest)
+        except zlib.error:
+            return
+        yield out
+        if not one.eof:
+            return
+        rest = rest[len(rest) - len(one.unused_data) :]
+
+
 def parse(raw: bytes) -> Iterator[tuple]:
-    """Records of a WARC file's bytes (gzipped or not), in RECORD's order with the date as text; what is cut off is left out."""
-    if raw[:2] == b"\x1f\x8b":
-        raw = gzip.decompress(raw)
-    at = 0
-    while (at := raw.find(b"WARC/", at)) >= 0:
+    """Records of a WARC file's bytes, each gzip member or the whole read in turn, in RECORD's order with the date as text.
+
+    What is cut off is left out. A record without a usable Content-Length is
+    skipped: reading goes on at the next line that opens a record. The payload
+    digest is the record's own; where it has none, a full response's is computed.
+    """
+    for member in _members(raw):
+        yield from _records(member)
+
+
+def _records(raw: bytes) -> Iterator[tuple]:
+    at = 0 if raw.startswith(b"WARC/") else _next(raw, 0)
+    while at >= 0:
         end = raw.find(b"\r\n\r\n", at)
         if end < 0:
             return
         fields = _headers(raw[at:end])
-        size = int(fields.get("content-length", "0") or 0)
-        block = raw[end + 4 : end + 4 + size]
-        if len(block) < size:
+        size = fields.get("content-length", "")
+        if not (size.isascii() and size.isdigit()):
+            at = _next(raw, at + 1)
+            continue
+        block = raw[end + 4 : end + 4 + int(size)]
+        if len(block) < int(size):
             return
-        at = end + 4 + size
+        at = _next(raw, end + 4 + int(size) - 1)
         status, headers, payload = None, {}, block
         if block.startswith(b"HTTP/"):
             head, _, payload = block.partition(b"\r\n\r\n")
             line = head.split(b"\r\n", 1)[0].split()
-            status = int(line[1]) if len(line) > 1 and line[1].isdigit() else None
+            status = int(line[1]) if len(line) > 1 and line[1].isdigit() and len(line[1]) < 9 else None
             headers = _headers(head)
-        yield fields.get("warc-record-id"), fields.get("warc-type"), fields.get("warc-target-uri"), fields.get("warc-date"), status, headers, payload
+        kind = fields.get("warc-type")
+        digest = fields.get("warc-payload-digest")
+        if digest is None and kind == "response" and status != 304:
+            digest = "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        yield fields.get("warc-record-id"), kind, fields.get("warc-target-uri"), fields.get("warc-date"), status, headers, digest, payload
+
+
+def _next(raw: bytes, at: int) -> int:
+    """Where the next line that opens a record starts, or -1."""
+    found = raw.find(b"\nWARC/", at)
+    return found + 1 if found >= 0 else -1
 
 
 def _headers(head: bytes) -> dict[str, str]:
@@ -69,19 +112,35 @@ def _headers(head: bytes) -> dict[str, str]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files under a path that Spark can read, a file to a row of its reader."""
-    import pandas as pd
+    """Records of WARC files under a path that Spark can read, a file to a row of its reader; resolve_revisits takes them.
+
+    A file is held as it is, its records are decompressed one by one. Broken
+    records are left out (see parse), files that are empty or no WARC at all
+    give none; dates that can't be read are null.
+    """
+    import pyarrow as pa
+
+    names = [c.split()[0] for c in RECORD.split(", ")]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.string(), pa.binary()]
+
+    def pack(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([list(x.items()) for x in c] if i == 5 else list(c), k) for i, (c, k) in enumerate(zip(zip(*rows, strict=True), kinds, strict=True))], names)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in RECORD.split(", ")]
-        for frame in frames:
-            for content in frame["content"]:
-                rows = pd.DataFrame(list(parse(bytes(content))), columns=names)
-                rows["captured"] = pd.to_datetime(rows["captured"], utc=True, errors="coerce").dt.tz_localize(None)
-                rows["status"] = rows["status"].astype("Int32")
-                yield rows
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch["content"]:
+                held, size = [], 0
+                for record in parse(content.as_py() or b""):
+                    held.append(record)
+                    size += len(record[-1])
+                    if size > HELD_BYTES:
+                        yield pack(held)
+                        held, size = [], 0
+                if held:
+                    yield pack(held)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, RECORD)
+    read = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD.replace("captured timestamp", "captured string"))
+    return read.withColumn("captured", F.try_to_timestamp("captured"))
 
 
 def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
@@ -91,15 +150,17 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -
     payload_digest. A revisit is of type ``revisit`` or a response of status
     304; a full response is of type ``response`` and status 200. Earlier means
     captured strictly before; of several at one time the largest record_id is
-    latest. outcome is ``resolved`` where the validators agree (ETags compared
-    weakly, else Last-Modified; agreed too where the revisit has none),
+    latest. outcome is ``resolved`` where the validators agree (the payload
+    digest that an identical-payload revisit has, else ETags compared weakly,
+    else Last-Modified; agreed too where the revisit has none),
     ``mismatch`` where they don't, ``unmatched`` without an earlier response;
     only the resolved have a source's headers, renewed by PERMITTED ones.
 
     A URL may hold any share of all captures: captures are ordered within
     (URL, time bucket), and only the last response of each bucket is ordered by
-    URL. Nulls: a null URL or date matches nothing; null headers are empty.
-    Repeated rows are resolved alike. Other columns are ignored.
+    URL. Nulls: a null URL or date matches nothing, and such rows are ordered
+    with no others; null headers are empty. Repeated rows are resolved alike.
+    Other columns are ignored; an empty table gives an empty one.
     """
     none = F.create_map().cast("map<string,string>")
     rows = records.select(
@@ -107,18 +168,22 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -
         ((F.col("warc_type") == "revisit") | ((F.col("warc_type") == "response") & (F.col("status") == 304))).alias("revisit"),
         ((F.col("warc_type") == "response") & (F.col("status") == 200)).alias("full"),
     ).where("revisit OR full")
-    rows = rows.withColumn("bucket", F.floor(F.col("captured").cast("long") / bucket_seconds))
-    timed = F.when(F.col("full") & F.col("captured").isNotNull() & F.col("url").isNotNull(), F.struct("captured", "record_id", "headers", "payload_digest"))
+    source = F.struct("captured", "record_id", "headers", "payload_digest")
+    placed = F.col("captured").isNotNull() & F.col("url").isNotNull()
+    loose = rows.where(~placed & F.col("revisit")).withColumn("source", F.when(F.lit(False), source))
+    rows = rows.where(placed).withColumn("bucket", F.floor(F.col("captured").cast("long") / bucket_seconds))
+    timed = F.when(F.col("full"), source)
     # of equal times revisits stand first, so that a response of the same time isn't earlier
     within = Window.partitionBy("url", "bucket").orderBy("captured", F.col("full").cast("int"), "record_id").rowsBetween(Window.unboundedPreceding, -1)
     near = rows.withColumn("near", F.last(timed, ignorenulls=True).over(within)).where("revisit")
 
     order = F.struct("captured", "record_id")
-    last = rows.where("full AND captured IS NOT NULL AND url IS NOT NULL").groupBy("url", "bucket").agg(F.max_by(F.struct("captured", "record_id", "headers", "payload_digest"), order).alias("own"))
+    last = rows.where("full").groupBy("url", "bucket").agg(F.max_by(source, order).alias("own"))
     # the last response before each bucket of a URL, from one row for each bucket
-    buckets = near.where("captured IS NOT NULL AND url IS NOT NULL").select("url", "bucket").distinct().join(last, ["url", "bucket"], "full")
+    buckets = near.select("url", "bucket").distinct().join(last, ["url", "bucket"], "full")
     before = buckets.withColumn("far", F.last("own", ignorenulls=True).over(Window.partitionBy("url").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("url", "bucket", "far")
-    found = near.join(before, ["url", "bucket"], "left").withColumn("source", F.when(F.col("captured").isNotNull() & F.col("url").isNotNull(), F.coalesce("near", "far")))
+    found = near.join(before, ["url", "bucket"], "left").withColumn("source", F.coalesce("near", "far"))
+    found = found.select(loose.columns).unionAll(loose)
 
     def header(c: str, name: str) -> Column:
         return F.try_element_at(F.col(c), F.lit(name))
@@ -127,8 +192,10 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -
         return F.regexp_replace(F.trim(c), r"^W/", "")
 
     tag, date = header("headers", "etag"), header("headers", "last-modified")
+    digest = F.col("payload_digest")
     agree = (
-        F.when(tag.isNotNull(), F.coalesce(weak(tag) == weak(header("source.headers", "etag")), F.lit(False)))
+        F.when(digest.isNotNull(), F.coalesce(digest == F.col("source.payload_digest"), F.lit(False)))
+        .when(tag.isNotNull(), F.coalesce(weak(tag) == weak(header("source.headers", "etag")), F.lit(False)))
         .when(date.isNotNull(), F.coalesce(date == header("source.headers", "last-modified"), F.lit(False)))
         .otherwise(True)
     )

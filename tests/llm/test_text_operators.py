@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import base64
+import gzip
 import hashlib
 import random
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stratapage.llm import bpe, decontaminate, fingerprints, language, licenses, toxicity, urls, warc
@@ -256,13 +259,33 @@ def test_revisits(spark):
     assert warc.resolve_revisits(_record(spark, []), 1).count() == 0
 
 
-def test_warc_files(spark, tmp_path):
-    body = b"HTTP/1.1 200 OK\r\nETag: \"1\"\r\nX: a\r\nX: b\r\n\r\nhello"
-    head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <u:1>\r\nWARC-Target-URI: http://a/\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nContent-Length: {len(body)}\r\n\r\n"
-    raw = head.encode() + body + b"\r\n\r\n"
-    (tmp_path / "a.warc").write_bytes(raw * 2 + raw[:-20])
-    rows = warc.read_warc(spark, str(tmp_path)).collect()
-    assert [(r.record_id, r.status, r.headers["x"], bytes(r.payload)) for r in rows] == [("<u:1>", 200, "a, b", b"hello")] * 2
+def _warc(kind, number, uri, date, body, length=None, more=""):
+    head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <u:{number}>\r\nWARC-Target-URI: {uri}\r\nWARC-Date: {date}\r\n{more}Content-Length: {len(body) if length is None else length}\r\n\r\n"
+    return head.encode() + body + b"\r\n\r\n"
+
+
+def test_warc_files_to_revisits(spark, tmp_path):
+    page = b"HTTP/1.1 200 OK\r\nETag: \"1\"\r\nX: a\r\nX: b\r\n\r\nhello"
+    first = _warc("response", 1, "http://a/", "2020-01-01T00:00:00Z", page)
+    (rows,) = warc.parse(first)
+    digest = rows[6]
+    assert digest == "sha1:" + base64.b32encode(hashlib.sha1(b"hello").digest()).decode()
+    same = _warc("revisit", 2, "http://a/", "2020-01-02T00:00:00Z", b"HTTP/1.1 200 OK\r\n\r\n", more=f"WARC-Payload-Digest: {digest}\r\n")
+    other = _warc("revisit", 3, "http://a/", "2020-01-03T00:00:00Z", b"HTTP/1.1 200 OK\r\nETag: \"1\"\r\n\r\n", more="WARC-Payload-Digest: sha1:NONE\r\n")
+    unchanged = _warc("revisit", 4, "https://www.a", "2020-01-04T00:00:00Z", b"HTTP/1.1 304 Not Modified\r\nETag: W/\"1\"\r\n\r\n")
+    broken = _warc("response", 9, "http://a/", "2020-01-01T12:00:00Z", page, length="x7") + _warc("response", 8, "http://a/", "2020-01-01T12:00:00Z", page, length="")
+    undated = _warc("revisit", 5, "http://a/", "yesterday", b"")
+    (tmp_path / "a.warc").write_bytes(first + broken + same + first[:-20])
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, [other, unchanged, undated])) + gzip.compress(same * 50)[:-30])
+    (tmp_path / "c.warc").write_bytes(b"")
+    (tmp_path / "d.warc").write_bytes(b"no such file \xff\xfe")
+    read = warc.read_warc(spark, str(tmp_path))
+    found = {r.record_id: r for r in read.where("record_id != '<u:2>'").collect()}
+    assert set(found) == {"<u:1>", "<u:3>", "<u:4>", "<u:5>"} and (found["<u:1>"].status, found["<u:1>"].headers["x"], bytes(found["<u:1>"].payload)) == (200, "a, b", b"hello")
+    outcomes = {(r.record_id, r.outcome, r.source_id) for r in warc.resolve_revisits(read).collect()}
+    assert outcomes == {("<u:2>", "resolved", "<u:1>"), ("<u:3>", "mismatch", "<u:1>"), ("<u:4>", "resolved", "<u:1>"), ("<u:5>", "unmatched", None)}
+    repeated = _record(spark, [(r.record_id, r.warc_type, r.target_uri, r.captured, r.status, r.headers, r.payload_digest, "") for r in read.where("record_id IN ('<u:1>', '<u:4>')").withColumn("record_id", F.substring("record_id", 4, 1).cast("long")).collect() * 2])
+    assert [r.outcome for r in warc.resolve_revisits(repeated).collect()] == ["resolved"] * 2
 
 
 def test_licenses(spark):
