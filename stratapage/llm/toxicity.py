@@ -3,7 +3,9 @@
 Many voters, lexicons and patterns, each mark some texts. A generative label
 model estimates how often each voter marks toxic and clean texts and how far
 voters agree beyond that; its posterior labels train a linear classifier on
-words and word beginnings, which scores whole texts.
+words and word beginnings, which scores whole texts. Given labels are one of
+the voters; how far they can be relied on is estimated as for the others. What
+is to be chosen, the classifier's decay, is chosen by folds of the training rows.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stratapage.llm.common import prepare
+from stratapage.llm.common import prepare, written
 from stratapage.llm.decontaminate import BREAKS
 from stratapage.llm.kernels import blocks, mix, prefix_hash, span_hash, word_spans
 
@@ -24,8 +26,12 @@ TRAIN_ROWS = 20_000
 BITS, FEATURES = 20, 4096
 #: Lexicons that the found terms are dealt to.
 LEXICONS = 24
-#: Chances that a clean and a toxic text are labelled toxic: given labels are one more voter, which may err.
+#: Bytes of the training rows' features that go to the driver at most.
+TRAIN_BYTES = 192 << 20
+#: Chances of a toxic text that the model starts from, where the given label says clean and toxic.
 LABELLED = (0.02, 0.9)
+#: Decays of the classifier to choose from.
+DECAYS = (5e-6, 2e-5, 1e-4)
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -71,7 +77,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = np.unique(numbers[begin[i] : begin[i + 1]])
                 found.append(own.astype("<u4").tobytes())
                 marks.append(bytes(_patterns(data[offsets[i] : offsets[i + 1]], own)))
-        yield pa.record_batch([batch["toxic"], pa.array(found, pa.binary()), pa.array(marks, pa.binary())], ["toxic", "features", "marks"])
+        yield pa.record_batch([batch["h"], batch["toxic"], pa.array(found, pa.binary()), pa.array(marks, pa.binary())], ["h", "toxic", "features", "marks"])
 
 
 def label_model(votes: np.ndarray, prior: float, rounds: int = 400, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,18 +88,19 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 400, labels: np.n
     Voters that agree within the classes share their weight: each counts as one
     over one more than its summed correlations with the others. These are
     estimated anew as the posteriors settle: early ones follow the largest
-    group of voters that copy each other. Labels, where given, are a voter of
-    known rates (LABELLED): they tell the model what the voters miss, as where
-    a language has words of its own and most voters are silent.
+    group of voters that copy each other. Labels, where given, are one more
+    voter, the last, with rates and weight of its own; the posteriors start
+    from them (LABELLED): they tell the model what the others miss, as where a
+    language has words of its own and most voters are silent.
     """
+    if labels is not None:
+        votes = np.column_stack([votes, labels])
     n, m = votes.shape
     order = np.argsort(np.argsort(votes.sum(1), kind="stable"), kind="stable")
     q = np.where(order >= n * (1 - prior), 0.9, 0.05) if n else np.zeros(0)
     q = np.where(votes.any(1), q, 0.02)
-    known = np.zeros(n)
     if labels is not None:
-        known = np.where(labels == 1, np.log(LABELLED[1] / LABELLED[0]), np.log((1 - LABELLED[1]) / (1 - LABELLED[0])))
-        q = np.where(labels == 1, 0.9, 0.02)
+        q = np.where(labels == 1, LABELLED[1], LABELLED[0])
     weights = np.ones(m)
     rates = np.full((2, m), 0.5)
     for turn in range(rounds):
@@ -107,7 +114,7 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 400, labels: np.n
             correlation = (rest.T @ rest) / max(1, n) / np.outer(deviation, deviation)
             np.fill_diagonal(correlation, 0)
             weights = 1 / (1 + np.where(correlation > 0.05, correlation, 0).sum(1))
-        odds = np.log(prior / (1 - prior)) + known + votes @ (weights * np.log(rates[1] / rates[0])) + (1 - votes) @ (weights * np.log((1 - rates[1]) / (1 - rates[0])))
+        odds = np.log(prior / (1 - prior)) + votes @ (weights * np.log(rates[1] / rates[0])) + (1 - votes) @ (weights * np.log((1 - rates[1]) / (1 - rates[0])))
         before, q = q, 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         if turn % 10 == 9 and np.abs(q - before).max(initial=0.0) < 1e-7:
             break
@@ -130,12 +137,30 @@ def linear(rows: np.ndarray, columns: np.ndarray, target: np.ndarray, width: int
 
 
 def fit(sample: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, float]:
-    """Weights by feature number and the bias, from (label, feature numbers, pattern marks) rows."""
-    table = np.zeros(1 << BITS, np.float32)
+    """Weights by feature number and the bias, from (label, feature numbers, pattern marks) rows.
+
+    The decay is the one whose models, each fitted on one half of the rows,
+    give the other half's labels the largest likelihood.
+    """
+    halves = sample[::2], sample[1::2]
+    # a half without both kinds can't judge
+    if len(sample) < 40 or any(len({y for y, _, _ in half}) < 2 for half in halves):
+        return _fit(sample, DECAYS[1:2])[0]
+    losses = np.zeros(len(DECAYS))
+    for own, other in (halves, halves[::-1]):
+        y = np.array([y for y, _, _ in other], float)
+        for i, (table, bias) in enumerate(_fit(own, DECAYS)):
+            z = np.array([table[np.frombuffer(f, "<u4")].sum(dtype=float) for _, f, _ in other]) + bias
+            losses[i] += (np.logaddexp(0, z) - y * z).sum()
+    return _fit(sample, (DECAYS[int(losses.argmin())],))[0]
+
+
+def _fit(sample: list[tuple[int, bytes, bytes]], decays: tuple[float, ...]) -> list[tuple[np.ndarray, float]]:
+    """A model for each decay, on one label model's posteriors."""
     n = len(sample)
     labels = np.array([y for y, _, _ in sample], float)
     if not n or labels.min() == labels.max():
-        return table, (4.0 if n and labels[0] else -4.0)
+        return [(np.zeros(1 << BITS, np.float32), 4.0 if n and labels[0] else -4.0)] * len(decays)
     lists = [np.frombuffer(f, "<u4") for _, f, _ in sample]
     rows = np.repeat(np.arange(n), [len(x) for x in lists])
     numbers = np.concatenate(lists).astype(np.int64)
@@ -161,9 +186,13 @@ def fit(sample: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, float]:
     chosen = np.argsort(-score, kind="stable")[:FEATURES]
     chosen = np.sort(chosen[score[chosen] > 3])
     keep = np.isin(numbers, chosen)
-    w, bias = linear(rows[keep], np.searchsorted(chosen, numbers[keep]), posterior, len(chosen))
-    table[chosen] = w
-    return table, bias
+    out = []
+    for decay in decays:
+        w, bias = linear(rows[keep], np.searchsorted(chosen, numbers[keep]), posterior, len(chosen), decay=decay)
+        table = np.zeros(1 << BITS, np.float32)
+        table[chosen] = w
+        out.append((table, bias))
+    return out
 
 
 def _score(shared):
@@ -192,8 +221,10 @@ def scores(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs, scored by its whole text.
 
     Learns from labelled rows whose id's crc32 modulo 3 isn't 1, the TRAIN_ROWS
-    of smallest hash at most. A label that repeats counts once, the toxic one
-    if they differ; null labels don't count.
+    of smallest hash at most, and of these the first with TRAIN_BYTES of
+    features. A label that repeats counts once, the toxic one if they differ;
+    null labels don't count. Of an id with several texts the one of smallest
+    hash is learned from.
 
     Nulls: a null text is empty; an empty text gets the score of a text with no
     known feature. Null ids aren't learned from nor held out. With no labels,
@@ -206,8 +237,12 @@ def scores(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFrame:
     n = known.count()
     # by a hash of the id, so that the sample is the same whatever the partitions
     picked = known.orderBy(F.xxhash64("doc_id")).limit(TRAIN_ROWS) if n > TRAIN_ROWS else known
-    rows = slim.join(picked, "doc_id").dropDuplicates(["doc_id"]).select("toxic", "text").mapInArrow(_describe, "toxic int, features binary, marks binary")
-    sample = sorted((r.toxic, bytes(r.features), bytes(r.marks)) for r in rows.toLocalIterator())
+    chosen = slim.join(picked, "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = written(chosen.select(F.xxhash64("doc_id").alias("h"), "toxic", "text").mapInArrow(_describe, "h long, toxic int, features binary, marks binary"))
+    sizes = rows.select("h", F.octet_length("features").alias("n")).orderBy("h").collect()  # TRAIN_ROWS at most
+    room = np.cumsum([r.n for r in sizes]) <= TRAIN_BYTES
+    last = sizes[int(room.sum()) - 1].h if room.any() else -(2**63)
+    sample = [s[1:] for s in sorted((r.h, r.toxic, bytes(r.features), bytes(r.marks)) for r in rows.where(F.col("h") <= last).toLocalIterator())]
     model = fit(sample)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     scored = slim.mapInArrow(_score(shared), "doc_id long, score double")

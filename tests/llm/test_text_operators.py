@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -194,6 +195,14 @@ def test_toxicity(spark):
     held = [i for i, _, _ in labels if found[i].held_out]
     right = np.mean([found[i].predicted == labels[i][2] for i in held])
     assert held and right > 0.97 and found[900].score == found[901].score < 0.5
+    words = [np.frombuffer(t.encode(), np.uint8) for _, t in rows]  # the query against a loop over whole texts, by the same model
+    described = [(np.unique(toxicity._features(w, np.array([0, len(w)]))[0]), w) for w in words]
+    sample = [(found[i].held_out, labels[i][2], f.astype("<u4").tobytes(), bytes(toxicity._patterns(w, f))) for i, (f, w) in enumerate(described)]
+    order = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    table, bias = toxicity.fit([sample[i][1:] for i in sorted(range(600), key=order.get) if not sample[i][0]])
+    for i, (f, _) in enumerate(described):
+        assert found[i].score == pytest.approx(1 / (1 + np.exp(-(table[f].sum(dtype=float) + bias))), abs=1e-6)
+    assert {i: r.held_out for i, r in found.items()} == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in found}
     assert toxicity.scores(docs, marked.limit(0)).where("predicted = 1").count() == 0
     assert toxicity.scores(docs.limit(0), marked).count() == 0
 
