@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame
 from stratapage.llm.common import prepare
 
 #: Words whose encodings a worker remembers before it starts anew.
-MEMORY = 200_000
+MEMORY = 100_000
+#: Pairs of tokens whose compatibility a worker remembers before it starts anew.
+PAIRS = 300_000
 _SPACE = "\t-\r \x85\xa0  -     　"
 _PARTS = "'s|'t|'re|'ve|'m|'ll|'d|"
 _ASCII = re.compile(_PARTS + r"[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
@@ -105,7 +107,7 @@ class Codec:
                 bound, left = left, inner_left
             else:
                 break
-        if len(self.compatible) > 2_000_000:
+        if len(self.compatible) > PAIRS:
             self.compatible.clear()
         self.compatible[key] = answer
         return answer

@@ -9,6 +9,8 @@ from __future__ import annotations
 import hashlib
 import pickle
 import uuid
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +22,7 @@ from stratapage.llm.kernels import blocks, word_hashes
 
 WINDOW = 13
 #: Bytes of item texts that one automaton holds; more items make more automata, one after the other.
-ITEM_BYTES = 4 << 20
+ITEM_BYTES = 2 << 20
 #: Bytes of rows that a task holds while the automata, where there are several, go over them in turn.
 HOLD_BYTES = 64 << 20
 #: A document is contaminated when at least one word in SHARE is hit.
@@ -96,31 +98,75 @@ class Automaton:
         for state in sorted(range(1, len(self.length)), key=self.length.__getitem__):
             self.marked[state] = state if state in self.short else self.marked[self.link[state]]
 
+    def packed(self, alphabet: int) -> Packed:
+        """The same automaton in flat arrays, for words numbered below ``alphabet``."""
+        keys, to = [], []
+        for state, following in enumerate(self.next):
+            for word, target in following.items():
+                keys.append(state * alphabet + word)
+                to.append(target)
+        order = sorted(range(len(keys)), key=keys.__getitem__)
+        names = sorted({x for own in self.items for x in own}, key=lambda x: (x is None, x or ""))
+        number = {x: i for i, x in enumerate(names)}
+        # the states that a match of a whole window belongs to
+        tops = [i for i in range(1, len(self.length)) if self.length[i] >= self.window > self.length[self.link[i]]]
+        ends, items = [0], []
+        for i in tops:
+            items += [number[x] for x in self.items[i]]
+            ends.append(len(items))
+        short = [(state, size, number[x]) for state in sorted(self.short) for size, own in self.short[state].items() for x in own]
+        return Packed(
+            self.window, alphabet, array("q", [keys[i] for i in order]), array("i", [to[i] for i in order]), array("i", self.link), array("i", self.length), array("i", self.marked),
+            array("i", tops), array("q", ends), array("i", items), *(array("i", [x[i] for x in short]) for i in range(3)), names,
+        )
+
+
+class Packed:
+    """A built automaton in flat arrays: a few bytes for each word of its items."""
+
+    def __init__(self, window, alphabet, keys, to, link, length, marked, tops, ends, items, short_states, short_sizes, short_items, names) -> None:
+        self.window, self.alphabet = window, alphabet
+        self.keys, self.to, self.link, self.length, self.marked = keys, to, link, length, marked
+        self.tops, self.ends, self.items = tops, ends, items
+        self.short_states, self.short_sizes, self.short_items, self.names = short_states, short_sizes, short_items, names
+
+    def step(self, state: int, word: int) -> int:
+        """The state behind a word, or -1."""
+        key = state * self.alphabet + word
+        at = bisect_left(self.keys, key)
+        return self.to[at] if at < len(self.keys) and self.keys[at] == key else -1
+
     def stream(self, words: list[int]) -> tuple[list[tuple[int, int]], set]:
         """Hit runs [first, end) of words, which may overlap, and the items whose windows occur."""
         state = have = 0
         runs, found = [], set()
         for i, word in enumerate(words):
-            while state and word not in self.next[state]:
+            to = self.step(state, word)
+            while to < 0 and state:
                 state = self.link[state]
                 have = self.length[state]
-            if word not in self.next[state]:
+                to = self.step(state, word)
+            if to < 0:
                 continue
-            state, have = self.next[state][word], have + 1
+            state, have = to, have + 1
             if have >= self.window:
                 runs.append((i + 1 - self.window, i + 1))
                 at = state
                 while self.length[self.link[at]] >= self.window:
                     at = self.link[at]
-                found |= self.items[at]
+                top = bisect_left(self.tops, at)
+                found.update(self.items[self.ends[top] : self.ends[top + 1]])
             at = self.marked[state]
             while at > 0:
-                for size, items in self.short[at].items():
+                own = bisect_left(self.short_states, at)
+                while own < len(self.short_states) and self.short_states[own] == at:
+                    size = self.short_sizes[own]
                     if size <= have:
                         runs.append((i + 1 - size, i + 1))
-                        found |= items
+                        found.add(self.short_items[own])
+                    own += 1
                 at = self.marked[self.link[at]]
-        return runs, found
+        return runs, {self.names[x] for x in found}
 
 
 def _index(rows: list[tuple[str, str]], window: int) -> bytes:
@@ -132,7 +178,7 @@ def _index(rows: list[tuple[str, str]], window: int) -> bytes:
     automaton = Automaton(window)
     automaton.build([(item, c.tolist()) for (item, _), c in zip(rows, coded, strict=True)])
     shortest = min([len(c) for c in coded if len(c)] + [window])
-    return pickle.dumps((known, pairs, shortest, automaton))
+    return pickle.dumps((known, pairs, shortest, automaton.packed(max(1, len(known)))))
 
 
 def _words(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -274,7 +320,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     Nulls: a null text has no words; items with no words match nothing, items
     with a null id count as hits but aren't listed; null document ids stay
     null. Repeated rows are judged alike, repeated item ids count once. An
-    empty benchmark hits nothing. Other columns are ignored.
+    empty benchmark hits nothing, empty docs give no rows. Other columns are
+    ignored. Items go to the executors by ITEM_BYTES of text at a time.
     """
     prepare(docs.sparkSession)
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))

@@ -95,13 +95,13 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-_FOUND = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_FOUND = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, in_edited double, in_next double"
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads rows in order of (part, halo, descending id, text); a part's last document is followed by its halo's first."""
+    """Reads rows in order of (part, halo, place, text's hash, text); a part's last document is followed by its halo's first."""
     held = None  # part, id, text and chunks of the row that waits for the next
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *[pa.float64()] * 4)
     names = [c.split()[0] for c in _FOUND.split(", ")]
     for batch in batches:
         out: list[tuple] = []
@@ -112,42 +112,77 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if held is not None and held[0] == part:
                 new = edited(held[2], text).encode()
                 changed = chunks(new)
-                out.append((held[1], len(held[2]), hashlib.sha256(new).hexdigest(), fingerprint(held[3]), fingerprint(changed), likeness(held[3], changed), likeness(held[3], found)))
+                own = held[3]
+                out.append((held[1], len(held[2]), hashlib.sha256(new).hexdigest(), fingerprint(own), fingerprint(changed), likeness(own, changed), likeness(own, found), containment(own, changed), containment(own, found)))
             held = None if halo else (part, doc, text, found)
         if out:
             yield pa.record_batch([pa.array(list(x), k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
+class Ranges:
+    """Cuts in the order of (place, hash); a row's range is the number of cuts up to it."""
+
+    def __init__(self, cuts: list[tuple[int, int]]) -> None:
+        cuts = sorted(set(cuts))
+        self.places = np.array([c[0] for c in cuts], np.int64)
+        self.hashes = np.array([c[1] for c in cuts], np.int64)
+
+    def __call__(self, place: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        out = np.searchsorted(self.places, place, "left")
+        high = np.searchsorted(self.places, place, "right")
+        tied = np.flatnonzero(high > out)
+        for p in np.unique(place[tied]):
+            own = tied[place[tied] == p]
+            a, b = out[own[0]], high[own[0]]
+            out[own] = a + np.searchsorted(self.hashes[a:b], hashes[own], "right")
+        return out.astype(np.int32)
+
+
+def _ranges(slim: DataFrame, n: int) -> Ranges:
+    """About n ranges of like many rows; an id of more rows than one should hold, or none, is cut by the hashes of its texts."""
+    shares = [i / n for i in range(1, n)]
+    cuts = sorted(slim.select(F.percentile_approx("place", shares, 20 * n).alias("c")).first()["c"] or [])
+    hot = sorted({a for a, b in zip(cuts, cuts[1:], strict=False) if a == b})
+    out = [(c, -(2**63)) for c in cuts]
+    if hot:
+        found = slim.where(F.col("place").isin(hot)).groupBy("place").agg(F.percentile_approx("alt", shares, 20 * n).alias("c")).collect()
+        out += [(r["place"], c) for r in found for c in r["c"]]
+    return Ranges(out)
+
+
 def compare_with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """For each row its fingerprint, that of its text edited with the next one, and how near they are.
 
-    The next row is that of the next smaller doc_id; after the last comes the
-    first. Rows are dealt to ranges of ids; each range also gets the first
-    document of the next, so no row waits for a whole-table sort in one task.
+    near_ is the likeness, in_ the share of the row's text that the other
+    contains, both by the bytes of common chunks. The next row is that of the
+    next smaller doc_id; after the last comes the first. Rows are dealt to
+    ranges of ids; each range also gets the first document of the next, so no
+    row waits for a whole-table sort in one task.
 
     Nulls: a null text is empty; null ids come after all others. Rows that
-    share an id follow each other by their texts. Other columns are ignored.
+    share an id, or have none, follow each other by a hash of their texts, and
+    are cut into ranges by it where they are many; rows equal in both stay in
+    one range. Other columns are ignored; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     prepare(spark)
     # ~id falls as the id rises, and null takes the place after all
     slim = docs.select(F.coalesce(F.bitwise_not(docs["doc_id"].cast("long")), F.lit(NULL_ID)).alias("place"), docs["doc_id"].cast("long").alias("doc"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    slim = slim.withColumn("alt", F.xxhash64("text"))
     tasks = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = 4 * tasks  # hashing ranges to tasks is uneven; several to a task even it out
-    cuts = slim.select(F.percentile_approx("place", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("c")).first()["c"] or []
-    cuts = np.array(sorted(set(cuts)), np.int64)
+    ranges = _ranges(slim, 4 * tasks)  # hashing ranges to tasks is uneven; several to a task even it out
 
     @F.pandas_udf("int")
-    def range_of(place: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, place.to_numpy(), "right").astype(np.int32))
+    def range_of(place: pd.Series, alt: pd.Series) -> pd.Series:
+        return pd.Series(ranges(place.to_numpy(), alt.to_numpy()))
 
-    dealt = slim.withColumn("part", range_of("place"))
-    # the first place of each range that has rows: as many values as ranges
-    firsts = [tuple(r) for r in dealt.groupBy("part").agg(F.min("place")).orderBy("part").collect()]
+    dealt = slim.withColumn("part", range_of("place", "alt"))
+    # the first row of each range that has rows: as many values as ranges
+    firsts = [tuple(r) for r in dealt.groupBy("part").agg(F.min(F.struct("place", "alt")).alias("f")).select("part", "f.*").orderBy("part").collect()]
     if not firsts:
         return spark.createDataFrame([], _FOUND)
-    follows = spark.createDataFrame([(firsts[i][0], firsts[(i + 1) % len(firsts)][1]) for i in range(len(firsts))], "part int, place long")
-    halo = slim.join(F.broadcast(follows), "place")
+    follows = spark.createDataFrame([(firsts[i][0], *firsts[(i + 1) % len(firsts)][1:]) for i in range(len(firsts))], "part int, place long, alt long")
+    halo = slim.join(F.broadcast(follows), ["place", "alt"])
     rows = dealt.withColumn("halo", F.lit(False)).unionByName(halo.withColumn("halo", F.lit(True)))
-    rows = rows.repartition(tasks, "part").sortWithinPartitions("part", "halo", "place", "text").select("part", "halo", "doc", "text")
+    rows = rows.repartition(tasks, "part").sortWithinPartitions("part", "halo", "place", "alt", "text").select("part", "halo", "doc", "text")
     return rows.mapInArrow(_compare, _FOUND)

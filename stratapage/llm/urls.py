@@ -1,7 +1,8 @@
 """URL filter: host and path rules, and gradient-boosted trees for the rest.
 
-The trees see lexical features only and learn from the URLs that the rules
-decide.
+The trees see lexical features only: lengths, depth, digit ratio, entropy,
+parameters, and how often URLs of a host's suffix are blocked. They learn from
+labelled URLs: those that the rules decide, where no others are given.
 """
 
 from __future__ import annotations
@@ -139,64 +140,89 @@ class Trees:
         return 1 / (1 + np.exp(-z))
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+class Model:
+    """Fitted trees, with the statistics of host suffixes that they read."""
+
+    def __init__(self, names: list[str], trees: Trees | None, rates: dict[str, tuple[float, float]], usual: float) -> None:
+        self.names, self.trees, self.rates, self.usual = names, trees, rates, usual
+
+    def __call__(self, columns: list[np.ndarray], suffixes: list[str]) -> np.ndarray:
+        """Chances of ``block`` from the lexical features' columns and the suffixes."""
+        if self.trees is None:
+            return np.zeros(len(suffixes))
+        extra = np.array([self.rates.get(s, (self.usual, 0.0)) for s in suffixes], float).reshape(-1, 2)
+        return self.trees(np.concatenate([np.stack(columns, 1).reshape(len(suffixes), -1), extra], 1))
+
+
+def _described(urls: DataFrame) -> tuple[DataFrame, list[str]]:
+    """urls (url and others) with host, path, suffix and lexical features, and the features' columns."""
+    host, path = host_and_path(F.col("url"))
+    parsed = urls.withColumns({"host": host, "path": path})
+    lexical = {f"x_{k}": v.cast("double") for k, v in features(F.col("host"), F.col("path"), F.coalesce(F.col("url"), F.lit(""))).items()}
+    return parsed.withColumns(lexical).withColumn("suffix", suffix(F.col("host"))), list(lexical)
+
+
+def fit(labelled: DataFrame) -> Model:
+    """Trees fitted on labelled (url, block), of which TRAIN_ROWS different URLs at most, those of smallest hash.
+
+    Null URLs and labels don't count; a URL with both labels is blocked. No
+    rows give a model that blocks nothing, rows of one kind one that follows it.
+    """
+    slim = labelled.select(labelled["url"].cast("string").alias("url"), labelled["block"].cast("int").alias("y")).where("url IS NOT NULL AND y IS NOT NULL")
+    full, names = _described(slim)
+    # the sample's cut on the hash, from the count; equal URLs share a hash and count once
+    n = slim.agg(F.approx_count_distinct("url")).first()[0]
+    part = min(1.0, 0.9 * TRAIN_ROWS / max(1, n))
+    picked = full.where(F.shiftrightunsigned(F.xxhash64("url"), 1) / F.lit(float(2**63)) <= part)
+    rows = picked.groupBy("url").agg(*(F.first(c).alias(c) for c in (*names, "suffix")), F.max("y").alias("y")).drop("url").collect()
+    rows.sort()
+    x = np.array([[r[c] for c in names] for r in rows], float).reshape(-1, len(names))
+    y = np.array([r["y"] for r in rows], float)
+    # suffix statistics: each suffix's share of blocked URLs in the sample, drawn to the whole sample's
+    mean = y.mean() if len(y) else 0.0
+    sums: dict[str, list[float]] = {}
+    for r in rows:
+        own = sums.setdefault(r["suffix"], [0.0, 0.0])
+        own[0] += r["y"]
+        own[1] += 1
+    rates = {k: ((a + 5 * mean) / (c + 5), float(np.log1p(c))) for k, (a, c) in sums.items()}
+    known = np.array([rates[r["suffix"]] for r in rows], float).reshape(-1, 2)
+    return Model(names, Trees().fit(np.concatenate([x, known], 1), y) if len(y) else None, rates, mean)
+
+
+def judge(pages: DataFrame, rules: Sequence[Rule], labelled: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, block_score) for each row of pages.
 
     The longest fitting rule decides; a rule fits its host and all subdomains
     where the path starts with the rule's. Other URLs are blocked where the
-    trees, fitted on URLs that rules decide (TRAIN_ROWS at most, by smallest
-    hash), give a chance of 0.5 or more.
+    trees give a chance of 0.5 or more. These are fitted (see ``fit``) on
+    labelled (url, block) where given, else on the URLs that rules decide.
 
     Nulls: a null URL, or one without ``://``, has an empty host and path and
     no rule; null page_ids stay null. Without labelled URLs, or with one kind
     only, the rest get that kind's verdict (allow where there are none).
-    Repeated rows are judged alike; other columns are ignored.
+    Repeated rows are judged alike, and count once in the fit; of rules of
+    equal length the later wins. Other columns are ignored; an empty table
+    gives an empty one.
     """
     prepare(pages.sparkSession)
     slim = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"))
-    host, path = host_and_path(F.col("url"))
-    parsed = slim.withColumns({"host": host, "path": path})
+    full, names = _described(slim)
     verdicts = {h + p: v for v, h, p in rules}
-    ruled = parsed.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
+    full = full.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
     by_rule = F.lit(None).cast("string")
     for r, v in verdicts.items():
         by_rule = F.when(F.col("rule") == r, F.lit(v)).otherwise(by_rule)
-    ruled = ruled.withColumn("by_rule", by_rule)
-    lexical = features(F.col("host"), F.col("path"), F.coalesce(F.col("url"), F.lit("")))
-    names = list(lexical)
-    full = ruled.withColumns({f"x_{k}": v.cast("double") for k, v in lexical.items()}).withColumn("suffix", suffix(F.col("host")))
-
-    labelled = full.where("by_rule IS NOT NULL")
-    # the sample's cut on the hash, from the count; equal URLs share a hash and count once
-    n = labelled.agg(F.approx_count_distinct("url")).first()[0]
-    share = min(1.0, 0.9 * TRAIN_ROWS / max(1, n))
-    picked = labelled.where(F.shiftrightunsigned(F.xxhash64("url"), 1) / F.lit(float(2**63)) <= share).dropDuplicates(["url"])
-    rows = picked.select(*(f"x_{k}" for k in names), "suffix", (F.col("by_rule") == "block").cast("int").alias("y")).collect()
-    rows.sort()
-    x = np.array([[r[i] for i in range(len(names))] for r in rows], float).reshape(-1, len(names))
-    y = np.array([r["y"] for r in rows], float)
-    # suffix statistics: each suffix's share of blocked URLs in the sample, drawn to the whole sample's
-    mean = y.mean() if len(y) else 0.0
-    sums: dict[str, list[float]] = {}
-    for r in rows:
-        s = sums.setdefault(r["suffix"], [0.0, 0.0])
-        s[0] += r["y"]
-        s[1] += 1
-    rates = {s: ((a + 5 * mean) / (c + 5), float(np.log1p(c))) for s, (a, c) in sums.items()}
-    known = np.array([rates[r["suffix"]] for r in rows], float).reshape(-1, 2)
-    model = Trees().fit(np.concatenate([x, known], 1), y) if len(y) else None
-    shared = pages.sparkSession.sparkContext.broadcast((model, rates, mean))
+    full = full.withColumn("by_rule", by_rule)
+    if labelled is None:
+        labelled = full.where("by_rule IS NOT NULL").select("url", (F.col("by_rule") == "block").alias("block"))
+    shared = pages.sparkSession.sparkContext.broadcast(fit(labelled))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            trees, by_suffix, usual = shared.value
-            if trees is None:
-                score = np.zeros(batch.num_rows)
-            else:
-                extra = np.array([by_suffix.get(s, (usual, 0.0)) for s in batch["suffix"].to_pylist()], float).reshape(-1, 2)
-                score = trees(np.concatenate([np.stack([batch[f"x_{k}"].to_numpy(zero_copy_only=False) for k in names], 1), extra], 1))
+            score = shared.value([batch[c].to_numpy(zero_copy_only=False) for c in names], batch["suffix"].to_pylist())
             yield pa.record_batch([batch[c] for c in ("page_id", "host", "path", "rule", "by_rule")] + [pa.array(score, pa.float64())], ["page_id", "host", "path", "rule", "by_rule", "block_score"])
 
-    scored = full.select("page_id", "host", "path", "rule", "by_rule", "suffix", *(f"x_{k}" for k in names)).mapInArrow(run, "page_id long, host string, path string, rule string, by_rule string, block_score double")
+    scored = full.select("page_id", "host", "path", "rule", "by_rule", "suffix", *names).mapInArrow(run, "page_id long, host string, path string, rule string, by_rule string, block_score double")
     verdict = F.coalesce("by_rule", F.when(F.col("block_score") >= 0.5, F.lit("block")).otherwise(F.lit("allow")))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "block_score")

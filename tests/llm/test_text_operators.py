@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -101,23 +102,50 @@ def test_several_indexes_are_as_one(spark, monkeypatch, limit):
     assert judged == sorted((i or 0, *(_contaminated(t, list(enumerate(items)), 4)[k] for k in (0, 1, 2, 4))) for i, t in rows)
 
 
-def test_fingerprints(spark):
+def _chunks(raw):
+    """Byte by byte: the gear hash of the last REACH bytes, and where it cuts."""
+    out, start, gear = {}, 0, 0
+    hashes = [int(x) for x in fingerprints.BYTE_HASH]
+    for i, byte in enumerate(raw):
+        gear = (gear << 1) + hashes[byte]
+        if i >= fingerprints.REACH:
+            gear -= hashes[raw[i - fingerprints.REACH]] << fingerprints.REACH
+        gear %= 2**64
+        size = i + 1 - start
+        loose, strict = gear >> (64 - fingerprints.LOOSE) == 0, gear >> (64 - fingerprints.STRICT) == 0
+        cut = size >= fingerprints.LEAST and (strict or (loose and size >= fingerprints.AIM))
+        if cut or size == fingerprints.MOST or i + 1 == len(raw):
+            piece = raw[start : i + 1]
+            out[piece] = out.get(piece, 0) + size
+            start = i + 1
+    return out
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_fingerprints(spark, hot):
     rng = random.Random(1)
-    texts = [" ".join("".join(rng.choice("abcdeé") for _ in range(5)) for _ in range(rng.randint(0, 200))) for _ in range(50)] + [None, "", "x"]
-    rows = [(i * 3, t) for i, t in enumerate(texts)]
-    found = {r.doc_id: r for r in fingerprints.compare_with_next(_docs(spark, rows), 5).collect()}
-    order = sorted(rows, reverse=True)
+    texts = [" ".join("".join(rng.choice("abcdeé") for _ in range(5)) for _ in range(rng.randint(0, 200))) for _ in range(50)] + [None, "", "x", "y" * 5000]
+    rows = [(None if hot and i % 2 else 7 if hot and i % 3 else i * 3, t) for i, t in enumerate(texts)] + [(7, "again")] * 2
+    docs = _docs(spark, rows)
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    expected = []
     for (doc, text), (_, following) in zip(order, order[1:] + order[:1], strict=True):
-        text, following, r = text or "", following or "", found[doc]
+        text, following = text or "", following or ""
         half = len(text) // 2
         edited = text[: len(text) - half] + following[:half]
-        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        a, b = fingerprints.chunks(text.encode()), fingerprints.chunks(edited.encode())
-        assert (r.fingerprint, r.edited_fingerprint) == (fingerprints.fingerprint(a), fingerprints.fingerprint(b))
-        assert r.near_edited == pytest.approx(fingerprints.likeness(a, b))
-    assert np.mean([r.near_edited for r in found.values()]) > 0.35 > np.mean([r.near_next for r in found.values()])
-    repeated = fingerprints.compare_with_next(_docs(spark, [(1, "a"), (1, "b"), (None, "c"), (None, None)])).collect()
-    assert len(repeated) == 4
+        a, b, c = (_chunks(t.encode()) for t in (text, edited, following))
+
+        def near(x, y):
+            both = sum(min(n, y[k]) for k, n in x.items() if k in y)
+            most = max(sum(x.values()), sum(y.values()))
+            return round(both / most, 9) if most else 1.0, round(both / sum(x.values()), 9) if x else 1.0
+
+        expected.append((doc or 0, len(text), hashlib.sha256(edited.encode()).hexdigest(), *near(a, b), *near(a, c), sorted(a.values()), sorted(b.values())))
+    found = fingerprints.compare_with_next(docs, 5).collect()
+    assert sorted((r.doc_id or 0, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.in_edited, 9), round(r.near_next, 9), round(r.in_next, 9), *(sorted(int(x.split(":")[1]) for x in f.split()) for f in (r.fingerprint, r.edited_fingerprint))) for r in found) == sorted(expected)
+    assert len({r.fingerprint for r in found if r.n_chars == 5}) == 1
+    assert np.mean([r.near_edited for r in found]) > 0.35 > np.mean([r.near_next for r in found])
     assert fingerprints.compare_with_next(_docs(spark, [])).count() == 0
 
 
@@ -228,6 +256,46 @@ def test_url_rules_and_trees(spark):
     assert (found[1].verdict, found[2].verdict, found[3].verdict) == ("block", "allow", "block")
     assert {r.verdict for r in found.values()} <= {"allow", "block"} and len(found) == len(pages)
     assert urls.judge(frame.limit(0), RULES).count() == 0
+    # every row against plain rules, and features counted letter by letter, by the same trees
+    model = urls.fit(frame.join(spark.createDataFrame([(p, r.rule) for p, r in found.items() if p and r.rule], "p long, ruled string"), F.col("page_id") == F.col("p")).select("url", F.col("ruled").isin("com/en/", "org/es/", "example.net/de/8").alias("block")))
+    described, names = urls._described(frame.select("page_id", "url"))
+    described = {r.page_id: r for r in described.collect()}
+    for page, url in pages:
+        host, path = _split_url(url)
+        lexical = [described[page][c] or 0.0 for c in names]
+        assert lexical == pytest.approx(_lexical(url or "", host, path))
+        fits = [(v, h + p) for v, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        verdict, rule = max(fits, key=lambda r: len(r[1]), default=(None, None))
+        score = float(model([np.array([v], float) for v in lexical], [host.split(".")[-1]])[0])
+        r = found[page]
+        assert (r.host, r.path, r.rule) == (host, path, rule) and r.block_score == pytest.approx(score)
+        assert r.verdict == (verdict or ("block" if score >= 0.5 else "allow"))
+
+
+def _split_url(url):
+    rest = (url or "").partition("://")[2]
+    host = re.split("[/?#]", rest)[0]
+    path = re.split("[?#]", rest[len(host) :])[0]
+    return "".join(c.lower() if c.isascii() else c for c in host), path
+
+
+def _lexical(url, host, path):
+    query = url.split("?", 1)[1].split("#")[0] if "?" in url else ""
+    counts = [url.count(c) for c in set(url)]
+    entropy = sum(-c / len(url) * np.log2(c / len(url)) for c in counts)
+    end = re.search(r"\.([A-Za-z0-9]{1,5})$", path)
+    digits = sum(c in "0123456789" for c in url)
+    return [len(url), len(host), len(path), path.count("/"), host.count(".") + 1, digits / max(1, len(url)), sum(c in "0123456789" for c in host), host.count("-"), entropy,
+            query.count("&") + 1 if query else 0, len(query), int("#" in url), int(url.startswith("https://")), int(host.startswith("www.")), url.count("%"), len(end[1]) if end else 0]
+
+
+def test_urls_from_given_labels(spark):
+    rng = random.Random(3)
+    rows = [(i, f"http://{'ads' if bad else 'site'}{rng.randint(1, 99)}.{rng.choice(['info', 'org'])}/{'x/' * rng.randint(0, 3)}{'?a=1&b=2&c=' + str(rng.randint(1, 9)) if bad else 'page'}", bad) for i in range(400) for bad in [rng.random() < 0.4]]
+    frame = spark.createDataFrame(rows, "page_id long, url string, block boolean")
+    labelled = frame.where("page_id < 200").select("url", "block").unionAll(spark.createDataFrame([(None, True), ("http://a/", None)], "url string, block boolean"))
+    found = {r.page_id: r.verdict for r in urls.judge(frame, RULES, labelled).collect()}
+    assert all(found[i] == ("block" if bad else "allow") for i, _, bad in rows if i >= 200)
 
 
 def test_trees_learn_an_interaction():
