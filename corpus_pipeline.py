@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stratapage.llm import bpe, decontaminate, language, minhash, suffixes
-from stratapage.llm.common import prepare, table, written
+from stratapage.llm.common import discard, prepare, table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,16 +48,17 @@ STAGES = [
     ("BPE encoding and decoding", encode),
 ]
 
-#: SQL has no zstandard and no BPE: tests/llm holds run() against a brute-force version.
+#: SQL has no zstandard and no BPE: tests/llm/test_pipeline.py holds run() against a brute-force version of all five stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents, each stage's rows written before the next reads them."""
+    """All stages on documents, each stage's rows written before the next reads them; what is read goes then."""
     prepare(spark)
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs)
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        kept = written(stage(spark, docs, sf_dir))
+        if i:
+            discard(docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
