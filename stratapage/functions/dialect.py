@@ -36,8 +36,8 @@ SPARK: dict[str, Macro] = {
     "argmax": lambda v, *k: f"max_by({v}, struct({', '.join(k)}))",
     "last": lambda x: f"last_value({x}) IGNORE NULLS",
     "string_list": lambda x, s, o: f"array_join(transform(array_sort(collect_list(struct({o} AS o, {x} AS v))), e -> e.v), {s})",
-    "bucket": lambda t, n: f"CAST(conv(substr(md5({t}), 1, 8), 16, 10) AS BIGINT) % {n}",
-    "bit": lambda t: f"CAST(conv(substr(md5({t}), 9, 1), 16, 10) AS BIGINT) % 2",
+    "bucket": lambda t, n: f"(CAST(conv(substr(md5({t}), 1, 8), 16, 10) AS BIGINT) % {n})",
+    "bit": lambda t: f"(CAST(conv(substr(md5({t}), 9, 1), 16, 10) AS BIGINT) % 2)",
     "distinct": lambda a: f"array_distinct({a})",
     "same": lambda a, b: f"({a} <=> {b})",
     "int": lambda x: f"CAST(floor({x}) AS BIGINT)",
@@ -45,6 +45,19 @@ SPARK: dict[str, Macro] = {
     "filtered": lambda f, c: f"{f} FILTER (WHERE {c})",
     "starts": lambda x, p: f"startswith({x}, {p})",
     "has": lambda a, x: f"array_contains({a}, {x})",
+    "kept": lambda x, p: f"regexp_replace({x}, {_quoted(p)}, '$2')",
+    "split_at": lambda x, p: f"split({x}, {_quoted(p)})",
+    "upto": lambda n, v, e: f"transform(sequence(1, CAST({n} AS INT)), {v} -> {e})",
+    "maybe_at": lambda a, i: f"try_element_at({a}, CAST({i} AS INT))",
+    "list_of": lambda x, o: f"transform(array_sort(collect_list(struct({o} AS o, {x} AS v))), e -> e.v)",
+    "total": lambda a: f"aggregate({a}, CAST(0 AS DOUBLE), (s, v) -> s + v)",
+    "dot": lambda a, b: f"aggregate(zip_with({a}, {b}, (x, y) -> x * y), CAST(0 AS DOUBLE), (s, v) -> s + v)",
+    "peak": lambda a: f"array_max({a})",
+    "fold": lambda a, e: f"aggregate({a}, CAST('' AS STRING), (acc, nxt) -> {e})",
+    "ends": lambda x, p: f"endswith({x}, {p})",
+    "padded": lambda x, n: f"lpad(CAST({x} AS STRING), {n}, '0')",
+    "casefold": lambda x: f"lower({x})",
+    "common": lambda a, b: f"array_intersect({a}, {b})",
 }
 
 CHECK: dict[str, Macro] = {
@@ -66,8 +79,8 @@ CHECK: dict[str, Macro] = {
     "argmax": lambda v, *k: f"arg_max({v}, row({', '.join(k)}))",
     "last": lambda x: f"last_value({x} IGNORE NULLS)",
     "string_list": lambda x, s, o: f"string_agg({x}, {s} ORDER BY {o})",
-    "bucket": lambda t, n: f"CAST(concat('0x', substr(md5({t}), 1, 8)) AS BIGINT) % {n}",
-    "bit": lambda t: f"CAST(concat('0x', substr(md5({t}), 9, 1)) AS BIGINT) % 2",
+    "bucket": lambda t, n: f"(CAST(concat('0x', substr(md5({t}), 1, 8)) AS BIGINT) % {n})",
+    "bit": lambda t: f"(CAST(concat('0x', substr(md5({t}), 9, 1)) AS BIGINT) % 2)",
     "distinct": lambda a: f"list_distinct({a})",
     "same": lambda a, b: f"({a} IS NOT DISTINCT FROM {b})",
     "int": lambda x: f"CAST(floor({x}) AS BIGINT)",
@@ -75,6 +88,19 @@ CHECK: dict[str, Macro] = {
     "filtered": lambda f, c: f"{f} FILTER (WHERE {c})",
     "starts": lambda x, p: f"starts_with({x}, {p})",
     "has": lambda a, x: f"list_contains({a}, {x})",
+    "kept": lambda x, p: f"regexp_replace({x}, {p}, '\\2', 'g')",
+    "split_at": lambda x, p: f"string_split_regex({x}, {p})",
+    "upto": lambda n, v, e: f"list_transform(range(1, CAST({n} AS BIGINT) + 1), lambda {v}: {e})",
+    "maybe_at": lambda a, i: f"({a})[{i}]",
+    "list_of": lambda x, o: f"list({x} ORDER BY {o})",
+    "total": lambda a: f"list_sum({a})",
+    "dot": lambda a, b: f"list_dot_product({a}, {b})",
+    "peak": lambda a: f"list_max({a})",
+    "fold": lambda a, e: f"list_reduce(list_concat([''], {a}), lambda acc, nxt: {e})",
+    "ends": lambda x, p: f"ends_with({x}, {p})",
+    "padded": lambda x, n: f"lpad(CAST({x} AS STRING), {n}, '0')",
+    "casefold": lambda x: f"lower({x})",
+    "common": lambda a, b: f"list_intersect({a}, {b})",
 }
 
 

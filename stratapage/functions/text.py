@@ -84,12 +84,33 @@ def cells(x: str) -> str:
     return f"@map(@split(@replace(trim({x}), '^\\||\\|$', ''), '|'), c, {strip_markup('c')})"
 
 
-_TAGS = "a|abbr|b|blockquote|br|code|col|colgroup|dd|del|div|dl|dt|em|font|h[1-6]|hr|i|img|ins|kbd|li|mark|ol|p|pre|q|s|samp|small|span|strike|strong|sub|sup|table|tbody|td|tfoot|th|thead|tr|tt|u|ul|var"
+#: The tags that are markup wherever they stand; another name in angle brackets is a placeholder of the text.
+TAGS = ("a", "b", "br", "div", "em", "i", "li", "ol", "p", "span", "strong", "sub", "sup", "table", "tbody", "td", "th", "thead", "tr", "u", "ul")
+_BLANK = "[\\s\\x{00A0}]"
+_TO_END = "[^>]*"
+
+
+def _tag() -> str:
+    """What stands between the brackets of a tag: nothing, a declaration, a nameless end, a known name, or a name of letters with attributes."""
+    known = f"(?i:{'|'.join(TAGS)})(?:/[^>\\s\\x{{00A0}}=]*)?{_BLANK}*"
+    solid = f"{_TO_END}[^>\\s\\x{{00A0}}]{_BLANK}*"
+    given = f"\\p{{L}}+(?:={_TO_END}|(?:{_BLANK}|/){_TO_END}={_TO_END}|{_BLANK}{solid}|/{_TO_END}{_BLANK}{solid})"
+    named = f"(?:/{_BLANK}*)?(?:[=/]{_TO_END}|{known}|{given})"
+    return f"{_BLANK}*(?:[!?]{_TO_END}|/?{_BLANK}*|{named})"
 
 
 def strip_markup(x: str) -> str:
-    """Line breaks as spaces, emphasis marks and HTML tags gone; other angle brackets stay."""
-    breaks = f"@replace({x}, '(?i)<br\\s*/?>', ' ')"
-    marks = f"@replace({breaks}, '\\*\\*|__', '')"
-    tags = f"@replace({marks}, '(?i)</?({_TAGS})(\\s[^<>]*)?/?>|<!--[^<>]*>|<[!?/][^<>]*>', '')"
+    """Line breaks as spaces, emphasis marks and tags gone; other angle brackets, and what they hold, stay.
+
+    A bracket reaches to the next closing one, so what a placeholder holds is not looked into.
+    """
+    breaks = f"@replace({x}, '<br>|<br/>|<br />', ' ')"
+    marks = f"@replace(@replace({breaks}, '\\*\\*', ''), '__', '')"
+    tags = f"@kept({marks}, '(<(?:{_tag()})>)|(<[^>]*>)')"
     return collapse(tags)
+
+
+def bullet_parts(x: str) -> str:
+    """The parts of a text between bullets, none empty; one part is the text itself."""
+    parts = f"@keep(@map(@split_at({x}, '{BULLETS}'), q, {collapse('q')}), q, q <> '')"
+    return f"CASE WHEN @size({parts}) <= 1 THEN @list({x}) ELSE {parts} END"

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from stratapage.functions import text as t
 from stratapage.functions.dialect import Step
+from stratapage.operators.embedding import TERMS
 
-#: Weights of the relationship and the boundary signals.
+#: Weights of the relationship and the boundary signals.
 RELATIONSHIP = {
     "semantic": 0.20, "spatial": 0.14, "typography": 0.14, "alignment": 0.12, "structural": 0.12, "spacing": 0.10, "container": 0.10, "reading": 0.08,
 }
@@ -20,25 +21,53 @@ BOUNDARY = {
 #: Signals of form, discounted where a template explains them.
 FORM = ("spatial", "alignment", "typography", "spacing", "structural", "container")
 BINS = 64
+#: Share of a document's pages on which a short text recurs that is furniture.
+FURNITURE_SHARE = 0.3
 
 CLEAN = t.collapse("line")
+_REAL = "@size(@keep(cells, c, trim(c) <> '' AND NOT @like(trim(c), '^[-:| ]*-[-:| ]*$'))) > 0"
+_FILLED = "@size(@keep({x}, c, trim(c) <> ''))"
 
 #: documents (doc_id, text) as lines with synthetic boxes: 40 lines a page, 18 points a line, 5 points a letter.
+#: Grid rows that are drawn rules, or empty, go; a first row of labels that the second one continues is merged with it.
 LINES: list[Step] = [
     ("split_lines", "SELECT CAST(doc_id AS STRING) AS document_id, i AS line_index, line FROM @explode(documents, @split(text, '\\n'), i, line)"),
-    ("clean_lines", f"SELECT document_id, line_index, {CLEAN} AS text FROM split_lines WHERE {CLEAN} <> ''"),
+    ("clean_lines", f"SELECT document_id, line_index, {CLEAN} AS text FROM split_lines WHERE @like(line, '[^\\s\\x{{00A0}}]')"),
+    ("marked_lines", f"SELECT *, CASE WHEN in_grid THEN {t.cells('text')} END AS cells FROM (SELECT *, @like(text, '^[^|]*[|].*[|]') AS in_grid FROM clean_lines) x"),
+    ("placed_lines", f"SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY line_index) - 1 AS spot FROM marked_lines WHERE NOT in_grid OR {_REAL}"),
     ("lines", """
-SELECT *, sum(grid_start) OVER (PARTITION BY document_id ORDER BY ord) AS grid_no FROM (
-  SELECT *, CASE WHEN in_grid AND NOT coalesce(lag(in_grid) OVER (PARTITION BY document_id ORDER BY ord), false) THEN 1 ELSE 0 END AS grid_start FROM (
-    SELECT document_id, line_index, text, @like(text, '^[^|]*[|].*[|]') AS in_grid,
-      row_number() OVER (PARTITION BY document_id ORDER BY line_index) - 1 AS ord FROM clean_lines) x) y"""),
+SELECT *, sum(grid_start) OVER (PARTITION BY document_id ORDER BY spot) AS grid_no FROM (
+  SELECT *, CASE WHEN in_grid AND NOT coalesce(lag(in_grid) OVER (PARTITION BY document_id ORDER BY spot), false) THEN 1 ELSE 0 END AS grid_start FROM placed_lines) y"""),
+    ("grid_rows", f"""
+SELECT document_id, spot, grid_no, cells, width, r, lead(cells) OVER w AS below, lead(text) OVER w AS text_below, text, {_FILLED.format(x='cells')} AS filled, {_FILLED.format(x='lead(cells) OVER w')} AS filled_below FROM (
+  SELECT document_id, spot, grid_no, cells, text, max(@size(cells)) OVER (PARTITION BY document_id, grid_no) AS width, row_number() OVER (PARTITION BY document_id, grid_no ORDER BY spot) AS r FROM lines WHERE in_grid) x
+WINDOW w AS (PARTITION BY document_id, grid_no ORDER BY spot)"""),
+    ("label_rows", """
+SELECT *, lag(merges) OVER (PARTITION BY document_id, grid_no ORDER BY spot) AS merged_away FROM (
+  SELECT *, r = 1 AND below IS NOT NULL AND filled > 0 AND filled < filled_below AND filled <= greatest(1, @int(width / 2)) AS merges FROM grid_rows) x"""),
+    ("whole_rows", """
+SELECT document_id, spot, CASE WHEN merges THEN @upto(width, i, trim(concat(trim(coalesce(@maybe_at(cells, i), '')), ' ', trim(coalesce(@maybe_at(below, i), ''))))) ELSE @upto(width, i, coalesce(@maybe_at(cells, i), '')) END AS cells,
+  CASE WHEN merges THEN concat(text, ' ', text_below) ELSE text END AS text, coalesce(merged_away, false) AS merged_away, merges FROM label_rows"""),
+    ("kept_lines", """
+SELECT l.document_id, l.spot, l.line_index, l.in_grid, l.grid_no, coalesce(g.text, l.text) AS text, g.cells FROM lines l LEFT JOIN whole_rows g ON l.document_id = g.document_id AND l.spot = g.spot WHERE NOT coalesce(g.merged_away, false)"""),
     ("units", f"""
-SELECT document_id, ord, @int(line_index / 40) + 1 AS page, text, CASE WHEN in_grid THEN 'table' WHEN {t.marker_depth('text')} > 0 THEN 'section-header' WHEN @like(text, '^[\\x{{2022}}*-] ') THEN 'list-item' ELSE 'text' END AS layout,
-  CAST({t.marker_depth('text')} AS BIGINT) AS depth, CASE WHEN in_grid THEN concat(document_id, '_grid_', CAST(grid_no AS STRING)) END AS grid_id,
-  CASE WHEN in_grid THEN {t.cells('text')} END AS cells,
+SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY spot) - 1 AS ord, @int(line_index / 40) + 1 AS page, text, CASE WHEN in_grid THEN 'table' WHEN {t.marker_depth('text')} > 0 THEN 'section-header' WHEN @like(text, '^[\\x{{2022}}*-] ') THEN 'list-item' ELSE 'text' END AS layout,
+  CAST({t.marker_depth('text')} AS BIGINT) AS depth, CASE WHEN in_grid THEN concat(document_id, '_grid_', CAST(grid_no AS STRING)) END AS grid_id, cells,
   CAST(50 AS DOUBLE) AS x0, 40.0 + 18.0 * (line_index % 40) AS y0, 50.0 + least(500.0, 5.0 * length(text)) AS x1, 52.0 + 18.0 * (line_index % 40) AS y1,
   CAST(612 AS DOUBLE) AS pw, CAST(792 AS DOUBLE) AS ph, CAST(1 AS BIGINT) AS line_count
-FROM lines"""),
+FROM kept_lines"""),
+]
+
+#: raw_units (document_id, ord, text, grid_id and a box) as candidates: a text of several enumerated lines of like length gives one for each.
+CANDIDATES: list[Step] = [
+    ("raw_lines", "SELECT *, @keep(@split(text, '\\n'), q, trim(q) <> '') AS parts FROM raw_units"),
+    ("raw_shapes", f"SELECT *, @size(parts) AS n, @size(@keep(parts, q, {t.first_class('q')} = 'D')) AS enumerated, @map(parts, q, CAST(length(q) AS DOUBLE)) AS sizes FROM raw_lines"),
+    ("raw_splits", """
+SELECT *, grid_id IS NULL AND n >= 2 AND enumerated >= 2 AND enumerated >= n * 0.6 AND @total(sizes) >= n AND (@peak(sizes) + @peak(@map(sizes, q, -q))) / (@total(sizes) / n) <= 2.5 AS splits FROM raw_shapes"""),
+    ("candidates", """
+SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY ord, i) AS ord, ord AS raw_ord, i AS part, part AS text, splits, x0, x1,
+  CASE WHEN splits THEN y0 + i * (y1 - y0) / n ELSE y0 END AS y0, CASE WHEN splits THEN y0 + (i + 1) * (y1 - y0) / n ELSE y1 END AS y1
+FROM @explode((SELECT *, CASE WHEN splits THEN parts ELSE @list(text) END AS pieces FROM raw_splits), pieces, i, part)"""),
 ]
 
 #: Per-document statistics of line heights and gaps.
@@ -57,45 +86,47 @@ _SHAPE = """concat('L:', layout, '|C:', CAST(n_cells AS STRING), '|X:', CAST(@in
 
 FEATURES: list[Step] = [
     ("measured", f"""
-SELECT g.*, {t.clip01('x0 / pw')} AS rel_x0, {t.clip01('(x1 - x0) / pw')} AS rel_width, {t.clip01('y0 / ph')} AS rel_y0, (y1 - y0) / line_count / median_height AS lhr,
+SELECT g.*, {t.clip01('x0 / pw')} AS rel_x0, {t.clip01('(x1 - x0) / pw')} AS rel_width, {t.clip01('y0 / ph')} AS rel_y0, (y1 - y0) / line_count / median_height AS lhr, pages,
   CASE WHEN gap IS NULL THEN 1.0 ELSE greatest(0.0, gap) / median_gap END AS gap_ratio, length(text) AS chars, coalesce(@size(cells), 0) AS n_cells, page / CAST(pages AS DOUBLE) AS page_fraction,
   {t.share('text', t.DIGITS)} AS digit_ratio, {t.share('text', t.UPPER)} AS upper_ratio, {t.share('text', t.PUNCTUATION)} AS punct_ratio
 FROM gaps g JOIN doc_stats s ON g.document_id = s.document_id"""),
     ("shaped", f"""
 SELECT *, {_SHAPE} AS shape, {t.clip01(f"0.5 * {t.clip01('(lhr - 0.9) / 0.8')} + 0.3 * {t.clip01('depth / 3.0')} + 0.2 * (1 - {t.clip01('chars / 400.0')})")} AS prominence FROM measured"""),
-    ("features", "SELECT *, count(*) OVER (PARTITION BY document_id, shape) AS repetition FROM shaped"),
+    # running furniture: the same short text at the same height of many pages
+    ("recurring", f"""
+SELECT document_id, line, band, count(DISTINCT page) AS on_pages FROM (SELECT document_id, page, pages, ord, chars, @casefold(trim(text)) AS line, @int(rel_y0 * 12) AS band FROM shaped WHERE pages >= 3) x
+GROUP BY document_id, line, band HAVING count(DISTINCT page) >= greatest(3, @int(max(pages) * {FURNITURE_SHARE})) AND @argmax(chars, -ord) <= 80"""),
+    ("features", """
+SELECT s.*, count(*) OVER (PARTITION BY s.document_id, shape) AS repetition, r.line IS NOT NULL AS furniture
+FROM shaped s LEFT JOIN recurring r ON s.document_id = r.document_id AND @casefold(trim(s.text)) = r.line AND @int(rel_y0 * 12) = r.band"""),
 ]
 
-#: Hashed embedding of words and word pairs: signed buckets, 1 + ln tf, idf over the corpus.
-EMBED: list[Step] = [
-    ("tokens", "SELECT document_id, ord, i, lower(w) AS w FROM @explode(units, @extract_all(text, '[A-Za-z0-9]+'), i, w)"),
-    ("terms", """
-SELECT document_id, ord, concat('w:', w) AS term FROM tokens UNION ALL
-SELECT document_id, ord, term FROM (SELECT document_id, ord, concat('b:', w, '_', lead(w) OVER (PARTITION BY document_id, ord ORDER BY i)) AS term, lead(w) OVER (PARTITION BY document_id, ord ORDER BY i) AS f FROM tokens) x WHERE f IS NOT NULL"""),
-    ("term_counts", "SELECT document_id, ord, term, @bucket(term, 512) AS bucket, 1 - 2 * @bit(term) AS sign, count(*) AS tf FROM terms GROUP BY document_id, ord, term"),
-    ("idf", """
-SELECT bucket, ln((n + 1.0) / (df + 1.0)) + 1.0 AS idf, df FROM (SELECT bucket, count(*) AS df FROM (SELECT DISTINCT document_id, ord, bucket FROM term_counts) d GROUP BY bucket) b
-CROSS JOIN (SELECT count(*) AS n FROM units) c"""),
-    ("weights", "SELECT document_id, ord, t.bucket, sum(sign * (1.0 + ln(tf)) * idf) AS w FROM term_counts t JOIN idf i ON t.bucket = i.bucket GROUP BY document_id, ord, t.bucket"),
-    ("vectors", "SELECT document_id, ord, bucket, w / nullif(sqrt(sum(w * w) OVER (PARTITION BY document_id, ord)), 0) AS w FROM weights"),
-    ("neighbours", """
-SELECT a.document_id, b.ord, sum(a.w * b.w) AS cosine FROM vectors a JOIN vectors b ON a.document_id = b.document_id AND a.bucket = b.bucket AND b.ord = a.ord + 1 GROUP BY a.document_id, b.ord"""),
+#: First rows of grids of three rows or more that look unlike the rows below: shorter cells, fewer digits, other letters.
+_DIMENSIONS = (1, 2, 3, 4)
+HEADERS: list[Step] = [
+    ("row_cells", "SELECT grid_id, ord, v FROM @explode((SELECT grid_id, ord, CASE WHEN @size(@keep(cells, c, trim(c) <> '')) = 0 THEN @list(text) ELSE @keep(cells, c, trim(c) <> '') END AS cs FROM shaped WHERE grid_id IS NOT NULL), cs, i, v)"),
+    ("row_profiles", f"SELECT grid_id, ord, row_number() OVER (PARTITION BY grid_id ORDER BY ord) AS r, p1, p2, p3, p4 FROM (SELECT grid_id, ord, avg(length(v)) / 40.0 AS p1, avg({t.share('v', t.DIGITS)}) AS p2, avg({t.share('v', t.UPPER)}) AS p3, avg({t.share('v', t.PUNCTUATION)}) AS p4 FROM row_cells GROUP BY grid_id, ord) x"),
+    ("row_baselines", f"SELECT grid_id, {', '.join(f'@pct(p{i}, 0.5) AS m{i}' for i in _DIMENSIONS)} FROM row_profiles WHERE r > 1 GROUP BY grid_id HAVING count(*) >= 2"),
+    ("row_spreads", f"SELECT p.grid_id, {', '.join(f'greatest(0.05, @pct(abs(p{i} - m{i}), 0.5)) AS s{i}' for i in _DIMENSIONS)} FROM row_profiles p JOIN row_baselines b ON p.grid_id = b.grid_id WHERE r > 1 GROUP BY p.grid_id"),
+    ("grid_headers", f"SELECT p.grid_id, p.ord, @round(({' + '.join(f'abs(p{i} - m{i}) / s{i}' for i in _DIMENSIONS)}) / 4.0, 6) AS deviation FROM row_profiles p JOIN row_baselines b ON p.grid_id = b.grid_id JOIN row_spreads s ON p.grid_id = s.grid_id WHERE r = 1"),
 ]
 
-_PAIR_COLUMNS = ("page", "layout", "depth", "grid_id", "text", "shape", "repetition", "rel_x0", "rel_width", "lhr", "n_cells", "prominence")
+_PAIR_COLUMNS = ("page", "layout", "depth", "grid_id", "text", "shape", "repetition", "rel_x0", "rel_width", "lhr", "n_cells", "prominence", "header")
 _SAME_GRID = "(grid_id IS NOT NULL AND a_grid_id = grid_id)"
 _TEMPLATE = f"""greatest(CASE WHEN a_shape = shape AND a_repetition >= 3 AND repetition >= 3 THEN {t.clip01(f"0.55 + 0.45 * {t.clip01('(least(a_repetition, repetition) - 3) / 8.0')}")} ELSE 0.0 END,
-  CASE WHEN {_SAME_GRID} THEN 0.45 + 0.55 * (CASE WHEN repeated_grid THEN 1.0 ELSE 0.0 END) ELSE 0.0 END)"""
+  CASE WHEN {_SAME_GRID} THEN 0.45 + 0.55 * (CASE WHEN repeated_grid THEN 1.0 ELSE 0.0 END) ELSE 0.0 END,
+  CASE WHEN a_header <> header THEN 0.8 ELSE 0.0 END)"""
 
 PAIRS: list[Step] = [
     ("grid_kinds", """
 SELECT grid_id, count(*) AS n_rows, max(same) / CAST(count(*) AS DOUBLE) AS consistency, count(DISTINCT shape) AS shapes,
   count(*) >= 2 AND max(same) / CAST(count(*) AS DOUBLE) >= 0.6 AND count(DISTINCT shape) <= greatest(2, @int(count(*) / 2)) AS repeated_grid
 FROM (SELECT grid_id, shape, count(*) OVER (PARTITION BY grid_id, n_cells) AS same FROM features WHERE grid_id IS NOT NULL) g GROUP BY grid_id"""),
+    ("headed", "SELECT f.*, coalesce(k.repeated_grid, false) AS repeated_grid, coalesce(h.deviation >= 3.0, false) AS header FROM features f LEFT JOIN grid_kinds k ON f.grid_id = k.grid_id LEFT JOIN grid_headers h ON f.grid_id = h.grid_id AND f.ord = h.ord WHERE NOT furniture"),
     ("adjacent", f"""
-SELECT * FROM (SELECT f.document_id, f.ord, f.gap_ratio, coalesce(k.repeated_grid, false) AS repeated_grid, f.chars, {', '.join(f'f.{c}' for c in _PAIR_COLUMNS)},
+SELECT * FROM (SELECT f.document_id, f.ord, f.gap_ratio, repeated_grid, f.chars, {', '.join(f'f.{c}' for c in _PAIR_COLUMNS)},
   {', '.join(f'lag(f.{c}) OVER w AS a_{c}' for c in _PAIR_COLUMNS)}, lag(f.ord) OVER w AS a_ord
-FROM features f LEFT JOIN grid_kinds k ON f.grid_id = k.grid_id WINDOW w AS (PARTITION BY f.document_id ORDER BY f.ord)) p WHERE a_ord IS NOT NULL"""),
+FROM headed f WINDOW w AS (PARTITION BY f.document_id ORDER BY f.ord)) p WHERE a_ord IS NOT NULL"""),
     ("related", f"""
 SELECT p.*, CASE WHEN a_page = page THEN {t.clip01('1.0 / (1.0 + greatest(0.0, gap_ratio - 1.0))')} ELSE 0.0 END AS spatial, {t.clip01('1.0 - abs(a_rel_x0 - rel_x0) * 4.0')} AS alignment,
   {t.clip01(f"0.6 * ({t.ratio('a_lhr', 'lhr')}) + 0.2 * CASE WHEN a_layout = layout THEN 1 ELSE 0 END + 0.2 * CASE WHEN a_depth = depth THEN 1 ELSE 0 END")} AS typography,
@@ -119,17 +150,14 @@ def _discounted(k: str, discount: str = "discount") -> str:
     return f"{k} * (1.0 - {discount})" if k in FORM else k
 
 
-def _scaled(signals: dict[str, float], kind: str) -> str:
-    """Each signal's weight by the square root of its spread, on the whole weights' budget."""
-    widest = f"greatest({', '.join(f's_{k}' for k in signals)})"
-    total = " + ".join(f"{w} * sqrt(s_{k} / {widest})" for k, w in signals.items())
-    flat = f"n_pairs < 3 OR {widest} < 1e-6"
-    return ", ".join(f"CASE WHEN {flat} THEN {w} ELSE {w} * sqrt(s_{k} / {widest}) * {round(sum(signals.values()), 4)} / ({total}) END AS w_{k}" for k, w in signals.items())
-
-
+_SIDES = (("r", RELATIONSHIP), ("b", BOUNDARY))
+#: Each signal's weight by the square root of its spread, on the whole weights' budget. Peaks and totals are columns of steps of their own: inside each weight they would be one expression too large to compile.
 WEIGHTS: list[Step] = [
     ("spreads", "SELECT document_id, count(*) AS n_pairs, " + ", ".join(f"stddev_pop({_discounted(k)}) AS s_{k}" for k in [*RELATIONSHIP, *BOUNDARY]) + " FROM pairs GROUP BY document_id"),
-    ("pair_weights", f"SELECT document_id, n_pairs, {_scaled(RELATIONSHIP, 'r')}, {_scaled(BOUNDARY, 'b')} FROM spreads"),
+    ("peaks", "SELECT *, " + ", ".join(f"greatest({', '.join(f's_{k}' for k in side)}) AS peak_{x}" for x, side in _SIDES) + " FROM spreads"),
+    ("shares", "SELECT document_id, n_pairs, peak_r, peak_b, " + ", ".join(f"{w} * sqrt(s_{k} / greatest(peak_{x}, 1e-12)) AS v_{k}" for x, side in _SIDES for k, w in side.items()) + " FROM peaks"),
+    ("budgets", "SELECT *, " + ", ".join(f"{sum(side.values()):.4f} / nullif({' + '.join(f'v_{k}' for k in side)}, 0) AS scale_{x}" for x, side in _SIDES) + " FROM shares"),
+    ("pair_weights", "SELECT document_id, n_pairs, " + ", ".join(f"CASE WHEN n_pairs < 3 OR peak_{x} < 1e-6 THEN {w} ELSE v_{k} * scale_{x} END AS w_{k}" for x, side in _SIDES for k, w in side.items()) + " FROM budgets"),
 ]
 
 CUT: list[Step] = [
@@ -164,7 +192,7 @@ DECIDE: list[Step] = [
     ("decisions", f"SELECT *, force <> '' OR net < cut - 1e-9 AS split, CASE WHEN force <> '' THEN greatest(0.85, {t.clip01('0.5 + 2.0 * abs(net - cut)')}) ELSE {t.clip01('0.5 + 2.0 * abs(net - cut)')} END AS confidence FROM forced"),
     ("segmented", """
 SELECT f.*, coalesce(d.split, true) AS split, coalesce(d.discount, 0.0) AS discount, sum(CASE WHEN coalesce(d.split, true) THEN 1 ELSE 0 END) OVER (PARTITION BY f.document_id ORDER BY f.ord ROWS UNBOUNDED PRECEDING) AS segment, """
-     + ", ".join(f"d.{k}" for k in RELATIONSHIP) + " FROM features f LEFT JOIN decisions d ON f.document_id = d.document_id AND f.ord = d.ord"),
+     + ", ".join(f"d.{k}" for k in RELATIONSHIP) + " FROM features f LEFT JOIN decisions d ON f.document_id = d.document_id AND f.ord = d.ord WHERE NOT f.furniture"),
 ]
 
 _BASE = " + ".join(f"{'(1.0 - mean_discount) * ' if k in FORM else ''}{w} * m_{k}" for k, w in RELATIONSHIP.items())
@@ -188,9 +216,51 @@ SELECT g.document_id, g.segment, n_blocks, page, page_end, g.text, x0, y0, x1, y
 FROM grouped g JOIN roles r ON g.document_id = r.document_id AND g.segment = r.segment JOIN totals t ON g.document_id = t.document_id"""),
 ]
 
+#: The order of the dimensions of a fingerprint's vector. Of these the structured path has the ones in STRUCTURED_DIMENSIONS; others are 0.
+FINGERPRINT = (
+    "role_prominent", "role_body", "role_meta", "block_count", "alignment_signature", "spacing_signature", "typography_signature", "content_density", "column_diversity", "head_size_ratio",
+    "mean_semantic", "boundary_mean", "char_count_log", "local_position", "cell_count", "mean_rel_x0", "mean_rel_width", "mean_lhr", "mean_digit_ratio", "mean_upper_ratio", "marker_depth", "in_grid", "repetition",
+)
+STRUCTURED_DIMENSIONS = (
+    "role_prominent", "role_body", "block_count", "content_density", "local_position", "cell_count", "mean_rel_x0", "mean_rel_width", "mean_lhr", "mean_digit_ratio", "mean_upper_ratio", "marker_depth", "in_grid", "repetition",
+)
+
+
+def fingerprint_vector(has: tuple[str, ...]) -> str:
+    """A fingerprint's dimensions as a list, counts as ln(1 + n); the length isn't taken out yet."""
+    cells = (f"ln(1.0 + {k})" if k in ("block_count", "repetition") else f"CAST({k} AS DOUBLE)" if k in has else "CAST(0 AS DOUBLE)" for k in FINGERPRINT)
+    return f"@list({', '.join(cells)})"
+
+
+def unit_vector(x: str) -> str:
+    """A list of numbers as a unit vector; zeros stay."""
+    return f"@map({x}, q, q / greatest(sqrt(@dot({x}, {x})), 1e-300))"
+
+
+FINGERPRINTS: list[Step] = [
+    ("unit_fingerprints", """
+SELECT document_id, segment, count(*) AS block_count, count_if(prominence >= 0.45) AS role_prominent, count_if(prominence < 0.45) AS role_body, max(n_cells) AS cell_count, @round(avg(rel_x0)) AS mean_rel_x0, @round(avg(rel_width)) AS mean_rel_width, @round(avg(lhr)) AS mean_lhr,
+  @round(avg(digit_ratio)) AS mean_digit_ratio, @round(avg(upper_ratio)) AS mean_upper_ratio, @round(avg(chars) / 500.0) AS content_density, max(depth) AS marker_depth, max(CASE WHEN grid_id IS NOT NULL THEN 1 ELSE 0 END) AS in_grid, @round(avg(repetition), 3) AS repetition, @round(avg(page_fraction)) AS local_position
+FROM segmented GROUP BY document_id, segment"""),
+    ("raw_vectors", f"SELECT document_id, segment, {fingerprint_vector(STRUCTURED_DIMENSIONS)} AS raw FROM unit_fingerprints"),
+    ("fingerprint_vectors", f"SELECT document_id, segment, {unit_vector('raw')} AS structure FROM raw_vectors"),
+]
+
+#: Cells of grid rows as fields: position, text, shape; a cell of several bullets gives a field for each.
+FIELDS: list[Step] = [
+    ("cell_values", "SELECT document_id, segment, grid_id, ord, i AS field_position, v FROM @explode((SELECT * FROM segmented WHERE grid_id IS NOT NULL), cells, i, v)"),
+    ("cell_parts", f"SELECT *, {t.bullet_parts('v')} AS parts FROM cell_values"),
+    ("field_values", "SELECT document_id, segment, ord, field_position, i AS part, v2 AS field_text, @size(parts) AS n_parts FROM @explode((SELECT document_id, segment, ord, field_position, parts FROM cell_parts), parts, i, v2)"),
+    ("fields", f"""
+SELECT document_id, segment, ord, field_position, CASE WHEN n_parts > 1 THEN part END AS field_part, field_text, concat('pos', CAST(field_position AS STRING), '|len', CAST(least(6, @int(ln(1 + length(field_text)) / 1.2)) AS STRING),
+  '|d', CAST(@int({t.share('field_text', t.DIGITS)} * 4) AS STRING), '|u', CAST(@int({t.share('field_text', t.UPPER)} * 4) AS STRING)) AS column_signature
+FROM field_values"""),
+]
+
 TO_UNITS = LINES
 TO_FEATURES = LINES + STATS + FEATURES
-TO_PAIRS = TO_FEATURES + EMBED + PAIRS
+TO_PAIRS = TO_FEATURES + HEADERS + TERMS + PAIRS
 TO_CUTS = TO_PAIRS + WEIGHTS + CUT
 TO_DECISIONS = TO_CUTS + DECIDE
 TO_CONTENT = TO_DECISIONS + CONTENT
+TO_FINGERPRINTS = TO_DECISIONS + FINGERPRINTS

@@ -8,7 +8,8 @@ from stratapage.functions.dialect import Step
 from stratapage.plans import block_queries as b
 from stratapage.plans.materialize import materialize
 from stratapage.plans.registry import plan
-from stratapage.operators import sections, structured
+from stratapage.operators import sections
+from stratapage.operators.embedding import TERMS, nearest
 
 #: Named results of a run over documents, and of a run over pages.
 DOCUMENT_TABLES = ("units", "doc_stats", "features", "decisions", "content_units", "consolidation_decisions", "merged_blocks")
@@ -34,14 +35,14 @@ def _run(steps: list[Step], names: tuple[str, ...], **frames: DataFrame) -> dict
     return out
 
 
-def search(units: DataFrame, query: str, k: int = 10, least: float = 0.0, document_id: str | None = None) -> DataFrame:
-    """(document_id, ord, score) of the k units nearest to a query, by hashed embeddings with the units' own idf."""
-    spark = units.sparkSession
-    asked = spark.createDataFrame([(query,)], "text string").withColumns({"document_id": F.lit("?query"), "ord": F.lit(0).cast("long")})
-    steps = [*structured.EMBED[:4], *b.SEARCH]
-    found = plan(steps, "SELECT * FROM found", units=units.select("document_id", "ord", "text"), asked=asked)
+def search(units: DataFrame, query: str, k: int = 10, least: float = 0.0, document_id: str | None = None, pattern: int | None = None) -> DataFrame:
+    """(document_id, ord, score) of the k units nearest to a query, by hashed embeddings with the units' own idf; ties in order. ``pattern`` needs a column of that name."""
+    idf = materialize(plan(TERMS, "SELECT * FROM idf", units=units))
     if document_id is not None:
-        found = found.where(F.col("document_id") == document_id)
+        units = units.where(F.col("document_id") == document_id)
+    if pattern is not None:
+        units = units.where(F.col("pattern") == pattern)
+    found = nearest(units, query, idf).select("document_id", "ord", "score")
     return found.where(F.col("score") >= least).orderBy(F.desc("score"), "document_id", "ord").limit(k)
 
 

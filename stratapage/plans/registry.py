@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections import Counter
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from stratapage.functions.dialect import CHECK, SPARK, statement
-from stratapage.operators import clustering, native, structured
+from stratapage.operators import clustering, native, sections, structured
+from stratapage.operators.embedding import KERNELS, TERMS, nearest, sparse_vectors
+from stratapage.operators.vectors import top_k
 from stratapage.plans import block_queries, native_queries, structured_queries
 from stratapage.plans.materialize import materialize
 from stratapage.sources.units import rows_as_grid
@@ -18,31 +21,53 @@ from stratapage.streaming import events
 _TABLES = ("documents", "pages", "conversations", "embeddings", "benchmark", "labels", "events", "part", "supplier", "nation", "orders", "lineitem", "customer", "region")
 
 
-def _needed(steps: list, last: str, given: frozenset | set = frozenset()) -> list:
+def _words(text: str) -> set[str]:
+    return set(re.findall(r"\w+", text))
+
+
+def _reads(name: str, text: str, kernels: bool) -> set[str]:
+    """The names that a step reads, and other words."""
+    return set(KERNELS[name][0]) if kernels and (name, text) in TERMS and name in KERNELS else _words(text)
+
+
+def _needed(steps: list, last: str, given: frozenset | set = frozenset(), kernels: bool = False) -> list:
     """The steps that the last one reads, directly or not, in order; none for what is given."""
-    wanted, out = set(re.findall(r"\w+", last)), []
+    wanted, out = _words(last), []
     for name, text in reversed(steps):
         if name in wanted and name not in given:
-            wanted |= set(re.findall(r"\w+", text))
+            wanted |= _reads(name, text, kernels)
             out.append((name, text))
     return out[::-1]
 
 
-#: Steps that several others read, or that end a costly part: written once, so that Spark doesn't plan and run them again.
-CUTS = {"features", "neighbours", "pairs", "scored", "segmented", "content_units", "block_pairs", "cues", "placed", "vetoed", "heads", "sections", "html_units", "classed", "native_measured", "native_decisions"}
+#: Steps that end a costly part: written once where several others read them, so that Spark doesn't plan and run them again.
+CUTS = {
+    "units", "lines", "features", "idf", "vectors", "neighbours", "pairs", "scored", "segmented", "content_units", "block_pairs", "cues", "placed", "vetoed", "heads", "sections", "html_units", "classed", "native_measured", "native_decisions",
+    "headings_now", "native_units", "fingerprint_vectors", "merged_blocks", "consolidation_decisions",
+}
 
 
 def plan(steps: list, last: str, **frames: DataFrame) -> DataFrame:
     """The last statement over the steps that it needs; frames stand for tables, or for steps already done."""
     spark = next(iter(frames.values())).sparkSession
-    done: list = []
-    for name, df in frames.items():
-        done.append((name, f"SELECT * FROM {_view(df)}"))
-    for name, text in _needed([(n, t) for n, t in steps if n not in frames], last, set(frames)):
-        if name in CUTS:
-            text = f"SELECT * FROM {_view(materialize(spark.sql(statement([*_needed(done, text), ('result', text)], SPARK))))}"
+    done: list = [(name, f"SELECT * FROM {_view(df)}") for name, df in frames.items()]
+    todo = _needed([(n, t) for n, t in steps if n not in frames], last, set(frames), kernels=True)
+    uses = Counter(x for x in _words(last))
+    for name, text in todo:
+        uses.update(_reads(name, text, True))
+
+    def frame(text: str) -> DataFrame:
+        return spark.sql(statement([*_needed(done, text), ("result", text)], SPARK))
+
+    for name, text in todo:
+        kernel = KERNELS.get(name) if (name, text) in TERMS else None
+        if kernel or (name in CUTS and uses[name] > 1):
+            df = kernel[1](*(frame(f"SELECT * FROM {x}") for x in kernel[0])) if kernel else frame(text)
+            if name in CUTS and (uses[name] > 1 or name == "idf"):
+                df = materialize(df)
+            text = f"SELECT * FROM {_view(df)}"
         done.append((name, text))
-    return spark.sql(statement([*_needed(done, last), ("result", last)], SPARK))
+    return frame(last)
 
 
 def _view(df: DataFrame) -> str:
@@ -63,24 +88,117 @@ def _all() -> dict[str, tuple[list, str]]:
     return {**structured_queries.QUERIES, **block_queries.QUERIES, **native_queries.QUERIES}
 
 
+def _content(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All content units with what patterns and groups are found by, and the idf of the lines."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    units = materialize(plan(block_queries.TO_GROUPED, "SELECT * FROM grouped_units", documents=documents))
+    return units, materialize(plan([*structured.LINES, *TERMS], "SELECT * FROM idf", documents=documents))
+
+
+def _patterned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Content units with their pattern, and the idf."""
+    units, idf = _content(spark, sf_dir)
+    found = clustering.by_size(materialize(clustering.leader_patterns(units, idf)), "pattern")
+    return materialize(units.join(found, ["collection", "ord"])), idf
+
+
 def _patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Patterns of the opening units of each source's documents."""
-    units = plan(structured.TO_CONTENT, "SELECT document_id, text, n_blocks, prominence, chars, depth FROM content_units WHERE segment = 1", documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
-    joined = units.join(documents, units["document_id"] == documents["doc_id"].cast("string"))
-    shape = F.array(F.log1p("n_blocks"), F.col("prominence").cast("double"), (F.col("chars") / 400).cast("double"), F.col("depth").cast("double"))
-    return clustering.leader_patterns(joined.select(F.col("source").alias("collection"), F.col("doc_id").alias("ord"), clustering.embed("text").alias("vector"), shape.alias("structure")))
+    """The pattern of every content unit; a source's documents are one collection."""
+    return _patterned(spark, sf_dir)[0].select("collection", "ord", "pattern", "size")
+
+
+def _pattern_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units, _ = _patterned(spark, sf_dir)
+    return clustering.pattern_evidence(units.withColumn("prominence", F.lit(0.0)))
+
+
+def _near_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a collection's patterns whose mean vectors have a cosine of 0.92 or more."""
+    units, idf = _patterned(spark, sf_dir)
+    keyed = units.select(F.concat_ws(":", "collection", "pattern").alias("document_id"), "ord", "text")
+    means = materialize(sparse_vectors(keyed, idf).groupBy("document_id", "bucket").agg(F.sum("w").alias("w")))
+    sized = means.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("document_id")))).withColumn("collection", F.substring_index("document_id", ":", 1))
+    a, b = (sized.select("collection", "bucket", F.col("document_id").alias(c), F.col("w").alias(f"w_{c}")) for c in "ab")
+    return a.join(b, ["collection", "bucket"]).where("a < b").groupBy("a", "b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("cosine")).where("cosine >= 0.92")
+
+
+def _block_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commonest pattern of each consolidated block's sources, of equals the one seen first."""
+    units, _ = _patterned(spark, sf_dir)
+    blocks = plan(block_queries.TO_MERGED, "SELECT document_id, block_no, sources FROM merged_blocks", documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    sources = blocks.select("document_id", "block_no", F.posexplode(F.split("sources", ",")).alias("i", "segment")).withColumn("segment", F.col("segment").cast("long"))
+    counts = sources.join(units, ["document_id", "segment"]).groupBy("document_id", "block_no", "pattern").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("i"))
+    return counts.groupBy("document_id", "block_no").agg(F.max_by("pattern", F.struct("n", -F.col("i"))).alias("pattern"))
+
+
+def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units, idf = _patterned(spark, sf_dir)
+    leaders = materialize(clustering.leader_groups(units, idf))
+    found = clustering.by_size(leaders, "group_no").join(leaders.select("collection", "ord", "likeness"), ["collection", "ord"])
+    return materialize(units.select("collection", "ord", "document_id", "pattern").join(found, ["collection", "ord"]))
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of the opening lines of each source's documents."""
+    """The group of every content unit, across the documents of a source."""
+    return _grouped(spark, sf_dir).select("collection", "ord", "group_no", "size", F.round("likeness", 4).alias("likeness"))
+
+
+def group_rows(members: DataFrame) -> DataFrame:
+    """(collection, group_no, size, documents, dominant_pattern, likeness) of members (collection, ord, document_id, pattern, group_no, likeness); null patterns don't count."""
+    counts = members.where("pattern IS NOT NULL").groupBy("collection", "group_no", "pattern").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("seen"))
+    dominant = counts.groupBy("collection", "group_no").agg(F.max_by("pattern", F.struct("n", -F.col("seen"))).alias("dominant_pattern"))
+    rows = members.groupBy("collection", "group_no").agg(F.count(F.lit(1)).alias("size"), F.countDistinct("document_id").alias("documents"), F.max("likeness").alias("likeness"))
+    return rows.join(dominant, ["collection", "group_no"], "left")
+
+
+def _group_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_rows(_grouped(spark, sf_dir))
+
+
+def related(members: DataFrame, other_documents_only: bool = True) -> DataFrame:
+    """(collection, ord, group_no, related): how many other members each unit's group has, of other documents or of all."""
+    sizes = members.groupBy("collection", "group_no").agg(F.count(F.lit(1)).alias("n"))
+    own = members.groupBy("collection", "group_no", "document_id").agg(F.count(F.lit(1)).alias("own"))
+    joined = members.join(sizes, ["collection", "group_no"]).join(own, ["collection", "group_no", "document_id"])
+    return joined.select("collection", "ord", "group_no", (F.col("n") - (F.col("own") if other_documents_only else F.lit(1))).alias("related"))
+
+
+def _related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return related(_grouped(spark, sf_dir))
+
+
+def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units, idf = _content(spark, sf_dir)
+    pairs = clustering.fused_pairs(units.withColumn("pattern", F.lit(None).cast("long")), idf)
+    both = pairs.select("collection", F.explode(F.array("a", "b")).alias("unit"), "fused")
+    return both.groupBy("collection", "unit").agg(F.count(F.lit(1)).alias("partners"), (F.floor(F.avg("fused") * 1e3 + 0.5000001) / 1e3).alias("mean_fused"))
+
+
+def _top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("row_id"), F.col("embedding").alias("vector"))
+    return top_k(rows.where("row_id % 20 = 0").withColumnRenamed("row_id", "query_id"), rows, 10)
+
+
+def _search(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    first = documents.select(F.col("source").alias("collection"), F.col("doc_id").alias("ord"), clustering.embed(F.regexp_extract(F.coalesce("text", F.lit("")), "^[^\n]*", 0)).alias("vector"), F.lit(0.0).alias("doc_position"))
-    return clustering.leader_groups(first)
+    units = materialize(plan(structured.LINES, "SELECT document_id, ord, text FROM units", documents=documents))
+    found = nearest(units, block_queries.QUESTION, plan(TERMS, "SELECT * FROM idf", units=units))
+    found = found.select("document_id", "ord", (F.floor(F.col("score") * 1e6 + 0.5000001) / 1e6).alias("score"))
+    return found.where("score >= 0").orderBy(F.desc("score"), "document_id", "ord").limit(10)
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections with a label from a lexicon, and how like their heading is to it."""
+    sections_ = plan(sections.TO_SECTIONS, "SELECT document_id, section, heading FROM sections", pages=spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return clustering.labelled(sections_, "heading", LEXICON, sections.LABEL_LEAST)
 
 
 def _capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.capped_units(plan(native.TO_PAIRS, "SELECT document_id, ord, split, CAST(semantic AS DOUBLE) AS semantic FROM native_decisions", pages=spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return clustering.capped_units(plan(native.TO_PAIRS, "SELECT document_id, ord, split, CAST(semantic AS DOUBLE) AS semantic, CAST(containment AS DOUBLE) AS containment FROM native_decisions", pages=spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
+#: An example of a lexicon: labels and their words.
+LEXICON = {"menu": "home menu contact navigation", "news": "news report article today"}
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,9 +214,13 @@ def _table_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Queries that are not one statement; the second has the SQL that checks it, where there is one.
 OTHERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "pattern_leader": _patterns, "group_leader": _groups, "native_units": _capped, "event_windows": _windows, "table_grid": _table_grid,
+    "pattern_leader": _patterns, "pattern_evidence": _pattern_evidence, "near_patterns": _near_patterns, "block_patterns": _block_patterns, "group_leader": _groups, "group_rows": _group_rows, "related_blocks": _related, "fused_similarity": _fused,
+    "cosine_topk": _top_k, "search": _search, "section_labels": _labels, "native_units": _capped, "event_windows": _windows, "table_grid": _table_grid,
 }
 OTHERS_SQL = {
+    "cosine_topk": block_queries.TOP_K_SQL,
+    "search": statement([*_needed(block_queries.SEARCHED, block_queries.SEARCH_LAST), ("result", block_queries.SEARCH_LAST)], CHECK),
+    "fused_similarity": statement([*_needed([*block_queries.TO_GROUPED, *block_queries.FUSED], block_queries.FUSED_LAST), ("result", block_queries.FUSED_LAST)], CHECK),
     "event_windows": "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
     "table_grid": "SELECT 'part' AS grid_id, col, count(*) AS n_rows, round(avg(length(v)), 3) AS mean_chars, count_if(trim(v) <> '') AS filled FROM (SELECT unnest([0, 1, 2, 3]) AS col, "
     "unnest([CAST(p_partkey AS VARCHAR), p_name, p_brand, CAST(p_size AS VARCHAR)]) AS v FROM part) GROUP BY col",

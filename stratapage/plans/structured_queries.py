@@ -5,6 +5,7 @@ from __future__ import annotations
 from stratapage.functions import text as t
 from stratapage.functions.dialect import Step
 from stratapage.operators import structured as s
+from stratapage.operators.embedding import TERMS
 
 _R = s.RELATIONSHIP
 
@@ -23,9 +24,9 @@ QUERIES: dict[str, tuple[list[Step], str]] = {
     "shape_repetition": (s.TO_FEATURES, "SELECT document_id, shape, count(*) AS n, min(repetition) AS repetition, max(repetition) >= 3 AS repeated FROM features GROUP BY document_id, shape"),
     "running_furniture": (
         s.TO_UNITS + [
-            ("keyed", "SELECT d.source, u.document_id, lower(trim(u.text)) AS line, @int(y0 / ph * 12) AS band, length(u.text) AS chars, u.ord FROM units u JOIN documents d ON u.document_id = CAST(d.doc_id AS STRING)"),
+            ("keyed", "SELECT d.source, u.document_id, lower(trim(u.text)) AS line, @int(y0 / ph * 12) AS band, length(u.text) AS chars, -(d.doc_id * 100000 + u.ord) AS d_ord FROM units u JOIN documents d ON u.document_id = CAST(d.doc_id AS STRING)"),
             ("sizes", "SELECT source, count(DISTINCT document_id) AS pages FROM keyed GROUP BY source"),
-            ("repeats", "SELECT source, line, band, count(DISTINCT document_id) AS on_pages, max(chars) AS chars, count(*) AS n FROM keyed GROUP BY source, line, band"),
+            ("repeats", "SELECT source, line, band, count(DISTINCT document_id) AS on_pages, @argmax(chars, d_ord) AS chars, count(*) AS n FROM keyed GROUP BY source, line, band"),
         ],
         "SELECT r.source, line, band, on_pages, n FROM repeats r JOIN sizes z ON r.source = z.source WHERE pages >= 3 AND on_pages >= greatest(3, @int(pages * 0.06)) AND chars <= 80",
     ),
@@ -37,8 +38,8 @@ QUERIES: dict[str, tuple[list[Step], str]] = {
         f"SELECT grid_id, col, @round(mean_chars, 2) AS mean_chars, @round(1.0 - {t.clip01('std_chars / greatest(1.0, mean_chars)')}, 3) AS stability, @round(digits, 3) AS digit_ratio, @round(uppers, 3) AS upper_ratio, @round(fill, 3) AS fill_ratio FROM columns",
     ),
     "grid_kind": (s.TO_FEATURES + s.PAIRS[:1], "SELECT grid_id, n_rows, @round(consistency) AS consistency, shapes, CASE WHEN repeated_grid THEN 'repeated_grid' WHEN n_rows >= 2 THEN 'grid' ELSE 'single_row_structure' END AS kind FROM grid_kinds"),
-    "idf": (s.LINES + s.EMBED[:4], "SELECT bucket, df, @round(idf, 6) AS idf FROM idf"),
-    "hash_embedding": (s.LINES + s.EMBED[:6], "SELECT document_id, ord, count(*) AS n_buckets, @round(sum(w), 4) AS total, @round(max(abs(w)), 4) AS largest FROM vectors GROUP BY document_id, ord"),
+    "idf": (s.LINES + TERMS, "SELECT bucket, df, @round(idf, 6) AS idf FROM idf"),
+    "hash_embedding": (s.LINES + TERMS, "SELECT document_id, ord, count(*) AS n_buckets, @round(sum(w), 4) AS total, @round(max(abs(w)), 4) AS largest FROM vectors GROUP BY document_id, ord"),
     "pair_signals": (s.TO_PAIRS, "SELECT document_id, ord, " + ", ".join(f"@round({k}) AS {k}" for k in [*s.RELATIONSHIP, *s.BOUNDARY, "discount"]) + " FROM pairs"),
     "informative_weights": (s.TO_PAIRS + s.WEIGHTS, "SELECT document_id, n_pairs, " + ", ".join(f"@round(w_{k}) AS w_{k}" for k in [*s.RELATIONSHIP, *s.BOUNDARY]) + " FROM pair_weights"),
     "adaptive_cut": (s.TO_CUTS, "SELECT document_id, n_pairs, @round(cut, 6) AS cut FROM cuts"),
@@ -48,6 +49,22 @@ QUERIES: dict[str, tuple[list[Step], str]] = {
     "record_boundaries": (s.TO_DECISIONS, "SELECT grid_id, ord, CASE WHEN split THEN 'START_NEW_RECORD' ELSE 'CONTINUE_RECORD' END AS decision FROM decisions WHERE grid_id IS NOT NULL AND a_grid_id = grid_id"),
     "segments": (s.TO_DECISIONS, "SELECT d.lang, count(DISTINCT concat(s.document_id, ':', CAST(segment AS STRING))) AS segments, count(*) AS n_units FROM segmented s JOIN documents d ON s.document_id = CAST(d.doc_id AS STRING) GROUP BY d.lang"),
     "content_units": (s.TO_CONTENT, "SELECT document_id, segment, n_blocks, page, page_end, block_type, length(text) AS chars, signature, @round(confidence, 3) AS confidence, @round(doc_position) AS doc_position FROM content_units"),
+    "label_rows": (s.LINES, "SELECT document_id, spot, merges, merged_away, @join(cells, ' / ') AS cells FROM whole_rows"),
+    "candidates": (
+        [("raw_units", "SELECT CAST(doc_id AS STRING) AS document_id, i AS ord, part AS text, CAST(NULL AS STRING) AS grid_id, CAST(50 AS DOUBLE) AS x0, CAST(40 AS DOUBLE) AS y0, CAST(550 AS DOUBLE) AS x1, CAST(700 AS DOUBLE) AS y1 FROM @explode((SELECT doc_id, @list(text, @replace(text, '(^|\\n)', '\n1. ')) AS parts FROM documents WHERE text IS NOT NULL), parts, i, part)"), *s.CANDIDATES],
+        "SELECT document_id, ord, raw_ord, part, splits, length(text) AS chars, @round(y0, 3) AS y0, @round(y1, 3) AS y1 FROM candidates",
+    ),
+    "grid_headers": (s.TO_FEATURES + s.HEADERS, "SELECT grid_id, ord, @round(deviation, 3) AS deviation, deviation >= 3.0 AS header_like FROM grid_headers"),
+    "grid_geometry": (
+        s.TO_FEATURES,
+        f"""SELECT grid_id, count(*) AS n_rows, @round(1.0 - {t.clip01('stddev_pop(x0) / greatest(1.0, abs(avg(x0)))')}, 3) AS left_edge_stability, @round(1.0 - {t.clip01('stddev_pop(x1 - x0) / greatest(1.0, avg(x1 - x0))')}, 3) AS width_stability,
+  @round(1.0 - {t.clip01('stddev_pop(y1 - y0) / greatest(1.0, avg(y1 - y0))')}, 3) AS row_height_stability, @round(avg(y1 - y0), 2) AS mean_row_height, @round(avg(repetition), 2) AS shape_repetition FROM features WHERE grid_id IS NOT NULL GROUP BY grid_id""",
+    ),
+    "page_furniture": (s.TO_FEATURES, "SELECT document_id, count_if(furniture) AS rejected, count(*) AS n_units FROM features GROUP BY document_id"),
+    "unit_fingerprints": (s.TO_FINGERPRINTS, "SELECT document_id, segment, " + ", ".join(f"@round({k}) AS {k}" for k in s.STRUCTURED_DIMENSIONS) + " FROM unit_fingerprints"),
+    "fingerprint_vectors": (s.TO_FINGERPRINTS, "SELECT document_id, segment, @join(@map(structure, q, CAST(@int(q * 1000000 + 0.5) AS STRING)), ' ') AS millionths FROM fingerprint_vectors"),
+    "record_fields": (s.TO_DECISIONS + s.FIELDS, "SELECT document_id, segment, ord, field_position, field_part, field_text, column_signature FROM fields"),
+    "refinements": (s.TO_CONTENT, "SELECT document_id, segment, CASE WHEN n_blocks = 1 THEN 'PRESERVE' ELSE 'MERGE' END AS decision, n_blocks FROM content_units"),
     "low_confidence_events": (s.TO_DECISIONS, "SELECT document_id, ord, 'boundary_evaluated' AS event, 'low_confidence_decision' AS companion, @round(confidence, 3) AS confidence FROM decisions WHERE @round(confidence, 3) < 0.5 OR @round(confidence, 3) BETWEEN 0.5 AND 0.52"),
     "run_stats": (s.TO_DECISIONS, "SELECT count(*) AS n_units, count_if(split) AS n_segments, count(DISTINCT document_id) AS n_documents, count_if(NOT split) AS continued FROM segmented"),
 }
