@@ -45,6 +45,7 @@ SPARK: dict[str, Macro] = {
     "filtered": lambda f, c: f"{f} FILTER (WHERE {c})",
     "starts": lambda x, p: f"startswith({x}, {p})",
     "has": lambda a, x: f"array_contains({a}, {x})",
+    "dealt_by": lambda k: f"/*+ REPARTITION({k}) */",
     "kept": lambda x, p: f"regexp_replace({x}, {_quoted(p)}, '$2')",
     "split_at": lambda x, p: f"split({x}, {_quoted(p)})",
     "upto": lambda n, v, e: f"transform(sequence(1, CAST({n} AS INT)), {v} -> {e})",
@@ -88,6 +89,7 @@ CHECK: dict[str, Macro] = {
     "filtered": lambda f, c: f"{f} FILTER (WHERE {c})",
     "starts": lambda x, p: f"starts_with({x}, {p})",
     "has": lambda a, x: f"list_contains({a}, {x})",
+    "dealt_by": lambda k: "",
     "kept": lambda x, p: f"regexp_replace({x}, {p}, '\\2', 'g')",
     "split_at": lambda x, p: f"string_split_regex({x}, {p})",
     "upto": lambda n, v, e: f"list_transform(range(1, CAST({n} AS BIGINT) + 1), lambda {v}: {e})",

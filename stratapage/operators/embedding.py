@@ -8,7 +8,6 @@ neighbours are compared where they stand, from the texts of both.
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -43,29 +42,77 @@ def blake2b_hash(term: str) -> tuple[int, int]:
 HASHES: dict[str, Hash] = {"md5": md5_hash, "blake2b": blake2b_hash}
 
 
+_LETTERS = "0123456789abcdefghijklmnopqrstuvwxyz"
+_DIGIT = np.zeros(256, np.int64)
+_DIGIT[list(_LETTERS.encode())] = np.arange(36)
+
+
 class Hasher:
-    """Sparse vectors of texts, before idf: a bucket's signs times 1 + ln tf, summed over its terms."""
+    """Vectors of texts, before idf: a bucket's signs times 1 + ln tf, summed over its terms.
+
+    Letter grams are numbers to the base of 36, looked up in a table of what is
+    hashed already; words and word pairs in a dictionary.
+    """
 
     def __init__(self, kind: str = "md5") -> None:
         self.hash = HASHES[kind]
-        self.known: dict[str, tuple[int, int]] = {}
-
-    def __call__(self, text: str | None) -> dict[int, float]:
-        words = [w.lower() for w in _WORDS.findall(text or "")]
-        joined = "".join(words)
-        terms = Counter(f"w:{w}" for w in words)
-        terms.update(f"b:{a}_{b}" for a, b in zip(words, words[1:], strict=False))
-        for n in (3, 4):
-            terms.update(f"c{n}:{joined[i : i + n]}" for i in range(len(joined) - n + 1))
+        self.known: dict[str, int] = {}
+        self.grams = {n: np.full(36**n, -1, np.int16) for n in (3, 4)}
+
+    def _code(self, term: str) -> int:
+        """Bucket and sign of a term as one number."""
+        bucket, sign = self.hash(term)
+        return 2 * bucket + (sign > 0)
+
+    def _of_words(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and weighted codes of the terms of one or two words."""
         if len(self.known) > MEMORY:
             self.known.clear()
-        known, out = self.known, {}
-        for term, n in terms.items():
-            at = known.get(term)
-            if at is None:
-                at = known[term] = self.hash(term)
-            out[at[0]] = out.get(at[0], 0.0) + at[1] * (1.0 + math.log(n))
-        return out
+        rows, codes, tfs, known = [], [], [], self.known
+        for i, own in enumerate(words):
+            terms = Counter(f"w:{w}" for w in own)
+            terms.update(f"b:{a}_{b}" for a, b in zip(own, own[1:], strict=False))
+            for term, n in terms.items():
+                code = known.get(term)
+                if code is None:
+                    code = known[term] = self._code(term)
+                codes.append(code)
+                tfs.append(n)
+            rows.append(len(terms))
+        return np.repeat(np.arange(len(words)), rows), np.array([codes, tfs], np.int64).reshape(2, -1)
+
+    def _of_letters(self, digits: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and weighted codes of the runs of n letters."""
+        size = len(digits) - n + 1
+        if size <= 0:
+            return np.zeros(0, np.int64), np.zeros((2, 0), np.int64)
+        gram = np.zeros(size, np.int64)
+        for i in range(n):
+            gram = gram * 36 + digits[i : i + size]
+        inside = rows[:size] == rows[n - 1 :]
+        key, tf = np.unique(rows[:size][inside] * 36**n + gram[inside], return_counts=True)
+        row, gram = np.divmod(key, 36**n)
+        table = self.grams[n]
+        for g in np.unique(gram[table[gram] < 0]).tolist():
+            text, rest = "", g
+            for _ in range(n):
+                rest, digit = divmod(rest, 36)
+                text = _LETTERS[digit] + text
+            table[g] = self._code(f"c{n}:{text}")
+        return row, np.array([table[gram], tf], np.int64)
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """A row of sums for each text, and which buckets it has."""
+        words = [[w.lower() for w in _WORDS.findall(t or "")] for t in texts]
+        joined = ["".join(own) for own in words]
+        rows = np.repeat(np.arange(len(texts)), [len(j) for j in joined])
+        digits = _DIGIT[np.frombuffer("".join(joined).encode(), np.uint8)]
+        sums, seen = np.zeros(len(texts) * DIMENSION), np.zeros(len(texts) * DIMENSION, bool)
+        for row, (code, tf) in (self._of_words(words), self._of_letters(digits, rows, 3), self._of_letters(digits, rows, 4)):
+            at = row * DIMENSION + (code >> 1)
+            sums += np.bincount(at, (2 * (code & 1) - 1) * (1.0 + np.log(tf)), len(sums))
+            seen[at] = True
+        return sums.reshape(-1, DIMENSION), seen.reshape(-1, DIMENSION)
 
 
 _hashers: dict[str, Hasher] = {}
@@ -76,15 +123,16 @@ def hasher(kind: str) -> Hasher:
     return _hashers.setdefault(kind, Hasher(kind))
 
 
-def dense(found: dict[int, float], idf: np.ndarray | None) -> np.ndarray:
-    """A sparse vector as a unit vector, or zeros."""
-    out = np.zeros(DIMENSION)
-    if found:
-        out[list(found)] = list(found.values())
-    if idf is not None:
-        out *= idf
-    norm = math.sqrt(float(out @ out))
-    return out / norm if norm else out
+def unit_rows(sums: np.ndarray, idf: np.ndarray | None) -> np.ndarray:
+    """Rows of sums as unit vectors, weighted by idf; rows of nothing stay zeros."""
+    out = sums if idf is None else sums * idf
+    norm = np.sqrt((out * out).sum(1, keepdims=True))
+    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+
+
+def vectors(texts: list[str | None], idf: np.ndarray | None = None, kind: str = "md5") -> np.ndarray:
+    """Unit vectors of texts, a row each."""
+    return unit_rows(hasher(kind)(texts)[0], idf)
 
 
 def idf(units: DataFrame, kind: str = "md5") -> DataFrame:
@@ -93,9 +141,8 @@ def idf(units: DataFrame, kind: str = "md5") -> DataFrame:
         total, n = np.zeros(DIMENSION, np.int64), 0
         embed = hasher(kind)
         for batch in batches:
-            for text in batch["text"].to_pylist():
-                total[list(embed(text))] += 1
-                n += 1
+            total += embed(batch["text"].to_pylist())[1].sum(0)
+            n += batch.num_rows
         # one row for each bucket and task, and one, of bucket -1, for its texts
         yield pa.record_batch([pa.array(np.r_[-1, np.arange(DIMENSION)]), pa.array(np.r_[n, total])], ["bucket", "df"])
 
@@ -119,9 +166,8 @@ def embedder(weights: np.ndarray | None, kind: str = "md5"):
     """A column function: texts to unit vectors of DIMENSION floats."""
     @F.pandas_udf("array<float>")
     def embed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = hasher(kind)
         for part in texts:
-            yield pd.Series([dense(own(t), weights).astype(np.float32) for t in part])
+            yield pd.Series(list(vectors(part.tolist(), weights, kind).astype(np.float32)))
 
     return embed
 
@@ -133,18 +179,13 @@ def sparse_vectors(units: DataFrame, idf_rows: DataFrame, kind: str = "md5") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = hasher(kind)
         for batch in batches:
-            rows, buckets, values = [], [], []
-            for i, text in enumerate(batch["text"].to_pylist()):
-                found = own(text)
-                if found:
-                    at = np.fromiter(found, np.int64)
-                    v = np.fromiter(found.values(), float) * weights[at]
-                    rows.append(np.full(len(at), i))
-                    buckets.append(at)
-                    values.append(v / (math.sqrt(float(v @ v)) or np.nan))
-            if rows:
-                rows = pa.array(np.concatenate(rows))
-                yield pa.record_batch([batch["document_id"].take(rows), batch["ord"].take(rows), pa.array(np.concatenate(buckets)), pa.array(np.concatenate(values), from_pandas=True)], ["document_id", "ord", "bucket", "w"])
+            sums, seen = own(batch["text"].to_pylist())
+            row, bucket = np.nonzero(seen)
+            sums *= weights
+            norm = np.sqrt((sums * sums).sum(1))
+            norm[norm == 0] = np.nan
+            w, row = pa.array(sums[row, bucket] / norm[row], from_pandas=True), pa.array(row)
+            yield pa.record_batch([batch["document_id"].take(row), batch["ord"].take(row), pa.array(bucket), w], ["document_id", "ord", "bucket", "w"])
 
     return units.select("document_id", F.col("ord").cast("long").alias("ord"), "text").mapInArrow(run, "document_id string, ord long, bucket long, w double")
 
@@ -155,37 +196,30 @@ def neighbours(units: DataFrame, idf_rows: DataFrame, kind: str = "md5") -> Data
 
     @F.pandas_udf("double")
     def cosine(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        own = hasher(kind)
         for before, now in batches:
-            out, last, held = [], None, None
-            for a, b in zip(before, now, strict=True):
-                if a is None:
-                    out.append(None)
-                    last, held = b, None
-                    continue
-                # rows come in order, so the text before is mostly the last row's
-                x = held if held is not None and a == last else own(a)
-                y = own(b)
-                last, held = b, y
-                dot = sum(v * y[k] * weights[k] ** 2 for k, v in x.items() if k in y)
-                size = sum((v * weights[k]) ** 2 for k, v in x.items()) * sum((v * weights[k]) ** 2 for k, v in y.items())
-                out.append(dot / math.sqrt(size) if size else None)
-            yield pd.Series(out, dtype=float)
+            # rows come in order, so the text before is mostly the last row's; the others are embedded too
+            before, now = before.tolist(), now.tolist()
+            at = np.arange(len(now)) - 1
+            extra = [i for i, text in enumerate(before) if text is not None and (i == 0 or text != now[i - 1])]
+            at[extra] = len(now) + np.arange(len(extra))
+            x = vectors(now + [before[i] for i in extra], weights, kind)
+            found = (x[: len(now)] * x[at]).sum(1)
+            found[[text is None for text in before]] = np.nan
+            yield pd.Series(found)
 
     rows = units.selectExpr("document_id", "CAST(ord AS BIGINT) AS ord", "text", "lag(text) OVER (PARTITION BY document_id ORDER BY ord) AS before")
-    return rows.select("document_id", "ord", cosine("before", "text").alias("cosine"))
+    return rows.select("document_id", "ord", F.nanvl(cosine("before", "text"), F.lit(None)).alias("cosine"))
 
 
 def nearest(units: DataFrame, query: str, idf_rows: DataFrame | None, kind: str = "md5") -> DataFrame:
     """units (text and others) with ``score``, the cosine with a query."""
     weights = weights_of(idf_rows)
-    asked = dense(hasher(kind)(query), weights)
+    asked = vectors([query], weights, kind)[0]
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = hasher(kind)
         for part in texts:
-            yield pd.Series([float(dense(own(t), weights) @ asked) for t in part], dtype=float)
+            yield pd.Series(vectors(part.tolist(), weights, kind) @ asked)
 
     return units.withColumn("score", score("text"))
 

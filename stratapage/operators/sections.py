@@ -13,7 +13,7 @@ TIERS = (100, 65, 55, 50, 25)
 
 #: pages (page_id, html) as units: the text of each block element, in order.
 HTML: list[Step] = [
-    ("pieces", "SELECT page_id, i, piece, lower(@extract(piece, '^/?[A-Za-z0-9!]+')) AS tag FROM @explode(pages, @split(html, '<'), i, piece)"),
+    ("pieces", "SELECT @dealt_by(page_id) page_id, i, piece, lower(@extract(piece, '^/?[A-Za-z0-9!]+')) AS tag FROM @explode(pages, @split(html, '<'), i, piece)"),
     ("opened", """
 SELECT *, sum(CASE WHEN @like(tag, '^/?(h[1-6]|p|li|div|article|nav|body|footer|header|section|title|ul|ol|head|script|style|table|tr|td|th)$') THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS element FROM pieces"""),
     ("elements", """

@@ -31,7 +31,7 @@ _FILLED = "@size(@keep({x}, c, trim(c) <> ''))"
 #: documents (doc_id, text) as lines with synthetic boxes: 40 lines a page, 18 points a line, 5 points a letter.
 #: Grid rows that are drawn rules, or empty, go; a first row of labels that the second one continues is merged with it.
 LINES: list[Step] = [
-    ("split_lines", "SELECT CAST(doc_id AS STRING) AS document_id, i AS line_index, line FROM @explode(documents, @split(text, '\\n'), i, line)"),
+    ("split_lines", "SELECT @dealt_by(document_id) CAST(doc_id AS STRING) AS document_id, i AS line_index, line FROM @explode(documents, @split(text, '\\n'), i, line)"),
     ("clean_lines", f"SELECT document_id, line_index, {CLEAN} AS text FROM split_lines WHERE @like(line, '[^\\s\\x{{00A0}}]')"),
     ("marked_lines", f"SELECT *, CASE WHEN in_grid THEN {t.cells('text')} END AS cells FROM (SELECT *, @like(text, '^[^|]*[|].*[|]') AS in_grid FROM clean_lines) x"),
     ("placed_lines", f"SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY line_index) - 1 AS spot FROM marked_lines WHERE NOT in_grid OR {_REAL}"),
