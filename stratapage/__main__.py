@@ -25,7 +25,8 @@ def main() -> None:
     spark = SparkSession.builder.appName("stratapage").getOrCreate()
     documents = spark.read.parquet(args.documents)
     if args.command == "ingest":
-        engine.export(engine.run_documents(documents), args.out)
+        tables = engine.run_collection(documents) if "source" in documents.columns else engine.run_documents(documents)
+        print(*engine.export(tables, args.out), sep="\n")
     else:
         engine.search(lines(documents), args.query, args.top_k, document_id=args.document).show(args.top_k, truncate=False)
 

@@ -95,7 +95,7 @@ def _tag() -> str:
     known = f"(?i:{'|'.join(TAGS)})(?:/[^>\\s\\x{{00A0}}=]*)?{_BLANK}*"
     solid = f"{_TO_END}[^>\\s\\x{{00A0}}]{_BLANK}*"
     given = f"\\p{{L}}+(?:={_TO_END}|(?:{_BLANK}|/){_TO_END}={_TO_END}|{_BLANK}{solid}|/{_TO_END}{_BLANK}{solid})"
-    named = f"(?:/{_BLANK}*)?(?:[=/]{_TO_END}|{known}|{given})"
+    named = f"={_TO_END}|{known}|{given}|/{_BLANK}*(?:[=/]{_TO_END}|{known}|{given})"
     return f"{_BLANK}*(?:[!?]{_TO_END}|/?{_BLANK}*|{named})"
 
 

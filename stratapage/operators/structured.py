@@ -50,12 +50,16 @@ SELECT document_id, spot, CASE WHEN merges THEN @upto(width, i, trim(concat(trim
   CASE WHEN merges THEN concat(text, ' ', text_below) ELSE text END AS text, coalesce(merged_away, false) AS merged_away, merges FROM label_rows"""),
     ("kept_lines", """
 SELECT l.document_id, l.spot, l.line_index, l.in_grid, l.grid_no, coalesce(g.text, l.text) AS text, g.cells FROM lines l LEFT JOIN whole_rows g ON l.document_id = g.document_id AND l.spot = g.spot WHERE NOT coalesce(g.merged_away, false)"""),
-    ("units", f"""
-SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY spot) - 1 AS ord, @int(line_index / 40) + 1 AS page, text, CASE WHEN in_grid THEN 'table' WHEN {t.marker_depth('text')} > 0 THEN 'section-header' WHEN @like(text, '^[\\x{{2022}}*-] ') THEN 'list-item' ELSE 'text' END AS layout,
-  CAST({t.marker_depth('text')} AS BIGINT) AS depth, CASE WHEN in_grid THEN concat(document_id, '_grid_', CAST(grid_no AS STRING)) END AS grid_id, cells,
+    # heading marks and markup aren't text; a grid row's text is that of its cells
+    ("spelled_lines", f"""
+SELECT document_id, spot, line_index, in_grid, grid_no, cells, CAST({t.marker_depth('text')} AS BIGINT) AS depth, @like(text, '^[\\x{{2022}}*-] ') AS item,
+  CASE WHEN in_grid THEN {t.collapse("@join(@keep(cells, c, trim(c) <> ''), ' ')")} WHEN @like(text, '[<*_#]') THEN {t.strip_markup("@replace(text, '^\\s*#{1,6}[ \\t]', '')")} ELSE text END AS text FROM kept_lines"""),
+    ("units", """
+SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY spot) - 1 AS ord, @int(line_index / 40) + 1 AS page, text, CASE WHEN in_grid THEN 'table' WHEN depth > 0 THEN 'section-header' WHEN item THEN 'list-item' ELSE 'text' END AS layout,
+  depth, CASE WHEN in_grid THEN concat(document_id, '_grid_', CAST(grid_no AS STRING)) END AS grid_id, cells,
   CAST(50 AS DOUBLE) AS x0, 40.0 + 18.0 * (line_index % 40) AS y0, 50.0 + least(500.0, 5.0 * length(text)) AS x1, 52.0 + 18.0 * (line_index % 40) AS y1,
   CAST(612 AS DOUBLE) AS pw, CAST(792 AS DOUBLE) AS ph, CAST(1 AS BIGINT) AS line_count
-FROM kept_lines"""),
+FROM spelled_lines WHERE text <> ''"""),
 ]
 
 #: raw_units (document_id, ord, text, grid_id and a box) as candidates: a text of several enumerated lines of like length gives one for each.

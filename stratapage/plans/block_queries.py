@@ -62,7 +62,18 @@ SELECT query_id, row_id, score, place FROM (SELECT *, row_number() OVER (PARTITI
   SELECT q.vec_id AS query_id, r.vec_id AS row_id, floor(list_dot_product(q.v, r.v) / greatest(1e-300, sqrt(list_dot_product(q.v, q.v) * list_dot_product(r.v, r.v))) * 1e6 + 0.5000001) / 1e6 AS score
   FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0) q CROSS JOIN (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) r) x WHERE score >= 0) y WHERE place <= 10"""
 
+#: Consolidated blocks of documents as candidates for headings. This path measures no prominence of heads, so that bar is open.
+DOCUMENT_BLOCKS: list[Step] = [
+    ("first_units", "SELECT document_id, segment, @argmax(layout, -ord) AS layout, max(depth) AS depth, @argmax(repetition, -ord) AS repetition, max(n_cells) AS n_cells FROM segmented GROUP BY document_id, segment"),
+    ("heading_blocks", """
+SELECT m.document_id, m.block_no AS ord, '' AS tag, trim(m.text) AS text, f.layout, CAST(0 AS DOUBLE) AS prominence, CAST(1 AS DOUBLE) AS size_ratio, f.depth, f.repetition, m.n_sources AS n_blocks, CASE WHEN @starts(m.roles, 'PROMINENT') THEN 1 ELSE 0 END AS n_prominent,
+  CASE WHEN @like(m.roles, 'BODY') THEN 1 ELSE 0 END AS n_body, m.block_type = 'structured_record' AS record, CASE WHEN m.block_type = 'structured_record' THEN f.n_cells ELSE 0 END AS width, m.page
+FROM merged_blocks m JOIN first_units f ON m.document_id = f.document_id AND m.first_seq = f.segment"""),
+]
+TO_DOCUMENT_SECTIONS = TO_MERGED + DOCUMENT_BLOCKS + x.HEADINGS + x.TREE
+
 QUERIES: dict[str, tuple[list[Step], str]] = {
+    "document_sections": (TO_DOCUMENT_SECTIONS, "SELECT document_id, section, md5(heading) AS heading_md5, score, parent, depth, item_count, page, end_page, below FROM section_rows"),
     "consolidate_pairs": (TO_JUDGED, "SELECT document_id, seq, coalesce(veto, '') AS veto, merge, " + ", ".join(f"@round({k}, 3) AS {k}" for k in [*c.CONTINUATION, *c.NEW_BLOCK, "continuation", "separation", "confidence"]) + " FROM consolidation_decisions"),
     "merge_chains": (TO_MERGED, "SELECT document_id, block_no, block_id, page, page_end, n_sources, block_type, length(text) AS chars, md5(text) AS text_md5, sources, roles, @round(confidence, 3) AS confidence FROM merged_blocks"),
     "consolidate_turns": (TURNS + c.JUDGE, "SELECT document_id, seq, coalesce(veto, '') AS veto, merge, @round(continuation, 3) AS continuation, @round(separation, 3) AS separation FROM consolidation_decisions"),

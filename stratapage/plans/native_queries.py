@@ -13,6 +13,7 @@ QUERIES: dict[str, tuple[list[Step], str]] = {
     "native_reasons": (n.TO_PAIRS, "SELECT document_id, ord, concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{r}' END" for r, c in n.REASONS) + ") AS reasons FROM native_decisions"),
     "native_unit_rows": (n.TO_UNITS, "SELECT document_id, unit, n_blocks, page, page_end, roles, signature, chars, line_count, length(text) AS text_chars, @round(head_prominence, 3) AS head_prominence, @round(mean_prominence, 3) AS mean_prominence, @round(confidence) AS confidence FROM native_units"),
     "native_fingerprints": (n.TO_UNITS, "SELECT document_id, unit, " + ", ".join(f"@round({k}) AS {k}" for k in (*n.NATIVE_DIMENSIONS, "alignment_spread", "left_spread_norm", "mean_body_size_ratio", "page_number_norm", "boundary_max", "mean_spatial")) + " FROM native_units"),
+    "fallback_structure": (n.TO_UNITS, "SELECT document_id, unit, role_prominent, role_body, role_meta, @round(ln(1.0 + block_count)) AS blocks_log, @round(least(3.0, head_size_ratio)) AS head_size FROM native_units"),
     "native_blocks": (n.TO_BLOCKS, "SELECT document_id, block, n_sides, first_ord, was_split, sources, @round(confidence) AS confidence FROM native_blocks"),
     "native_split": (n.TO_SPLITS, "SELECT document_id, run, n, valley, @round(cohesion) AS cohesion, cut FROM native_splits"),
     "native_merge": (n.TO_MERGES, "SELECT document_id, ord FROM native_merges"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from stratapage.functions import text as t
 from stratapage.functions.dialect import Step
-from stratapage.operators import structured as s
+from stratapage.operators import formatting as f, structured as s
 from stratapage.operators.embedding import TERMS
 
 _R = s.RELATIONSHIP
@@ -65,6 +65,14 @@ QUERIES: dict[str, tuple[list[Step], str]] = {
     "fingerprint_vectors": (s.TO_FINGERPRINTS, "SELECT document_id, segment, @join(@map(structure, q, CAST(@int(q * 1000000 + 0.5) AS STRING)), ' ') AS millionths FROM fingerprint_vectors"),
     "record_fields": (s.TO_DECISIONS + s.FIELDS, "SELECT document_id, segment, ord, field_position, field_part, field_text, column_signature FROM fields"),
     "refinements": (s.TO_CONTENT, "SELECT document_id, segment, CASE WHEN n_blocks = 1 THEN 'PRESERVE' ELSE 'MERGE' END AS decision, n_blocks FROM content_units"),
+    "span_styles": (f.SPANS + f.FORMATTING, "SELECT document_id, block, ord, bold, italic, mono FROM styled"),
+    "block_formatting": (f.SPANS + f.FORMATTING, "SELECT document_id, block, @round(dominant_size, 1) AS dominant_size, max_size, min_size, dominant_font, @round(bold_ratio) AS bold_ratio, @round(italic_ratio) AS italic_ratio, @round(mono_ratio) AS mono_ratio, color, size_variety FROM formatting"),
+    "row_boxes": (s.TO_UNITS + f.ROW_BOXES, "SELECT grid_id, ord, x0, x1, @round(y0, 3) AS y0, @round(y1, 3) AS y1 FROM row_boxes"),
+    "box_algebra": (
+        s.TO_UNITS + [("boxed_pairs", "SELECT * FROM (SELECT document_id, ord, x0, y0, x1, y1, lag(x0) OVER w AS p_x0, lag(y0 + 9) OVER w AS p_y0, lag(x1) OVER w AS p_x1, lag(y1 + 9) OVER w AS p_y1 FROM units WINDOW w AS (PARTITION BY document_id ORDER BY ord)) x WHERE p_x0 IS NOT NULL")],
+        f"SELECT document_id, ord, @round({f.intersection('', 'p_')}, 3) AS intersection, @round({f.iou('', 'p_')}) AS iou, {f.contains('', 'p_')} AS contains, @round({f.area('')}, 3) AS area FROM boxed_pairs",
+    ),
+    "heading_contexts": (s.TO_CONTENT + f.CONTEXTS, "SELECT document_id, context, md5(heading) AS heading_md5, page, members, decision, @round(confidence) AS confidence FROM contexts"),
     "low_confidence_events": (s.TO_DECISIONS, "SELECT document_id, ord, 'boundary_evaluated' AS event, 'low_confidence_decision' AS companion, @round(confidence, 3) AS confidence FROM decisions WHERE @round(confidence, 3) < 0.5 OR @round(confidence, 3) BETWEEN 0.5 AND 0.52"),
     "run_stats": (s.TO_DECISIONS, "SELECT count(*) AS n_units, count_if(split) AS n_segments, count(DISTINCT document_id) AS n_documents, count_if(NOT split) AS continued FROM segmented"),
 }
