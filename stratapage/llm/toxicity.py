@@ -27,7 +27,7 @@ BITS, FEATURES = 20, 4096
 #: Lexicons that the found terms are dealt to.
 LEXICONS = 24
 #: Bytes of the training rows' features that go to the driver at most.
-TRAIN_BYTES = 192 << 20
+TRAIN_BYTES = 128 << 20
 #: Chances of a toxic text that the model starts from, where the given label says clean and toxic.
 LABELLED = (0.02, 0.9)
 #: Decays of the classifier to choose from.
@@ -155,6 +155,27 @@ def fit(sample: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, float]:
     return _fit(sample, (DECAYS[int(losses.argmin())],))[0]
 
 
+def _parts(lists: list[np.ndarray], size: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and feature numbers of the lists, some lists at a time: all at once would be many times their size."""
+    for i in range(0, len(lists), size):
+        part = lists[i : i + size]
+        yield np.repeat(np.arange(i, i + len(part)), [len(x) for x in part]), np.concatenate(part).astype(np.int64)
+
+
+def _sums(lists: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
+    """Of each feature the weights of the rows that have it."""
+    out = np.zeros(1 << BITS)
+    for rows, numbers in _parts(lists):
+        out += np.bincount(numbers, weights[rows], 1 << BITS)
+    return out
+
+
+def _chosen(lists: list[np.ndarray], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and numbers of the wanted features."""
+    found = [(rows[keep], numbers[keep]) for rows, numbers in _parts(lists) for keep in [wanted[numbers]]]
+    return tuple(np.concatenate([f[i] for f in found]) for i in (0, 1))
+
+
 def _fit(sample: list[tuple[int, bytes, bytes]], decays: tuple[float, ...]) -> list[tuple[np.ndarray, float]]:
     """A model for each decay, on one label model's posteriors."""
     n = len(sample)
@@ -162,10 +183,7 @@ def _fit(sample: list[tuple[int, bytes, bytes]], decays: tuple[float, ...]) -> l
     if not n or labels.min() == labels.max():
         return [(np.zeros(1 << BITS, np.float32), 4.0 if n and labels[0] else -4.0)] * len(decays)
     lists = [np.frombuffer(f, "<u4") for _, f, _ in sample]
-    rows = np.repeat(np.arange(n), [len(x) for x in lists])
-    numbers = np.concatenate(lists).astype(np.int64)
-    in_toxic = np.bincount(numbers, weights=labels[rows], minlength=1 << BITS)
-    in_all = np.bincount(numbers, minlength=1 << BITS)
+    in_toxic, in_all = _sums(lists, labels), _sums(lists, np.ones(n))
     prior = labels.mean()
     # terms that stand out in toxic texts, from the surest on
     surplus = (in_toxic - prior * in_all) / np.sqrt(prior * (1 - prior) * in_all + 1)
@@ -175,20 +193,23 @@ def _fit(sample: list[tuple[int, bytes, bytes]], decays: tuple[float, ...]) -> l
     voter = np.full(1 << BITS, -1)
     voter[terms] = np.arange(len(terms)) % LEXICONS
     votes = np.zeros((n, LEXICONS + len(PATTERNS)))
-    hit = voter[numbers] >= 0
-    votes[rows[hit], voter[numbers[hit]]] = 1
+    rows, numbers = _chosen(lists, voter >= 0)
+    votes[rows, voter[numbers]] = 1
     votes[:, LEXICONS:] = np.array([list(m) for _, _, m in sample])
     posterior, _, _ = label_model(votes[:, votes.any(0)], float(np.clip(prior, 0.005, 0.995)), labels=labels)
 
-    toxic = np.bincount(numbers, weights=posterior[rows], minlength=1 << BITS)
+    toxic = _sums(lists, posterior)
     share = posterior.mean()
     score = np.abs(toxic - share * in_all) / np.sqrt(share * (1 - share) * in_all + 1)
     chosen = np.argsort(-score, kind="stable")[:FEATURES]
     chosen = np.sort(chosen[score[chosen] > 3])
-    keep = np.isin(numbers, chosen)
+    wanted = np.zeros(1 << BITS, bool)
+    wanted[chosen] = True
+    rows, numbers = _chosen(lists, wanted)
+    columns = np.searchsorted(chosen, numbers)
     out = []
     for decay in decays:
-        w, bias = linear(rows[keep], np.searchsorted(chosen, numbers[keep]), posterior, len(chosen), decay=decay)
+        w, bias = linear(rows, columns, posterior, len(chosen), decay=decay)
         table = np.zeros(1 << BITS, np.float32)
         table[chosen] = w
         out.append((table, bias))
