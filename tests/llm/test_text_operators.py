@@ -408,3 +408,24 @@ def test_alignment_is_a_longest_common_subsequence():
             for j, b in enumerate(text):
                 best[i + 1][j + 1] = best[i][j] + 1 if a == b else max(best[i][j + 1], best[i + 1][j])
         assert licenses.align(text, template, 0)[0] == best[-1][-1]
+
+
+def test_very_long_and_repeated_texts(spark):
+    """One text of three million letters, twice, beside short ones: every row comes back, equal rows alike."""
+    rng = random.Random(12)
+    long = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(430_000))
+    item = " ".join(long.split()[400_000:400_020])
+    rows = [(1, long), (1, long), (2, long[-3000:]), (3, "short"), (3, "short"), (None, None)]
+    docs = _docs(spark, rows)
+    found = decontaminate.contamination(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_hit) for r in found) == [(0, 0), (1, 20), (1, 20), (2, 0), (3, 0), (3, 0)]
+    marked = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "doc_id long, toxic int")
+    scored = toxicity.scores(docs, marked).collect()
+    assert len(scored) == len(rows) and len({r.score for r in scored if r.doc_id == 1}) == 1
+    assert licenses.find_licenses(_docs(spark, [(1, long + " Released under the MIT License."), (2, None)])).count() == 1
+    near = fingerprints.compare_with_next(docs, 3).collect()
+    assert sorted(r.n_chars for r in near) == sorted(len(t or "") for _, t in rows)
+    own, total = [r.fingerprint for r in near if r.doc_id == 1], len(long)
+    assert own[0] == own[1] and sum(int(x.split(":")[1]) for x in own[0].split()) == total
+    predicted = language.predictions(docs).collect()
+    assert len(predicted) == len(rows) and {r.lang_pred for r in predicted if r.doc_id is None} == {"und"}
