@@ -508,7 +508,8 @@ def _ranged(keyed: DataFrame, length: int) -> DataFrame:
     frequent = np.array(sorted(r[0] for r in often.select("anchor").collect()), np.int64)
 
     spans = slim.mapInArrow(_emit(length, frequent), "anchor long, span long, second long, doc long, alt long, start long, deal int")
-    key = F.when(F.col("deal") == 2, F.col("alt")).when(F.col("deal") == 1, F.col("span")).otherwise(F.col("anchor"))
+    # settled spans meet nothing any more: they go anywhere
+    key = F.when(F.col("deal") == 2, F.xxhash64("doc", "start")).when(F.col("deal") == 1, F.col("span")).otherwise(F.col("anchor"))
     ordered = spans.repartition(key).sortWithinPartitions("anchor", "span", "second", *DOC, "start")
     flagged = written(ordered.mapInArrow(_settle(frequent), _SETTLED))
 
