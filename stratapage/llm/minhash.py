@@ -188,14 +188,20 @@ def _rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     cut = listed.withColumn("length", length.cast("int")).where("length > 0")
     first = cut.select("node", "component", "n", (F.col("n") - F.size("s")).alias("alone"), F.posexplode(F.slice("s", F.lit(1), F.col("length"))).alias("at", "shingle"))
     first = written(first.select("shingle", "node", "component", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("left")))
-    sizes = first.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts"))
-    mixed = first.join(sizes.where("parts > 1").select("shingle", "main"), "shingle")
-    x = mixed.where("component != main").select("shingle", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("left").alias("lx"))
-    y = mixed.select("shingle", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("left").alias("ly"), "main")
+    sizes = first.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("c").alias("rows"))
+    sizes = written(sizes.where("parts > 1").select("shingle", "main", F.ceil(F.col("rows") / HOT).cast("int").alias("salts"), "rows"))
+    # hot shingles, HOT_SHARE at most, are looked up, and their rows dealt out by HOT
+    bound = max(HOT, first.count() // HOT_SHARE)
+    hot = F.broadcast(sizes.where(F.col("rows") > bound).select("shingle", F.struct("main", "salts").alias("of")))
+    marked = first.join(hot, "shingle", "left")
+    usual = marked.where("of IS NULL").drop("of").join(sizes.where(F.col("rows") <= bound).drop("rows"), "shingle")
+    mixed = usual.unionByName(marked.where("of IS NOT NULL").select("shingle", "node", "component", "n", "left", "of.main", "of.salts"))
+    x = mixed.where("component != main").select("shingle", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("left").alias("lx"))
+    y = mixed.select("shingle", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("left").alias("ly"), "main")
     met = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("cx") < F.col("cy")))
     met &= (100 + percent) * F.least("lx", "ly") >= percent * (F.col("nx") + F.col("ny"))
-    found = written(x.join(y, (x["shingle"] == y["shingle"]) & met).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    discard(first)
+    found = written(x.join(y, (x["shingle"] == y["shingle"]) & (x["salt"] == y["salt"]) & met).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    discard(first, sizes)
     return found
 
 
