@@ -62,3 +62,11 @@ def test_embeddings_against_a_plain_loop_when_memory_runs_out(monkeypatch):
     monkeypatch.setattr("stratapage.operators.embedding.PART", 2)
     texts = ["a b a b a", "b a", None, "", "one Two TWO three four", "Ünder 9 9 9 9", "a b", "x"] * 2
     assert np.allclose(Hasher()(texts)[0], [_plain(t or "") for t in texts])
+
+
+@pytest.mark.parametrize("name", ["pattern_leader", "block_patterns"])
+def test_shared_steps_run_once(spark, monkeypatch, name):
+    read = []
+    monkeypatch.setitem(registry.KERNELS, "idf", (("units",), lambda units: read.append(1) or idf(units)))
+    registry.QUERIES[name](spark, SF)
+    assert len(read) == 1
