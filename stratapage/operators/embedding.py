@@ -21,8 +21,9 @@ from stratapage.functions.dialect import Step
 
 DIMENSION = 512
 #: Words that a worker remembers before it starts anew, more than any number of them, and places for word pairs.
-MEMORY, WORD = 400_000, 1 << 31
-PAIR_BITS = 20
+MEMORY, WORD_BITS = 400_000, 31
+WORD = 1 << WORD_BITS
+PAIR_BITS, GRAM_BITS = 20, 21
 PAIRS = 1 << PAIR_BITS
 #: Texts that are embedded at once.
 PART = 256
@@ -45,9 +46,80 @@ def blake2b_hash(term: str) -> tuple[int, int]:
 
 HASHES: dict[str, Hash] = {"md5": md5_hash, "blake2b": blake2b_hash}
 
+#: MD5's shifts and constants; the bytes that one block of it holds, and terms that are hashed at once.
+_SHIFTS = [x for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for x in four * 4]
+_SINES = [np.uint32(int(abs(np.sin(i + 1)) * 2**32)) for i in range(64)]
+BLOCK, AT_ONCE = 55, 4096
+
+
+def _md5_start(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first two words of the digests of padded messages, a row of sixteen words each."""
+    m = np.ascontiguousarray(blocks.T)
+    start = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = (np.full(m.shape[1], x, np.uint32) for x in start)
+    f, g = np.empty_like(a), np.empty_like(a)
+    for i in range(64):
+        if i < 16:
+            np.bitwise_xor(c, d, out=f)
+            f &= b
+            f ^= d
+            at = i
+        elif i < 32:
+            np.bitwise_xor(b, c, out=f)
+            f &= d
+            f ^= c
+            at = (5 * i + 1) % 16
+        elif i < 48:
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
+            at = (3 * i + 5) % 16
+        else:
+            np.invert(d, out=f)
+            f |= b
+            f ^= c
+            at = 7 * i % 16
+        f += a
+        f += _SINES[i]
+        f += m[at]
+        np.right_shift(f, np.uint32(32 - _SHIFTS[i]), out=g)
+        f <<= np.uint32(_SHIFTS[i])
+        f |= g
+        f += b
+        a, b, c, d, f = d, f, b, c, a
+    return a + start[0], b + start[1]
+
+
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
+def md5_codes(prefix: str, parts: list[tuple[np.ndarray, np.ndarray]], letters: np.ndarray) -> np.ndarray:
+    """Codes (see Hasher) of the terms that parts make: starts and sizes in letters each, an underscore between them. Terms are of BLOCK bytes at most."""
+    out = np.empty(len(parts[0][0]), np.int16)
+    for i in range(0, len(out), AT_ONCE):
+        own = [(start[i : i + AT_ONCE], size[i : i + AT_ONCE]) for start, size in parts]
+        rows = np.arange(len(own[0][0]))
+        blocks = np.zeros((len(rows), 64), np.uint8)
+        flat, end = blocks.ravel(), rows * 64 + len(prefix)
+        blocks[:, : len(prefix)] = np.frombuffer(prefix.encode(), np.uint8)
+        for k, (start, size) in enumerate(own):
+            if k:
+                flat[end] = ord("_")
+                end = end + 1
+            flat[_places(end, size)] = letters[_places(start, size)]
+            end = end + size
+        flat[end] = 128
+        blocks[:, 56:58] = (8 * (end - rows * 64)).astype("<u2").view(np.uint8).reshape(-1, 2)
+        first, second = _md5_start(blocks.view("<u4"))
+        bucket = (first >> np.uint32(16) & np.uint32(255)) << np.uint32(8) | first >> np.uint32(24)
+        out[i : i + AT_ONCE] = 2 * (bucket % DIMENSION) + 1 - (second >> np.uint32(4) & np.uint32(1))
+    return out
+
 
 _LETTERS = "0123456789abcdefghijklmnopqrstuvwxyz"
-_DIGIT = np.zeros(256, np.int64)
+_DIGIT = np.zeros(256, np.int32)
 _DIGIT[list(_LETTERS.encode())] = np.arange(36)
 
 
@@ -65,65 +137,86 @@ class Hasher:
     Words are numbers, and pairs of words and letter grams are numbers made of
     these, so that terms are counted without a loop. Letter grams are looked up
     in a table of what is hashed already, word pairs in one that keeps the last
-    pair seen at each place.
+    pair seen at each place. A code is a bucket and a sign as one number. MD5 is
+    taken of many terms at once.
     """
 
     def __init__(self, kind: str = "md5") -> None:
-        self.hash = HASHES[kind]
+        self.hash, self.at_once = HASHES[kind], kind == "md5"
         self.grams = {n: np.full(36**n, -1, np.int16) for n in (3, 4)}
         self._forget()
 
     def _forget(self) -> None:
         self.known, self.names, self.codes = Vocabulary(), [], np.zeros(0, np.int16)
+        self.letters, self.starts, self.sizes = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pairs, self.pair_codes = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, np.int16)
 
     def _code(self, term: str) -> int:
-        """Bucket and sign of a term as one number."""
         bucket, sign = self.hash(term)
         return 2 * bucket + (sign > 0)
 
+    def _hashed(self, prefix: str, *words: np.ndarray) -> np.ndarray:
+        """Codes of terms made of words, by their numbers."""
+        short = np.full(len(words[0]), self.at_once)
+        short &= sum(self.sizes[w] + 1 for w in words) + len(prefix) - 1 <= BLOCK
+        codes = np.empty(len(short), np.int16)
+        codes[short] = md5_codes(prefix, [(self.starts[w[short]], self.sizes[w[short]]) for w in words], self.letters)
+        rest = np.flatnonzero(~short)
+        codes[rest] = [self._code(prefix + "_".join(self.names[w[i]] for w in words)) for i in rest.tolist()]
+        return codes
+
+    def _learn(self, new: list[str]) -> None:
+        """Words that are seen for the first time."""
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        first, n = len(self.names), len(self.letters)
+        self.names += new
+        self.letters = np.concatenate([self.letters, np.frombuffer("".join(new).encode(), np.uint8)])
+        self.starts, self.sizes = np.concatenate([self.starts, n + np.cumsum(sizes) - sizes]), np.concatenate([self.sizes, sizes])
+        self.codes = np.concatenate([self.codes, self._hashed("w:", np.arange(first, len(self.names)))])
+
     def _of_pairs(self, pairs: np.ndarray) -> np.ndarray:
         """Codes of pairs of words."""
         place = (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
         codes = self.pair_codes[place]
         new = np.flatnonzero(self.pairs[place] != pairs)
         if len(new):
-            names, code = self.names, self._code
-            first, second = np.divmod(pairs[new], WORD)
-            codes[new] = [code(f"b:{names[a]}_{names[b]}") for a, b in zip(first.tolist(), second.tolist(), strict=True)]
+            codes[new] = self._hashed("b:", pairs[new] >> WORD_BITS, pairs[new] & WORD - 1)
             self.pairs[place[new]], self.pair_codes[place[new]] = pairs[new], codes[new]
         return codes
 
-    def _of_words(self, words: list[str], rows: np.ndarray, n_rows: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Rows and weighted codes of words, and of pairs of them."""
+    def _of_words(self, words: list[str], rows: np.ndarray, n_rows: int, counted: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+        """Rows, codes and counts of words, and of pairs of them."""
         if len(self.known) > MEMORY:
             self._forget()
         ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        new = list(islice(self.known, len(self.names), None)) if len(self.known) > len(self.names) else []
-        if new:
-            self.names += new
-            self.codes = np.concatenate([self.codes, np.array([self._code(f"w:{w}") for w in new], np.int16)])
-        key, tf = np.unique(rows * WORD + ids, return_counts=True)
-        row, one = np.divmod(key, WORD)
-        out = [(row, np.array([self.codes[one], tf], np.int64))]
-        # a pair's number by the rows first, so that the rows of equal pairs stay apart
+        if len(self.known) > len(self.names):
+            self._learn(list(islice(self.known, len(self.names), None)))
         inside = rows[:-1] == rows[1:]
-        pair, of = np.unique((ids[:-1] * WORD + ids[1:])[inside], return_inverse=True)
+        pairs = (ids[:-1] << WORD_BITS | ids[1:])[inside]
+        if not counted:
+            return [(rows, self.codes[ids], None), (rows[:-1][inside], self._of_pairs(pairs), None)]
+        key, tf = np.unique(rows << WORD_BITS | ids, return_counts=True)
+        out = [(key >> WORD_BITS, self.codes[key & WORD - 1], tf)]
+        # a pair's number by the rows first, so that the rows of equal pairs stay apart
+        pair, of = np.unique(pairs, return_inverse=True)
         key, tf = np.unique(of * n_rows + rows[:-1][inside], return_counts=True)
         of, row = np.divmod(key, n_rows)
-        return [*out, (row, np.array([self._of_pairs(pair)[of], tf], np.int64))]
+        return [*out, (row, self._of_pairs(pair)[of], tf)]
 
-    def _of_letters(self, digits: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and weighted codes of the runs of n letters."""
+    def _of_letters(self, digits: np.ndarray, rows: np.ndarray, n: int, counted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """Rows, codes and counts of the runs of n letters."""
         size = len(digits) - n + 1
         if size <= 0:
-            return np.zeros(0, np.int64), np.zeros((2, 0), np.int64)
-        gram = np.zeros(size, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int16), np.zeros(0, np.int64)
+        gram = np.zeros(size, np.int32)
         for i in range(n):
-            gram = gram * 36 + digits[i : i + size]
+            gram = gram * np.int32(36) + digits[i : i + size]
         inside = rows[:size] == rows[n - 1 :]
-        key, tf = np.unique(rows[:size][inside] * 36**n + gram[inside], return_counts=True)
-        row, gram = np.divmod(key, 36**n)
+        row, gram, tf = rows[:size][inside], gram[inside], None
+        if counted:
+            # a part has 256 texts at most, a gram 21 bits
+            key, tf = np.unique(row.astype(np.int32) << GRAM_BITS | gram, return_counts=True)
+            row, gram = (key >> GRAM_BITS).astype(np.int64), key & (1 << GRAM_BITS) - 1
         table = self.grams[n]
         for g in np.unique(gram[table[gram] < 0]).tolist():
             text, rest = "", g
@@ -131,7 +224,29 @@ class Hasher:
                 rest, digit = divmod(rest, 36)
                 text = _LETTERS[digit] + text
             table[g] = self._code(f"c{n}:{text}")
-        return row, np.array([table[gram], tf], np.int64)
+        return row, table[gram], tf
+
+    def _terms(self, texts: list[str | None], counted: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+        """Rows and codes of the terms of texts; each term of a row once, with its count, where these are asked for."""
+        found = [_WORDS.findall(t or "") for t in texts]
+        words = " ".join(chain.from_iterable(found)).lower().split()
+        of = np.repeat(np.arange(len(texts)), [len(own) for own in found])
+        rows = np.repeat(of, np.fromiter(map(len, words), np.int64, len(words)))
+        digits = _DIGIT[np.frombuffer("".join(words).encode(), np.uint8)]
+        yield from self._of_words(words, of, len(texts), counted)
+        yield self._of_letters(digits, rows, 3, counted)
+        yield self._of_letters(digits, rows, 4, counted)
+
+    def seen(self, texts: list[str | None]) -> np.ndarray:
+        """How many of the texts have each bucket; terms needn't be counted for that."""
+        out = np.zeros(DIMENSION, np.int64)
+        for i in range(0, len(texts), PART):
+            part = texts[i : i + PART]
+            seen = np.zeros(len(part) * DIMENSION, bool)
+            for row, code, _ in self._terms(part, False):
+                seen[row * DIMENSION + (code >> 1)] = True
+            out += seen.reshape(-1, DIMENSION).sum(0)
+        return out
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """A row of sums for each text, and which buckets it has; in parts that fit a processor's cache."""
@@ -141,13 +256,8 @@ class Hasher:
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
     def _part(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        found = [_WORDS.findall(t or "") for t in texts]
-        words = " ".join(chain.from_iterable(found)).lower().split()
-        of = np.repeat(np.arange(len(texts)), [len(own) for own in found])
-        rows = np.repeat(of, np.fromiter(map(len, words), np.int64, len(words)))
-        digits = _DIGIT[np.frombuffer("".join(words).encode(), np.uint8)]
         sums, seen = np.zeros(len(texts) * DIMENSION), np.zeros(len(texts) * DIMENSION, bool)
-        for row, (code, tf) in (*self._of_words(words, of, len(texts)), self._of_letters(digits, rows, 3), self._of_letters(digits, rows, 4)):
+        for row, code, tf in self._terms(texts, True):
             at = row * DIMENSION + (code >> 1)
             sums += np.bincount(at, (2 * (code & 1) - 1) * (1.0 + np.log(tf)), len(sums))
             seen[at] = True
@@ -180,7 +290,7 @@ def idf(units: DataFrame, kind: str = "md5") -> DataFrame:
         total, n = np.zeros(DIMENSION, np.int64), 0
         embed = hasher(kind)
         for batch in batches:
-            total += embed(batch["text"].to_pylist())[1].sum(0)
+            total += embed.seen(batch["text"].to_pylist())
             n += batch.num_rows
         # one row for each bucket and task, and one, of bucket -1, for its texts
         yield pa.record_batch([pa.array(np.r_[-1, np.arange(DIMENSION)]), pa.array(np.r_[n, total])], ["bucket", "df"])

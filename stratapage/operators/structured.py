@@ -271,8 +271,19 @@ def _with_document(text: str) -> str:
     return re.sub(r"((?:SELECT|BY) )((?:\w\.)?)grid_id\b", r"\1\2document_id, \2grid_id", text)
 
 
-#: Other texts of steps for Spark alone.
-IN_SPARK: dict[Step, str] = {step: _with_document(step[1]) for step in [*HEADERS, *PAIRS[:2]]}
+#: Features with the key of running furniture as a column: a sort takes a key that is an expression anew at each comparison. Only documents of three pages have such lines, so others have no key.
+_KEYED = """
+SELECT /*+ SHUFFLE_HASH(r) */ s.*, count(*) OVER (PARTITION BY s.document_id, shape) AS repetition, r.line IS NOT NULL AS furniture
+FROM (SELECT *, CASE WHEN pages >= 3 THEN @casefold(trim(text)) END AS own_line, @int(rel_y0 * 12) AS own_band FROM shaped) s LEFT JOIN recurring r ON s.document_id = r.document_id AND s.own_line = r.line AND s.own_band = r.band"""
+
+#: Percentiles of a document as aggregates: over a window each of its rows would hold them.
+_RANGES = """
+SELECT document_id, n, CASE WHEN p95 - p5 > 1e-9 THEN p5 ELSE low END AS lo, CASE WHEN p95 - p5 > 1e-9 THEN p95 ELSE high END AS hi, mid FROM (SELECT document_id, count(*) AS n,
+  @pct(net, 0.05) AS p5, @pct(net, 0.95) AS p95, min(net) AS low, max(net) AS high, @pct(net, 0.5) AS mid FROM scored GROUP BY document_id) x"""
+
+#: Other texts of steps for Spark alone. What is joined to all rows is hashed, a bucket's share at a time, so that they stay in order.
+IN_SPARK: dict[Step, str] = {step: _with_document(step[1]) for step in [*HEADERS, *PAIRS[:2]]} | {FEATURES[3]: _KEYED, CUT[1]: _RANGES}
+IN_SPARK[PAIRS[1]] = IN_SPARK[PAIRS[1]].replace("SELECT f.*", "SELECT /*+ SHUFFLE_HASH(k, h) */ f.*", 1)
 
 TO_UNITS = LINES
 TO_FEATURES = LINES + STATS + FEATURES

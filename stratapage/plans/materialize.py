@@ -21,11 +21,18 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Columns that a document's rows are in order by: the first of these that a table has.
+ORDERS = ("ord", "spot", "segment", "seq", "block_no")
+#: A bucket of one file is read in the order that it was written in, and then not sorted again.
+IN_ORDER = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
 def materialize(df: DataFrame, key: str | None = None, buckets: int = 1) -> DataFrame:
     """df written as a compressed table in the shared folder and read again.
 
     With a key, the table is in buckets by its hash, so that what reads it by
-    that key needs no shuffle. The catalog drops its name at once: the frame
+    that key needs no shuffle, and in order, so that windows over a document's
+    rows need no sort. The catalog drops its name at once: the frame
     that is returned knows the files.
     """
     spark = df.sparkSession
@@ -35,7 +42,9 @@ def materialize(df: DataFrame, key: str | None = None, buckets: int = 1) -> Data
     if key is None:
         writer.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
-    writer.format("parquet").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    spark.conf.set(IN_ORDER, "true")
+    order = [key, *[c for c in ORDERS if c in df.columns][:1]]
+    writer.format("parquet").option("path", path).bucketBy(buckets, key).sortBy(*order).saveAsTable(name)
     found = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     return found
