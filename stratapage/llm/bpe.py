@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from stratapage.llm.common import prepare
 
-#: Words whose encodings a worker remembers before it starts anew.
+#: Words whose encodings a worker remembers before they are old; those that are not met again until then go.
 MEMORY = 100_000
 #: Pairs of tokens whose compatibility a worker remembers before it starts anew.
 PAIRS = 300_000
@@ -64,6 +65,7 @@ class Codec:
             self.pair[a, b] = new
             self.halves[new] = (a, b)
         self.sizes = [0] * size
+        keys: dict[str, int] = {}
         self.tokens = ahocorasick.Automaton()
         letters = set(_byte_letters())
         for text, i in vocab.items():
@@ -74,8 +76,13 @@ class Codec:
             key = body + "\n" if ended else body
             self.sizes[i] = len(key)
             self.tokens.add_word(key, i)
+            keys[key] = i
         self.tokens.make_automaton()
-        self.compatible: dict[tuple[int, int], bool] = {}
+        # of each token the longest other one that it starts with
+        self.shorter = [-1] * size
+        for key, i in keys.items():
+            self.shorter[i] = next((keys[key[:n]] for n in range(len(key) - 1, 0, -1) if key[:n] in keys), -1)
+        self.compatible: dict[int, bool] = {}
         self.letters = str.maketrans(dict(enumerate(_byte_letters())))
         text = [""] * size
         for t, i in [*vocab.items(), *self.special.items()]:
@@ -85,10 +92,11 @@ class Codec:
         self.offset = np.cumsum(self.length) - self.length
         self.table = np.frombuffer(b"".join(joined), np.uint8)
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the merges leave the texts of two tokens, side by side, as these two."""
-        key = left, right
+        key = left * len(self.halves) + right
         if (known := self.compatible.get(key)) is not None:
             return known
         # undo merges from the latest: one that bridges the two must not come before what it would undo
@@ -114,37 +122,45 @@ class Codec:
 
     def word(self, word: str) -> list[int]:
         """Ids of one word, given without its end."""
-        text = word.encode().decode("latin-1").translate(self.letters) + "\n"
-        n = len(text)
-        starting: list[list[int]] = [[] for _ in range(n)]  # tokens by start, longest last
+        if word.isascii() and word.isprintable():
+            text = word + "\n"  # visible letters stand for themselves
+        else:
+            text = word.encode().decode("latin-1").translate(self.letters) + "\n"
+        n, sizes, shorter, known, width = len(text), self.sizes, self.shorter, self.compatible, len(self.halves)
+        longest = [-1] * (n + 1)  # tokens by start: ends ascend, so that the last one is the longest
         for end, token in self.tokens.iter(text):
-            starting[end + 1 - self.sizes[token]].append(token)
+            longest[end + 1 - sizes[token]] = token
         dead = bytearray(n + 1)
         out: list[int] = []
-        at, ranks = 0, [len(starting[0]) - 1]
+        at, token = 0, longest[0]
         while at < n:
-            rank = ranks[-1]
             last = out[-1] if out else -1
-            while rank >= 0:
-                token = starting[at][rank]
-                if not dead[at + self.sizes[token]] and (last < 0 or self.fits(last, token)):
-                    break
-                rank -= 1
-            if rank >= 0:
-                ranks[-1] = rank
+            while token >= 0:
+                if not dead[at + sizes[token]]:
+                    if last < 0:
+                        break
+                    if (fit := known.get(last * width + token)) is None:
+                        fit = self.fits(last, token)
+                    if fit:
+                        break
+                token = shorter[token]
+            if token >= 0:
                 out.append(token)
-                at += self.sizes[token]
-                ranks.append(len(starting[at]) - 1 if at < n else -1)
+                at += sizes[token]
+                token = longest[at]
             else:
                 dead[at] = 1
-                ranks.pop()
-                at -= self.sizes[out.pop()]
+                token = out.pop()
+                at -= sizes[token]
         return out
 
     def _remember(self, word: str) -> bytes:
         if len(self.words) >= MEMORY:
-            self.words.clear()
-        ids = self.words[word] = np.array(self.word(word), "<u4").tobytes()
+            self.words, self.old = {}, self.words
+        if (ids := self.old.get(word)) is None:
+            own = self.word(word)
+            ids = struct.pack(f"<{len(own)}I", *own)
+        self.words[word] = ids
         return ids
 
     def _plain(self, text: str) -> bytes:
@@ -154,8 +170,7 @@ class Codec:
             text = unicodedata.normalize("NFC", text)
             # lower case letter by letter: no final sigma
             found = _ANY.findall(text.replace("Σ", "σ").lower())
-        words = self.words
-        return b"".join([words.get(w) or self._remember(w) for w in found])
+        return b"".join([self.words.get(w) or self._remember(w) for w in found])
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""

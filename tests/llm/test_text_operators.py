@@ -42,6 +42,19 @@ def test_bpe_is_the_library(spark):
     assert bpe.token_digest(_docs(spark, []), PATH).count() == 0
 
 
+def test_words_that_come_again_are_encoded_once(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMORY", 4)
+    with open(PATH, encoding="utf-8") as f:
+        codec = bpe.Codec(f.read())
+    encoded, word = [], codec.word
+    monkeypatch.setattr(codec, "word", lambda w: encoded.append(w) or word(w))
+    others = [f"new{chr(97 + i)}word" for i in range(12)]
+    text = " ".join(f"again {w}" for w in others)
+    found = codec.encode(text)
+    assert encoded.count("again") == 1 and set(others) < set(encoded) and len(codec.words) <= 4
+    assert list(np.frombuffer(found, "<u4")) == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+
+
 def _contaminated(text, items, window):
     def words(t):
         out, now = [], ""
