@@ -8,9 +8,7 @@ neighbours are compared where they stand, from the texts of both.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator
-from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -21,13 +19,14 @@ from stratapage.functions.dialect import Step
 
 DIMENSION = 512
 #: Words that a worker remembers before it starts anew, more than any number of them, and places for word pairs.
-MEMORY, WORD_BITS = 400_000, 31
+MEMORY, WORD_BITS = 400_000, 27
 WORD = 1 << WORD_BITS
 PAIR_BITS, GRAM_BITS = 20, 21
 PAIRS = 1 << PAIR_BITS
 #: Texts that are embedded at once.
 PART = 256
-_WORDS = re.compile("[A-Za-z0-9]+")
+#: Bytes as ASCII letters, lower case, and digits; all others as spaces.
+_FOLDED = bytes(ord(c.lower()) if c.isascii() and c.isalnum() else 32 for c in map(chr, range(256)))
 
 Hash = Callable[[str], tuple[int, int]]
 
@@ -123,14 +122,31 @@ _DIGIT = np.zeros(256, np.int32)
 _DIGIT[list(_LETTERS.encode())] = np.arange(36)
 
 
+#: 1 + ln tf of the counts that terms mostly have.
+_WEIGHTS = np.r_[0.0, 1.0 + np.log(np.arange(1, 1024))]
+
+
 class Vocabulary(dict):
-    """Numbers of words in order of their first sight."""
+    """Numbers of words in order of their first sight, and those that nobody has asked for yet."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[bytes] = []
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
+        self.new.append(word)
         return n
 
 
+def _grown(x: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
+    """x with more from place n on; twice as long where there is no room, so that a word is copied seldom."""
+    if n + len(more) > len(x):
+        x = np.concatenate([x, np.zeros(max(len(x), n + len(more) - len(x)), x.dtype)])
+    x[n : n + len(more)] = more
+    return x
+
+
 class Hasher:
     """Vectors of texts, before idf: a bucket's signs times 1 + ln tf, summed over its terms.
 
@@ -147,7 +163,7 @@ class Hasher:
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.names, self.codes = Vocabulary(), [], np.zeros(0, np.int16)
+        self.known, self.names, self.codes, self.n_letters = Vocabulary(), [], np.zeros(0, np.int16), 0
         self.letters, self.starts, self.sizes = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pairs, self.pair_codes = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, np.int16)
 
@@ -168,11 +184,11 @@ class Hasher:
     def _learn(self, new: list[str]) -> None:
         """Words that are seen for the first time."""
         sizes = np.fromiter(map(len, new), np.int64, len(new))
-        first, n = len(self.names), len(self.letters)
+        first, n, letters = len(self.names), self.n_letters, np.frombuffer("".join(new).encode(), np.uint8)
         self.names += new
-        self.letters = np.concatenate([self.letters, np.frombuffer("".join(new).encode(), np.uint8)])
-        self.starts, self.sizes = np.concatenate([self.starts, n + np.cumsum(sizes) - sizes]), np.concatenate([self.sizes, sizes])
-        self.codes = np.concatenate([self.codes, self._hashed("w:", np.arange(first, len(self.names)))])
+        self.letters, self.n_letters = _grown(self.letters, n, letters), n + len(letters)
+        self.starts, self.sizes = _grown(self.starts, first, n + np.cumsum(sizes) - sizes), _grown(self.sizes, first, sizes)
+        self.codes = _grown(self.codes, first, self._hashed("w:", np.arange(first, len(self.names))))
 
     def _of_pairs(self, pairs: np.ndarray) -> np.ndarray:
         """Codes of pairs of words."""
@@ -184,24 +200,23 @@ class Hasher:
             self.pairs[place[new]], self.pair_codes[place[new]] = pairs[new], codes[new]
         return codes
 
-    def _of_words(self, words: list[str], rows: np.ndarray, n_rows: int, counted: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    def _of_words(self, words: list[bytes], rows: np.ndarray, counted: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
         """Rows, codes and counts of words, and of pairs of them."""
         if len(self.known) > MEMORY:
             self._forget()
         ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        if len(self.known) > len(self.names):
-            self._learn(list(islice(self.known, len(self.names), None)))
+        if self.known.new:
+            self._learn([w.decode() for w in self.known.new])
+            self.known.new.clear()
         inside = rows[:-1] == rows[1:]
         pairs = (ids[:-1] << WORD_BITS | ids[1:])[inside]
         if not counted:
             return [(rows, self.codes[ids], None), (rows[:-1][inside], self._of_pairs(pairs), None)]
         key, tf = np.unique(rows << WORD_BITS | ids, return_counts=True)
         out = [(key >> WORD_BITS, self.codes[key & WORD - 1], tf)]
-        # a pair's number by the rows first, so that the rows of equal pairs stay apart
-        pair, of = np.unique(pairs, return_inverse=True)
-        key, tf = np.unique(of * n_rows + rows[:-1][inside], return_counts=True)
-        of, row = np.divmod(key, n_rows)
-        return [*out, (row, self._of_pairs(pair)[of], tf)]
+        # a part's rows and two words are 62 bits
+        key, tf = np.unique(rows[:-1][inside] << 2 * WORD_BITS | pairs, return_counts=True)
+        return [*out, (key >> 2 * WORD_BITS, self._of_pairs(key & WORD * WORD - 1), tf)]
 
     def _of_letters(self, digits: np.ndarray, rows: np.ndarray, n: int, counted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         """Rows, codes and counts of the runs of n letters."""
@@ -228,12 +243,16 @@ class Hasher:
 
     def _terms(self, texts: list[str | None], counted: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
         """Rows and codes of the terms of texts; each term of a row once, with its count, where these are asked for."""
-        found = [_WORDS.findall(t or "") for t in texts]
-        words = " ".join(chain.from_iterable(found)).lower().split()
-        of = np.repeat(np.arange(len(texts)), [len(own) for own in found])
-        rows = np.repeat(of, np.fromiter(map(len, words), np.int64, len(words)))
-        digits = _DIGIT[np.frombuffer("".join(words).encode(), np.uint8)]
-        yield from self._of_words(words, of, len(texts), counted)
+        own = [(t or "").encode() + b" " for t in texts]
+        folded = b"".join(own).translate(_FOLDED)
+        flat = np.frombuffer(folded, np.uint8)
+        starts = np.cumsum([0, *map(len, own[:-1])])
+        letter = flat != 32
+        first = letter.copy()
+        first[1:] &= ~letter[:-1]
+        of, rows = (np.repeat(np.arange(len(own)), np.add.reduceat(x, starts, dtype=np.int64)) for x in (first, letter))
+        digits = _DIGIT[flat[letter]]
+        yield from self._of_words(folded.split(), of, counted)
         yield self._of_letters(digits, rows, 3, counted)
         yield self._of_letters(digits, rows, 4, counted)
 
@@ -256,13 +275,35 @@ class Hasher:
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
     def _part(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        sums, seen = np.zeros(len(texts) * DIMENSION), np.zeros(len(texts) * DIMENSION, bool)
-        for row, code, tf in self._terms(texts, True):
-            at = row * DIMENSION + (code >> 1)
-            sums += np.bincount(at, (2 * (code & 1) - 1) * (1.0 + np.log(tf)), len(sums))
-            seen[at] = True
+        if not texts:
+            return np.zeros((0, DIMENSION)), np.zeros((0, DIMENSION), bool)
+        row, code, tf = (np.concatenate(x) for x in zip(*self._terms(texts, True), strict=True))
+        at = row * DIMENSION + (code >> 1)
+        weight = _WEIGHTS[tf] if not len(tf) or tf.max() < len(_WEIGHTS) else 1.0 + np.log(tf)
+        seen = np.zeros(len(texts) * DIMENSION, bool)
+        seen[at] = True
+        sums = np.bincount(at, np.where(code & 1, weight, -weight), len(seen))
         return sums.reshape(-1, DIMENSION), seen.reshape(-1, DIMENSION)
 
+    def cosines(self, before: list[str | None], now: list[str | None], idf: np.ndarray | None) -> np.ndarray:
+        """The cosine of each text with the one before it; nan where there is none. Rows of a part at a time: their vectors are not kept."""
+        out = np.empty(len(now))
+        for i in range(0, len(now), PART - 1):
+            # rows come in order, so the text before is mostly the last row's; the others are embedded too
+            own, last = now[i : i + PART - 1], before[i : i + PART - 1]
+            at = np.arange(len(own)) - 1
+            extra = [k for k, text in enumerate(last) if text is not None and (k == 0 or text != own[k - 1])]
+            at[extra] = len(own) + np.arange(len(extra))
+            x = self(own + [last[k] for k in extra])[0]
+            if idf is not None:
+                x *= idf
+            norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+            both = norm[: len(own)] * norm[at]
+            found = np.divide(np.einsum("ij,ij->i", x[: len(own)], x[at]), both, out=np.zeros(len(own)), where=both > 0)
+            found[[text is None for text in last]] = np.nan
+            out[i : i + len(own)] = found
+        return out
+
 
 _hashers: dict[str, Hasher] = {}
 
@@ -346,15 +387,7 @@ def neighbours(units: DataFrame, idf_rows: DataFrame, kind: str = "md5") -> Data
     @F.pandas_udf("double")
     def cosine(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for before, now in batches:
-            # rows come in order, so the text before is mostly the last row's; the others are embedded too
-            before, now = before.tolist(), now.tolist()
-            at = np.arange(len(now)) - 1
-            extra = [i for i, text in enumerate(before) if text is not None and (i == 0 or text != now[i - 1])]
-            at[extra] = len(now) + np.arange(len(extra))
-            x = vectors(now + [before[i] for i in extra], weights, kind)
-            found = (x[: len(now)] * x[at]).sum(1)
-            found[[text is None for text in before]] = np.nan
-            yield pd.Series(found)
+            yield pd.Series(hasher(kind).cosines(before.tolist(), now.tolist(), weights))
 
     rows = units.selectExpr("document_id", "CAST(ord AS BIGINT) AS ord", "text", "lag(text) OVER (PARTITION BY document_id ORDER BY ord) AS before")
     return rows.select("document_id", "ord", F.nanvl(cosine("before", "text"), F.lit(None)).alias("cosine"))

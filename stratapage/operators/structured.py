@@ -30,6 +30,8 @@ CLEAN = t.collapse("line")
 _REAL = "@size(@keep(cells, c, trim(c) <> '' AND NOT @like(trim(c), '^[-:| ]*-[-:| ]*$'))) > 0"
 _FILLED = "@size(@keep({x}, c, trim(c) <> ''))"
 
+_RIGHT = "50.0 + least(500.0, 5.0 * length(text)) AS x1"
+
 #: documents (doc_id, text) as lines with synthetic boxes: 40 lines a page, 18 points a line, 5 points a letter.
 #: Grid rows that are drawn rules, or empty, go; a first row of labels that the second one continues is merged with it.
 LINES: list[Step] = [
@@ -56,10 +58,10 @@ SELECT l.document_id, l.spot, l.line_index, l.in_grid, l.grid_no, coalesce(g.tex
     ("spelled_lines", f"""
 SELECT document_id, spot, line_index, in_grid, grid_no, cells, CAST({t.marker_depth('text')} AS BIGINT) AS depth, @like(text, '^[\\x{{2022}}*-] ') AS item,
   CASE WHEN in_grid THEN {t.collapse("@join(@keep(cells, c, trim(c) <> ''), ' ')")} WHEN @like(text, '[<*_#]') THEN {t.strip_markup("@replace(text, '^\\s*#{1,6}[ \\t]', '')")} ELSE text END AS text FROM kept_lines"""),
-    ("units", """
+    ("units", f"""
 SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY spot) - 1 AS ord, @int(line_index / 40) + 1 AS page, text, CASE WHEN in_grid THEN 'table' WHEN depth > 0 THEN 'section-header' WHEN item THEN 'list-item' ELSE 'text' END AS layout,
   depth, CASE WHEN in_grid THEN concat(document_id, '_grid_', CAST(grid_no AS STRING)) END AS grid_id, cells,
-  CAST(50 AS DOUBLE) AS x0, 40.0 + 18.0 * (line_index % 40) AS y0, 50.0 + least(500.0, 5.0 * length(text)) AS x1, 52.0 + 18.0 * (line_index % 40) AS y1,
+  CAST(50 AS DOUBLE) AS x0, 40.0 + 18.0 * (line_index % 40) AS y0, {_RIGHT}, 52.0 + 18.0 * (line_index % 40) AS y1,
   CAST(612 AS DOUBLE) AS pw, CAST(792 AS DOUBLE) AS ph, CAST(1 AS BIGINT) AS line_count
 FROM spelled_lines WHERE text <> ''"""),
 ]
@@ -281,13 +283,22 @@ _RANGES = """
 SELECT document_id, n, CASE WHEN p95 - p5 > 1e-9 THEN p5 ELSE low END AS lo, CASE WHEN p95 - p5 > 1e-9 THEN p95 ELSE high END AS hi, mid FROM (SELECT document_id, count(*) AS n,
   @pct(net, 0.05) AS p5, @pct(net, 0.95) AS p95, min(net) AS low, max(net) AS high, @pct(net, 0.5) AS mid FROM scored GROUP BY document_id) x"""
 
+
+def _with_doubles(text: str) -> str:
+    """Numbers with a point as doubles, which are decimals in Spark: boxes are whole numbers, and what else stays a decimal is a single literal, so that values are the same."""
+    return "".join(x if x.startswith("'") else re.sub(r"(?<![\w.])\d+\.\d+(?![\w.])", r"\g<0>D", x) for x in re.findall(r"'[^']*'|[^']+", text))
+
+
 #: Other texts of steps for Spark alone. What is joined to all rows is hashed, a bucket's share at a time, so that they stay in order.
 IN_SPARK: dict[Step, str] = {step: _with_document(step[1]) for step in [*HEADERS, *PAIRS[:2]]} | {FEATURES[3]: _KEYED, CUT[1]: _RANGES}
 IN_SPARK[PAIRS[1]] = IN_SPARK[PAIRS[1]].replace("SELECT f.*", "SELECT /*+ SHUFFLE_HASH(k, h) */ f.*", 1)
 
+#: The same: measures without decimals. One of them is a decimal still, since a query returns it as it is.
+WITH_DOUBLES: dict[Step, str] = {step: _with_doubles(step[1]).replace(_with_doubles(_RIGHT), _RIGHT) for step in (LINES[-1], *FEATURES[:2], PAIRS[3])}
+
 #: The same: pairs with what forces a split instead of both texts, which nothing else reads of them.
 FORCED_EARLY: dict[Step, str] = {
-    PAIRS[4]: f"SELECT * EXCEPT (text, a_text) FROM (SELECT *, {FORCED} AS forced_by FROM ({PAIRS[4][1]}) x) y",
+    PAIRS[4]: f"SELECT * EXCEPT (text, a_text) FROM (SELECT *, {FORCED} AS forced_by FROM ({_with_doubles(PAIRS[4][1])}) x) y",
     DECIDE[0]: DECIDE[0][1].replace(FORCED, "forced_by"),
 }
 

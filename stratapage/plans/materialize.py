@@ -38,7 +38,8 @@ def materialize(df: DataFrame, key: str | None = None, buckets: int = 1) -> Data
     spark = df.sparkSession
     name = f"step_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{name}"
-    writer = df.write.option("compression", "zstd")
+    # most columns are measures of lines: a dictionary of them is made, given up or looked up value by value
+    writer = df.write.option("compression", "zstd").option("parquet.enable.dictionary", "false")
     if key is None:
         writer.parquet(path)
         return spark.read.schema(df.schema).parquet(path)

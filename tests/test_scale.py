@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from stratapage.plans import registry
 from stratapage.plans.materialize import materialize
 
 SF = "/root/testdata/sf0.001"
+concatenate = np.concatenate
 
 
 @pytest.mark.parametrize("name", ["merge_chains", "pair_signals", "content_units"])
@@ -132,3 +134,36 @@ def test_texts_of_spark_alone_give_the_same(spark):
     assert [r.a for r in both] == [r.b for r in both] and [r.c for r in both] == [r.d for r in both]
     assert "{2,}" in render("@replace(x, '[\\s\\x{00A0}]+', ' ')", SPARK)
     assert "++)" in registry.IN_SPARK[consolidate.JUDGE[1]]
+
+
+def test_boxes_and_signals_are_no_decimals_in_spark(spark):
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    assert {t for _, t in registry.plan(structured.LINES, "SELECT y0, y1, pw FROM units", documents=documents).dtypes} == {"double"}
+    signals = registry.plan(structured.TO_PAIRS, "SELECT reading, container, container_change, discount, b_reading, b_container, b_hierarchy, b_layout FROM pairs", documents=documents)
+    assert {t for _, t in signals.dtypes} == {"double"}
+    assert structured._with_doubles("a >= 0.5 AND b = '0.5' AND c1.d2 = 1e-9 * 2") == "a >= 0.5D AND b = '0.5' AND c1.d2 = 1e-9 * 2"
+
+
+def test_cosines_a_part_at_a_time_against_whole_vectors(monkeypatch):
+    monkeypatch.setattr("stratapage.operators.embedding.PART", 3)
+    now = ["a b", "b c a", "", "x", "x", "one two", "two one 5", "é", "a" * 9]
+    before = [None, *now[:2], "a b", "x", None, "other b", "two one 5", "a" * 8]
+    idf = np.linspace(0.5, 2, 512)
+    rows = [[_plain(t or "") * idf for t in texts] for texts in (before, now)]
+    expected = [np.nan if b is None else x @ y / max(np.sqrt(x @ x) * np.sqrt(y @ y), 1e-300) for b, x, y in zip(before, *rows, strict=True)]
+    assert np.allclose(Hasher().cosines(before, now, idf), expected, equal_nan=True)
+
+
+def test_learning_words_copies_seldom(monkeypatch):
+    own, copied = Hasher(), []
+    monkeypatch.setattr("stratapage.operators.embedding.np.concatenate", lambda x, *a, **k: copied.append(sum(map(len, x))) or concatenate(x, *a, **k))
+    for i in range(200):
+        own._learn([f"w{i}"])
+    assert sum(copied) < 20 * sum(map(len, own.names)) and own.codes[:200].tolist() == [2 * md5_hash(f"w:{w}")[0] + (md5_hash(f"w:{w}")[1] > 0) for w in own.names]
+
+
+def test_cuts_have_no_dictionaries(spark):
+    df = spark.range(100).selectExpr("CAST(id % 3 AS STRING) AS document_id", "CAST(id % 5 AS DOUBLE) AS v")
+    for path in materialize(df, "document_id", 1).inputFiles():
+        group = pq.ParquetFile(path.removeprefix("file:")).metadata.row_group(0)
+        assert not any(group.column(i).has_dictionary_page for i in range(group.num_columns))
